@@ -10,7 +10,7 @@ from ..sources.table import Table, ref
 
 def histograms(table: Table, columns, bins: int) -> DataFrame:
     """(position, column, bin, low, high, count), empty bins included; the top edge is closed."""
-    ddl = "position int, column string, bin int, low double, high double"
+    ddl = "position bigint, column string, bin bigint, low double, high double"
     filled = [c for c in columns if table.count(c)]
     edges, marks = [], []
     for i, c in enumerate(filled):
@@ -20,7 +20,8 @@ def histograms(table: Table, columns, bins: int) -> DataFrame:
         width = (high - low) / bins
         edges += [(i, c, b, low + b * width, low + (b + 1) * width) for b in range(bins)]
         place = F.floor((table.number(c) - F.lit(low)) / F.lit(high - low) * bins)
-        marks.append(F.least(place, F.lit(bins - 1)).cast("int").alias(c))
+        inside = F.when(table.number(c).isNotNull(), F.least(place, F.lit(bins - 1)))
+        marks.append(inside.cast("bigint").alias(c))
     frame = table.frame(edges, ddl)
     if not filled:
         return frame.withColumn("count", F.lit(0).cast("bigint"))

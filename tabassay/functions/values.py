@@ -27,7 +27,7 @@ def value_counts(table: Table, columns, df: DataFrame | None = None) -> DataFram
 def top_values(counts: DataFrame, k: int) -> DataFrame:
     """(column, value, n, rank): the k most common values per column, ties by value."""
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def distinct_counts(table: Table, columns) -> dict[str, int]:

@@ -32,7 +32,7 @@ def first_values(table: Table, k: int = SAMPLES) -> DataFrame:
     """
     columns = [c for c in table.columns if table.count(c) and not table.is_nested(c)]
     if not columns:
-        return table.frame([], "column string, rank int, value string")
+        return table.frame([], "column string, rank bigint, value string")
     if table.rows <= table.direct_limit:
         return _first_values(table, table.df, columns, k)
     at = ref(table.row_id)
@@ -62,7 +62,7 @@ def schema_context(table: Table) -> DataFrame:
         numbers = (facts["min", c], facts["max", c], facts["mean", c]) if kinds[c] == "numeric" else (
             None, None, None)
         rows.append((i, c, role, ROLE_LABELS.get(role, kinds[c]), *numbers))
-    described = table.frame(rows, """position int, column string, role string, label string,
+    described = table.frame(rows, """position bigint, column string, role string, label string,
         min double, max double, mean double""")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "value")))
     samples = first_values(table).groupBy("column").agg(

@@ -26,7 +26,7 @@ def basic_profile(table: Table) -> DataFrame:
     rows = [(c, types[c], table.missing_count(c), table.rows, len(table.columns), extra)
             for c in table.columns]
     return table.frame(rows, """column string, dtype string, missing_values bigint, rows bigint,
-        columns int, duplicate_rows bigint""")
+        columns bigint, duplicate_rows bigint""")
 
 
 def single_valued(table: Table) -> list[str]:
@@ -67,7 +67,7 @@ def warning_texts(table: Table) -> list[str]:
 
 
 def warnings(table: Table) -> DataFrame:
-    return table.frame(list(enumerate(warning_texts(table))), "ordinal int, warning string")
+    return table.frame(list(enumerate(warning_texts(table))), "ordinal bigint, warning string")
 
 
 def outlier_counts(table: Table) -> DataFrame:
@@ -120,6 +120,6 @@ def value_charts(table: Table) -> DataFrame:
     dates = date_like(table, [c for c in table.string_columns if c in few])
     columns = [c for c in table.string_columns if c in few and not dates[c]][:BAR_COLUMNS]
     if not columns:
-        return table.frame([], "column string, rank int, value string, count bigint")
+        return table.frame([], "column string, rank bigint, value string, count bigint")
     top = top_values(value_counts(table, columns), BAR_VALUES)
     return top.select("column", "rank", "value", F.col("n").alias("count"))

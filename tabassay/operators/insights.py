@@ -27,7 +27,7 @@ SEVERITIES = ["high", "medium", "low"]
 NO_EXPLANATION = "No explanation available."
 NO_ACTION = "Review this finding manually."
 
-FINDING = """ordinal int, columns array<string>, finding_type string, statistic string,
+FINDING = """ordinal bigint, columns array<string>, finding_type string, statistic string,
     severity string, context string"""
 HISTOGRAM_BINS = 40
 
@@ -187,7 +187,7 @@ def explain_findings(found: DataFrame, explanations: DataFrame | None = None) ->
     """Attach caller-supplied (ordinal, explanation, recommended_action); defaults where absent."""
     if explanations is None:
         explanations = small_frame(found.sparkSession, [],
-                                   "ordinal int, explanation string, recommended_action string")
+                                   "ordinal bigint, explanation string, recommended_action string")
     joined = found.join(explanations, "ordinal", "left")
     return joined.select(
         *found.columns, F.coalesce("explanation", F.lit(NO_EXPLANATION)).alias("explanation"),

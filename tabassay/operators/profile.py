@@ -99,7 +99,7 @@ def profile_datetime(table: Table, columns=None) -> DataFrame:
     facts = datetime_facts(table, columns)
     return table.frame([(c, *facts[c]) for c in columns], """column string, count bigint,
         null_count bigint, min_date string, max_date string, date_range_days bigint,
-        most_common_year int, most_common_month int""")
+        most_common_year bigint, most_common_month bigint""")
 
 
 def datetime_facts(table: Table, columns) -> dict:
@@ -142,7 +142,7 @@ def profile_text(table: Table) -> DataFrame:
              rounded(table.mean_chars(c), 1), facts["min_chars", c], facts["max_chars", c])
             for c in columns]
     return table.frame(rows, """column string, count bigint, null_count bigint,
-        unique_count bigint, avg_char_length double, min_char_length int, max_char_length int""")
+        unique_count bigint, avg_char_length double, min_char_length bigint, max_char_length bigint""")
 
 
 def profile_id(table: Table) -> DataFrame:
@@ -167,7 +167,7 @@ def dataset_summary(table: Table) -> DataFrame:
     missing, pct = missing_total(table)
     row = (table.rows, len(table.columns), missing, pct, memory_mb(table),
            *[n for _, n in type_count_rows(table)], duplicate_facts(table)["exact_count"])
-    return table.frame([row], """total_rows bigint, total_columns int, total_missing_cells bigint,
+    return table.frame([row], """total_rows bigint, total_columns bigint, total_missing_cells bigint,
         missing_pct double, memory_mb double, numeric_columns bigint, categorical_columns bigint,
         datetime_columns bigint, text_columns bigint, id_columns bigint,
         duplicate_row_count bigint""")
@@ -177,7 +177,7 @@ def profile_dataset(table: Table) -> DataFrame:
     """All columns in one long frame: (position, column, col_type, stats map)."""
     order = {c: i for i, c in enumerate(table.columns)}
     ranks = table.frame([(i, c, column_types(table)[c]) for c, i in order.items()],
-                        "position int, column string, col_type string")
+                        "position bigint, column string, col_type string")
     parts = [profile_numeric(table), profile_categorical(table), profile_datetime(table),
              profile_text(table), profile_id(table)]
     stats = None

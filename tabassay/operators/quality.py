@@ -331,4 +331,4 @@ def issue_rows(table: Table) -> list[tuple]:
 
 def issues(table: Table) -> DataFrame:
     return table.frame([(i, *r) for i, r in enumerate(issue_rows(table))],
-                       "ordinal int, column string, issue_type string, severity string, detail string")
+                       "ordinal bigint, column string, issue_type string, severity string, detail string")

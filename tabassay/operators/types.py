@@ -41,7 +41,7 @@ def of_type(table: Table, kind: str) -> list[str]:
 
 def type_frame(table: Table) -> DataFrame:
     rows = [(i, c, t) for i, (c, t) in enumerate(column_types(table).items())]
-    return table.frame(rows, "position int, column string, col_type string")
+    return table.frame(rows, "position bigint, column string, col_type string")
 
 
 def type_count_rows(table: Table):

@@ -109,7 +109,7 @@ def at_a_glance(table: Table, records: DataFrame, facts: dict | None = None) ->
              ("Anomalous Rows", str(facts["panel"]["rows_flagged"])),
              ("Top Insight", first), ("Top Anomaly", worst)]
     return table.frame([(i, *p) for i, p in enumerate(pairs)],
-                       "position int, metric string, value string")
+                       "position bigint, metric string, value string")
 
 
 def report_text(table: Table, records: DataFrame, explanations: dict[int, str] | None = None) -> str:
@@ -125,4 +125,4 @@ def report_text(table: Table, records: DataFrame, explanations: dict[int, str] |
 
 
 def line_frame(table: Table, lines: list[str]) -> DataFrame:
-    return table.frame(list(enumerate(lines)), "position int, line string")
+    return table.frame(list(enumerate(lines)), "position bigint, line string")

@@ -194,7 +194,7 @@ class Table:
         kinds = column_types(self)
         return self.frame(
             [(self.name, self.rows, len(self.columns), list(kinds.items()))],
-            "name string, row_count bigint, col_count int, column_types map<string,string>")
+            "name string, row_count bigint, col_count bigint, column_types map<string,string>")
 
 
 def number_rows(df: DataFrame, dense: bool = True) -> DataFrame:
@@ -222,15 +222,19 @@ def file_row_ids(df: DataFrame) -> DataFrame:
 
     File path and position in the file are stable, so recomputed tasks give the same ids.
     """
-    placed = df.select(*[ref(c) for c in df.columns], F.col("_metadata.file_path").alias("_file"),
-                       F.col("_metadata.row_index").alias("_pos"))
-    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_size"))
-    # One row per file.
-    before = F.sum("_size").over(_all_before("_file"))
-    offsets = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_offset"))
-    numbered = placed.join(F.broadcast(offsets), "_file")
+    pos = F.col("_metadata.row_index")
+    sizes = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("n"))
+    offsets, total = [], 0
+    for file, n in sorted((r[0], r[1]) for r in sizes.collect()):  # one row per file
+        offsets.append((file, total))
+        total += n
+    columns = [ref(c) for c in df.columns]
+    if len(offsets) <= 1:
+        return df.select(pos.alias("row_id"), *columns)
+    placed = df.select(*columns, F.col("_metadata.file_path").alias("_file"), pos.alias("_pos"))
+    known = small_frame(df.sparkSession, offsets, "_file string, _offset bigint")
     row_id = (F.col("_offset") + F.col("_pos")).alias("row_id")
-    return numbered.select(row_id, *[ref(c) for c in df.columns])
+    return placed.join(F.broadcast(known), "_file").select(row_id, *columns)
 
 
 def read_parquet(spark, path, row_id=None, name=None, **options) -> Table:
