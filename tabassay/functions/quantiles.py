@@ -1,41 +1,27 @@
 """Exact quantiles of many columns at any size.
 
 Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer,
-which does not survive a wide-domain column with billions of rows. Here the wanted order
-statistics are closed in between two values, by the quantiles of a random sample, and the
-closing is verified by exact counts; what lies strictly between is then small enough to
-sort in one buffer, or is narrowed again. Sampling only decides how fast this goes: the
-result is exact whatever the sample, and a value repeated any number of times is one value.
+which does not survive a wide-domain column with billions of rows. Here edges taken from a
+random sample close each wanted order statistic in; an exact count of the values below, at
+and between the edges tells where it lies. It is then an edge itself, or inside an interval
+that is small enough to sort in one buffer, or that is closed in again. Sampling only
+decides how fast this goes: the result is exact whatever the sample, and a value repeated
+any number of times is one edge.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_SIZE = 50_000
-
-
-@dataclass
-class _Target:
-    """Order statistic number ``rank`` (from 0) among ``inside`` values in the open interval."""
-    column: str
-    rank: int
-    inside: int
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
+from ..sources.table import ref, small_frame
 
-    def within(self, x):
-        test = x.isNotNull()
-        if self.low is not None:
-            test = test & (x > F.lit(self.low))
-        if self.high is not None:
-            test = test & (x < F.lit(self.high))
-        return test
+SAMPLE_SIZE = 50_000
+DIRECT_COLUMNS = 20
+EVERYTHING = (None, None)
 
 
 def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float],
@@ -48,121 +34,147 @@ def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float],
     out = {c: [None] * len(probs) for c in counts}
     if not columns:
         return out
-    if max(counts[c] for c in columns) <= direct_limit:
+    # Values held by one buffer of the direct way, over all columns.
+    if max(counts[c] for c in columns) * len(columns) <= DIRECT_COLUMNS * direct_limit:
         asked = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(_q(c), asked).alias(f"q{i}")
+        row = df.agg(*[F.percentile(ref(c), asked).alias(f"q{i}")
                        for i, c in enumerate(columns)]).first()
         out.update({c: list(row[i]) for i, c in enumerate(columns)})
         return out
 
-    targets: dict = {}
-    for c in columns:
-        for p in probs:
-            at = (counts[c] - 1) * p
-            for rank in (math.floor(at), math.ceil(at)):
-                targets.setdefault((c, rank), _Target(c, rank, counts[c]))
-    open_ones = list(targets.values())
-    while open_ones:
-        small = [t for t in open_ones if t.inside <= direct_limit]
-        large = [t for t in open_ones if t.inside > direct_limit]
-        if small:
-            _settle(df, small)
-        if large:
-            _narrow(df, large, sample_size)
-        open_ones = [t for t in large if t.value is None]
-
+    positions = {c: [(counts[c] - 1) * p for p in probs] for c in columns}
+    wanted = {c: {k for at in positions[c] for k in (math.floor(at), math.ceil(at))} for c in columns}
+    values = _order_statistics(df, counts, wanted, direct_limit, sample_size)
     for c in columns:
-        for i, p in enumerate(probs):
-            at = (counts[c] - 1) * p
-            a, b = targets[c, math.floor(at)].value, targets[c, math.ceil(at)].value
+        for i, at in enumerate(positions[c]):
+            a, b = values[c, math.floor(at)], values[c, math.ceil(at)]
             out[c][i] = a + (b - a) * (at - math.floor(at))
     return out
 
 
-def _q(c):
-    return F.col("`" + c.replace("`", "``") + "`")
-
-
-def _settle(df, targets):
-    """Sort the few values left in each interval; at most ``direct_limit`` each."""
-    spans = {}
-    for t in targets:
-        spans.setdefault((t.column, t.low, t.high), []).append(t)
+def _order_statistics(df, counts, wanted, direct_limit, sample_size):
+    """{(column, rank): value} for zero-based ranks among a column's non-null values."""
+    values: dict = {}
+    # Open intervals still holding wanted ranks: (column, low, high) -> (ranks, before, inside).
+    spans = {(c, *EVERYTHING): (sorted(ranks), 0, counts[c]) for c, ranks in wanted.items() if ranks}
+    while spans:
+        small = {k: s for k, s in spans.items() if s[2] <= direct_limit}
+        large = {k: s for k, s in spans.items() if s[2] > direct_limit}
+        if small:
+            values.update(_sort_inside(df, small))
+        spans = {}
+        if large:
+            found, spans = _close_in(df, large, sample_size)
+            values.update(found)
+    return values
+
+
+def _within(x, low, high):
+    test = x.isNotNull()
+    if low is not None:
+        test = test & (x > F.lit(low))
+    if high is not None:
+        test = test & (x < F.lit(high))
+    return test
+
+
+def _close_in(df, spans, sample_size):
+    edges = _sampled_edges(df, spans, sample_size)
+    placed = _count_places(df, edges)
+    values, rest = {}, {}
+    for (c, low, high), (ranks, _, _) in spans.items():
+        marks, sizes = edges[c], placed[c]
+        before = [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+        for rank in ranks:
+            place = bisect_right(before, rank) - 1  # even: between edges, odd: at an edge
+            if place % 2:
+                values[c, rank] = marks[place // 2]
+                continue
+            inner = (marks[place // 2 - 1] if place else None,
+                     marks[place // 2] if place // 2 < len(marks) else None)
+            key = (c, *inner)
+            known = rest.get(key, ([], before[place], sizes[place]))
+            rest[key] = ([*known[0], rank], *known[1:])
+    return values, rest
+
+
+def _sampled_edges(df, spans, sample_size):
+    """{column: ascending distinct edges} around the wanted ranks, old interval ends included."""
     keys = list(spans)
-    keep = F.lit(False)
+    most = max(inside for _, _, inside in spans.values())
     aggs = []
     for i, key in enumerate(keys):
-        t = spans[key][0]
-        x = _q(t.column)
-        keep = keep | t.within(x)
-        ordered = F.array_sort(F.collect_list(F.when(t.within(x), x)))
-        wanted = F.array(*[F.element_at(ordered, F.lit(s.rank + 1)) for s in spans[key]])
-        aggs.append(wanted.alias(f"v{i}"))
-    row = df.where(keep).agg(*aggs).first()
-    for i, key in enumerate(keys):
-        for t, v in zip(spans[key], row[i]):
-            t.value = v
+        ranks, before, inside = spans[key]
+        # Six standard errors of a sample quantile on either side of the rank.
+        slack = 6 * math.sqrt(0.25 / max(sample_size * inside / most, 1.0))
+        cuts = []
+        for r in ranks:
+            middle = (r - before + 0.5) / inside
+            if cuts and middle - slack - cuts[-1][0] < slack / 50:  # next rank of the same pair
+                cuts[-1] = (cuts[-1][0], middle + slack)
+            else:
+                cuts.append((middle - slack, middle + slack))
+        cuts = sorted({min(max(p, 0.0), 1.0) for pair in cuts for p in pair})
+        c, low, high = key
+        inner = F.when(_within(ref(c), low, high), ref(c))
+        aggs.append(F.percentile(inner, F.array(*[F.lit(p) for p in cuts])).alias(f"e{i}"))
+    rate = min(1.0, sample_size / most)
+    drawn = df.where(F.rand(17) < F.lit(rate)).agg(*aggs).first()
+    edges: dict = {}
+    for i, (c, low, high) in enumerate(keys):
+        marks = edges.setdefault(c, set())
+        marks.update(e for e in (low, high) if e is not None)
+        if drawn[i] is None:  # nothing sampled from a thin interval: take its ends
+            inner = df.where(_within(ref(c), low, high)).agg(F.min(ref(c)), F.max(ref(c))).first()
+            marks.update(inner)
+        else:
+            marks.update(drawn[i])
+    return {c: sorted(marks) for c, marks in edges.items()}
 
 
-def _narrow(df, targets, sample_size):
-    """Close each target in between two sampled values and count exactly what lies where."""
-    spans = {}
-    for t in targets:
-        spans.setdefault((t.column, t.low, t.high), []).append(t)
-    keys = list(spans)
-    most = max(spans[k][0].inside for k in keys)
-    total = max(most, 1)
-    sampled = df.where(F.rand(17) < F.lit(min(1.0, sample_size / total)))
-    aggs = []
-    for i, key in enumerate(keys):
-        t = spans[key][0]
-        x = _q(t.column)
-        inner = F.when(t.within(x), x)
-        # Six standard errors of a sample quantile on either side.
-        expected = max(sample_size * t.inside / total, 1.0)
-        slack = 6 * math.sqrt(0.25 / expected)
-        edges = []
-        for s in spans[key]:
-            mid = (s.rank + 0.5) / s.inside
-            edges += [max(0.0, mid - slack), min(1.0, mid + slack)]
-        aggs.append(F.percentile(inner, F.array(*[F.lit(e) for e in edges])).alias(f"e{i}"))
-    drawn = sampled.agg(*aggs).first()
-
-    pairs, counts = [], []
-    for i, key in enumerate(keys):
-        edges = drawn[i]
-        if edges is None:  # nothing sampled from a thin interval: sample it fully next time
-            edges = [v for _ in spans[key] for v in _any_two(df, spans[key][0])]
-        for j, t in enumerate(spans[key]):
-            lo, hi = edges[2 * j], edges[2 * j + 1]
-            x = _q(t.column)
-            inner = t.within(x)
-            k = len(pairs)
-            pairs.append((t, lo, hi))
-            counts += [
-                F.count_if(inner & (x < F.lit(lo))).alias(f"below{k}"),
-                F.count_if(inner & (x == F.lit(lo))).alias(f"at_lo{k}"),
-                F.count_if(inner & (x > F.lit(lo)) & (x < F.lit(hi))).alias(f"mid{k}"),
-                F.count_if(inner & (x == F.lit(hi)) & F.lit(hi > lo)).alias(f"at_hi{k}"),
-            ]
-    row = df.agg(*counts).first()
-    for k, (t, lo, hi) in enumerate(pairs):
-        below, at_lo, mid, at_hi = (row[f"{part}{k}"] for part in ("below", "at_lo", "mid", "at_hi"))
-        rank = t.rank
-        if rank < below:
-            t.high, t.inside = lo, below
-        elif rank < below + at_lo:
-            t.value = lo
-        elif rank < below + at_lo + mid:
-            t.low, t.high, t.inside, t.rank = lo, hi, mid, rank - below - at_lo
-        elif rank < below + at_lo + mid + at_hi:
-            t.value = hi
-        else:
-            passed = below + at_lo + mid + at_hi
-            t.low, t.inside, t.rank = hi, t.inside - passed, rank - passed
+def _count_places(df, edges):
+    """{column: counts below the first edge, at it, up to the second, ...}.
+
+    A value's place is the number of edges it has reached plus the number it has passed.
+    The edges ride along as a broadcast row per column, so the generated code stays small
+    for any number of columns.
+    """
+    width = max(len(marks) for marks in edges.values())
+    padded = [(c, *marks, *[None] * (width - len(marks))) for c, marks in edges.items()]
+    ddl = ", ".join(["column string", *[f"e{i} double" for i in range(width)]])
+    known = small_frame(df.sparkSession, padded, ddl)
+    pairs = df.select(*[ref(c) for c in edges]).unpivot([], [ref(c) for c in edges], "column", "x")
+    x = F.col("x")
+    place = F.lit(0)
+    for i in range(width):
+        e = F.col(f"e{i}")
+        place = place + F.when(x > e, 2).when(x == e, 1).otherwise(0)
+    rows = (pairs.where("x IS NOT NULL").join(F.broadcast(known), "column")
+            .select("column", place.alias("place"))
+            .groupBy("column", "place").agg(F.count(F.lit(1)).alias("n")).collect())
+    out = {c: [0] * (2 * len(marks) + 1) for c, marks in edges.items()}
+    for r in rows:
+        out[r["column"]][r["place"]] = r["n"]
+    return out
 
 
-def _any_two(df, t):
-    x = _q(t.column)
-    row = df.where(t.within(x)).agg(F.min(x), F.max(x)).first()
-    return [row[0], row[1]]
+def _sort_inside(df, spans):
+    """Sort the few values inside each interval and pick the wanted ranks."""
+    keys = list(spans)
+    columns = list(dict.fromkeys(c for c, _, _ in keys))
+    tagged = []
+    for c in columns:
+        x = ref(c)
+        tag = F.lit(None).cast("int")
+        for i, (name, low, high) in enumerate(keys):
+            if name == c:
+                tag = F.when(_within(x, low, high), F.lit(i)).otherwise(tag)
+        tagged.append(F.when(tag.isNotNull(), F.struct(tag.alias("span"), x.alias("x"))).alias(c))
+    cells = (df.select(*tagged).unpivot([], [ref(c) for c in columns], "column", "cell")
+             .where("cell IS NOT NULL").select("cell.span", "cell.x"))
+    ordered = cells.groupBy("span").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    asked = [(i, r, r - spans[k][1] + 1) for i, k in enumerate(keys) for r in spans[k][0]]
+    picks = small_frame(df.sparkSession, asked, "span int, rank bigint, at int")
+    rows = ordered.join(F.broadcast(picks), "span").select(
+        "span", "rank", F.element_at("xs", F.col("at")).alias("x")).collect()
+    return {(keys[r["span"]][0], r["rank"]): r["x"] for r in rows}

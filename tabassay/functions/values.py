@@ -66,7 +66,7 @@ def few_distinct(table: Table, columns, bound: int) -> dict[str, int]:
     """
     columns = list(columns)
     if columns and table.rows > table.direct_limit:
-        seen = table.aggregate({c: F.approx_count_distinct(table.text(c)) for c in columns})
+        seen = table.aggregate({c: F.approx_count_distinct(ref(c)) for c in columns})
         columns = [c for c in columns if seen[c] <= 2 * bound + 20]
     return {c: n for c, n in distinct_counts(table, columns).items() if n <= bound}
 
