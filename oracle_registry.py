@@ -255,11 +255,11 @@ def skews(table, columns):
   FROM numbers4 WHERE count >= 10 AND abs(skewness) > 2)"""]
 
 
-def pairs_sql():
+def pairs_sql(table="dq", columns=NUMBERS):
     out = []
-    for i, a in enumerate(NUMBERS):
-        for j, b in enumerate(NUMBERS[i + 1:], i + 1):
-            out.append(f"SELECT {i * 100 + j} AS position, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM dq")
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns[i + 1:], i + 1):
+            out.append(f"SELECT {i * 100 + j} AS position, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {table}")
     return "corrs AS (SELECT position, a, b, CASE WHEN isnan(r) THEN NULL ELSE r END AS r FROM (" + \
         "\nUNION ALL\n".join(out) + "))"
 
@@ -483,6 +483,8 @@ def oracle_sql() -> dict[str, str]:
     # sources, types, roles
     q["preview"] = dq(f"SELECT row_id, order_id, {rounded(*[c for c in NUM if c != 'tier'])}, tier, {', '.join(STR)} "
                       "FROM dq ORDER BY row_id LIMIT 100")
+    q["read_csv"] = dq(f"SELECT order_id, {rounded(*[c for c in NUM if c != 'tier'])}, tier, {', '.join(STR)} FROM dq")
+    q["read_csv_types"] = dq('SELECT position, "column", col_type FROM kinds', DQ_SHAPES, KINDS)
     q["descriptor"] = dq("""SELECT 'dq_orders' AS name, max(rows) AS row_count, count(*) AS col_count,
       string_agg("column" || '=' || col_type, ', ' ORDER BY "column" || '=' || col_type) AS column_types FROM kinds""",
                          DQ_SHAPES, KINDS)
@@ -578,9 +580,10 @@ def oracle_sql() -> dict[str, str]:
       list_position(['high','medium','low'], severity) AS rank FROM findings GROUP BY severity""", *FINDING_CTES, FINDINGS)
     q["finding_totals"] = dq("""SELECT (SELECT count(*) FROM findings) AS insights, count(DISTINCT c) AS affected_columns
       FROM (SELECT unnest(string_split(columns, ', ')) AS c FROM findings)""", *FINDING_CTES, FINDINGS)
-    q["corr_matrix"] = dq("""SELECT a AS column_a, b AS column_b, round(r, 2) + 0.0 AS r FROM corrs
-      UNION ALL SELECT b, a, round(r, 2) + 0.0 FROM corrs
-      UNION ALL SELECT c, c, 1.0 FROM unnest(%r) u(c)""" % NUMBERS, pairs_sql())
+    matrix = """SELECT a AS column_a, b AS column_b, round(r, 2) + 0.0 AS r FROM corrs
+      UNION ALL SELECT b, a, round(r, 2) + 0.0 FROM corrs UNION ALL SELECT c, c, 1.0 FROM unnest(%r) u(c)"""
+    q["corr_matrix"] = dq(matrix % NUMBERS, pairs_sql())
+    q["corr_matrix_lineitem"] = with_(pairs_sql("lineitem", LINEITEM_NUM), body=matrix % LINEITEM_NUM)
     seen = ["skewed", "spiky", "amount", "amount_tax", "price_low", "price_high"]
     q["flagged_hist"] = dq(f"""SELECT h.position, h."column", h.bin, {rounded('low', 'high')}, h.count,
       round(n.skewness, 2) + 0.0 AS skew FROM hist h JOIN numbers n ON n."column" = h."column" """,

@@ -10,6 +10,8 @@ from sample_views import dq_orders, given
 from tabassay.operators import (anomalies, ask, basic, forest, insights, profile, quality, roles,
                                 types)
 from tabassay.plans import report
+from tabassay.sources.csv import read_csv
+from tabassay.sources.table import scratch_path
 
 UNIVARIATE = ("iqr", "zscore")
 
@@ -65,6 +67,14 @@ def customer(spark, sf):
     return given(spark, sf, "customer", "c_custkey", {"c_acctbal": "amount"})
 
 
+def dq_csv(spark, sf):
+    """The view written as CSV by Spark and read back with inferred types."""
+    path = scratch_path(spark, "csv")
+    dq_orders(spark, sf).df.drop("row_id").write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_csv(spark, path, "dq_orders", multiline=False)
+
+
 def supplier(spark, sf):
     return given(spark, sf, "supplier", "s_suppkey")
 
@@ -108,6 +118,8 @@ def queries() -> dict:
         made[name] = lambda spark, sf_dir: flat(operator(source(spark, sf_dir)), digits)
 
     # sources, types, roles
+    add("read_csv", dq_csv, lambda t: t.df.drop("row_id"))
+    add("read_csv_types", dq_csv, types.type_frame)
     add("preview", dq_orders, lambda t: t.preview(100))
     add("descriptor", dq_orders, descriptor)
     add("column_types", dq_orders, types.type_frame)
@@ -178,6 +190,7 @@ def queries() -> dict:
     add("severity_counts", dq_orders, lambda t: insights.severity_counts(insights.findings(t)))
     add("finding_totals", dq_orders, lambda t: insights.finding_totals(insights.findings(t)))
     add("corr_matrix", dq_orders, insights.correlation_matrix)
+    add("corr_matrix_lineitem", lineitem, insights.correlation_matrix)
     add("flagged_hist", dq_orders, insights.flagged_histograms)
     # anomalies
     add("iqr", dq_orders, anomalies.iqr_records)

@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources.table import Table
+from ..sources.table import AGGREGATES_PER_PASS, Table
 
 
 def number_moments(table: Table, columns) -> dict:
@@ -91,32 +93,67 @@ def _correlations(table):
     columns = table.number_columns
     shape = number_moments(table, columns)
     live = [c for c in columns if c in shape]
+    gappy = {c for c in live if table.missing_count(c)}
+    pairs = list(combinations(live, 2))
+    partial = [p for p in pairs if gappy.intersection(p)]
+    few = len(pairs) + 5 * len(partial) <= AGGREGATES_PER_PASS
+    sums = (_pair_sums if few else _pair_sums_by_block)(table, live, gappy, shape)
+    out = {}
+    for a, b in combinations(columns, 2):
+        n, sx, sy, sxx, syy, sxy = sums.get((a, b), (0,) + (0.0,) * 5)
+        out[a, b] = None
+        if n < 2:
+            continue
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        # Constant on the shared rows: nothing left but rounding.
+        if vx > 1e-13 * sxx and vy > 1e-13 * syy:
+            out[a, b] = max(-1.0, min(1.0, (sxy - sx * sy / n) / math.sqrt(vx * vy)))
+    return out
+
+
+def _pair_sums(table, live, gappy, shape):
+    """{(a, b): n, sums of x, y, xx, yy, xy} around the column means, in one aggregate."""
     d = {c: table.number(c) - F.lit(shape[c]["mean"]) for c in live}
     want = {}
     for a, b in combinations(live, 2):
         x, y = d[a], d[b]
-        want["xy", a, b] = F.sum(x * y)
-        if table.missing_count(a) or table.missing_count(b):
+        want[a, b, "xy"] = F.sum(x * y)
+        if gappy.intersection((a, b)):
             x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            want["n", a, b] = F.count(x)
-            want["x", a, b], want["y", a, b] = F.sum(x), F.sum(y)
-            want["xx", a, b], want["yy", a, b] = F.sum(x * x), F.sum(y * y)
-            want["span", a, b] = F.least(F.max(x) - F.min(x), F.max(y) - F.min(y))
+            want[a, b, "n"] = F.count(x)
+            want[a, b, "x"], want[a, b, "y"] = F.sum(x), F.sum(y)
+            want[a, b, "xx"], want[a, b, "yy"] = F.sum(x * x), F.sum(y * y)
     got = table.aggregate(want) if want else {}
     out = {}
-    for a, b in combinations(columns, 2):
-        out[a, b] = None
-        if ("xy", a, b) not in got:
-            continue
-        sxy, sxx, syy = got["xy", a, b], shape[a]["s2"], shape[b]["s2"]
-        n = got.get(("n", a, b))
-        if n is not None:
-            if n < 2 or not got["span", a, b]:
-                continue
-            sx, sy = got["x", a, b], got["y", a, b]
-            sxy -= sx * sy / n
-            sxx = got["xx", a, b] - sx * sx / n
-            syy = got["yy", a, b] - sy * sy / n
-        if sxx > 0 and syy > 0:
-            out[a, b] = max(-1.0, min(1.0, sxy / math.sqrt(sxx * syy)))
+    for a, b in combinations(live, 2):
+        if (a, b, "n") in got:
+            out[a, b] = tuple(got[a, b, k] or 0 for k in ("n", "x", "y", "xx", "yy", "xy"))
+        else:
+            out[a, b] = (table.rows, 0.0, 0.0, shape[a]["s2"], shape[b]["s2"], got[a, b, "xy"])
     return out
+
+
+def _pair_sums_by_block(table, live, gappy, shape):
+    """The same for many columns: each task multiplies its blocks of rows as matrices, so one
+    scan serves all pairs; what leaves a task is six numbers per pair."""
+    centred = [(table.number(c) - F.lit(shape[c]["mean"])).alias(f"c{i}") for i, c in enumerate(live)]
+    width = len(live)
+    upper = np.triu_indices(width, 1)
+
+    def multiply(batches):
+        total = np.zeros((6, width, width))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            present = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            seen, squares = x.T @ present, (x * x).T @ present
+            total += [present.T @ present, seen, seen.T, squares, squares.T, x.T @ x]
+        picked = total[(slice(None), *upper)]
+        yield pd.DataFrame({"a": upper[0], "b": upper[1],
+                            **dict(zip(("n", "x", "y", "xx", "yy", "xy"), picked))})
+
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    ddl = "a int, b int, " + ", ".join(f"{k} double" for k in names)
+    rows = (table.df.select(*centred).mapInPandas(multiply, ddl).groupBy("a", "b")
+            .agg(*[F.sum(k).alias(k) for k in names]).collect())
+    return {(live[r["a"]], live[r["b"]]): tuple(r[k] for k in names) for r in rows}

@@ -64,6 +64,8 @@ class Table:
         """
         if row_id is None:
             df, row_id = number_rows(df), "row_id"
+        if not isinstance(df.schema[row_id].dataType, T.IntegralType):
+            raise ValueError(f"row id {row_id!r} must be a whole-number column")
         self.spark = df.sparkSession
         self.name = name
         self.row_id = row_id
@@ -75,6 +77,23 @@ class Table:
         self.df = df.select(ref(row_id), *[self._clean(c) for c in self.columns])
         self._memo: dict = {}
 
+    def spread(self) -> Table:
+        """A copy cut into one part per core and kept in memory or on disk, if the source has
+        fewer splits than there are cores; otherwise the table itself.
+
+        Worth it before several passes over a small or unsplittable source. A lost part is
+        read and cut again: the cut is by row id.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        if self.raw.rdd.getNumPartitions() >= cores:
+            return self
+        kept = self.raw.repartition(cores, ref(self.row_id)).persist()
+        return Table(kept, self.name, self.row_id, self.formats, self.direct_limit)
+
+    def release(self) -> None:
+        """Give back what ``spread`` kept."""
+        self.raw.unpersist()
+
     # -- column kinds ---------------------------------------------------------------
 
     def is_boolean(self, c):

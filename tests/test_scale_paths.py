@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabassay import Table
+from tabassay.functions import moments
+from tabassay.functions.moments import correlations
 from tabassay.functions.ordered import gap_moments, longest_null_runs
 from tabassay.functions.quantiles import exact_quantiles
 from tabassay.functions.values import few_distinct
@@ -140,3 +142,50 @@ def test_results_do_not_depend_on_partitions(spark):
         t = Table(df.repartition(parts, F.xxhash64("row_id")), "t", "row_id")
         results.append((quality.missing_facts(t), quality.duplicate_facts(t), quality.issue_rows(t)))
     assert results[0] == results[1]
+
+
+def test_correlations_of_many_columns(spark):
+    """Wide tables multiply blocks of rows; the result equals pairwise-complete Pearson."""
+    rng = np.random.default_rng(11)
+    n, width = 800, 20
+    data = pd.DataFrame(rng.normal(size=(n, width)) @ rng.normal(size=(width, width)) + 1e6,
+                        columns=[f"v{i}" for i in range(width)])
+    for i in range(0, width, 3):
+        data.loc[rng.random(n) < 0.3, f"v{i}"] = np.nan
+    data["v1"] = 0.1  # constant
+    data.insert(0, "row_id", range(n))
+    t = Table(spark.createDataFrame(data).repartition(5), "wide", "row_id")
+    got, want = correlations(t), data.drop(columns="row_id").corr()
+    assert len(got) == width * (width - 1) // 2
+    for (a, b), r in got.items():
+        if "v1" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_pair_sums_agree(spark):
+    df = spark.range(500).select(
+        F.col("id").alias("row_id"), F.sin("id").alias("a"), (F.sin("id") + F.cos("id")).alias("b"),
+        F.when(F.col("id") % 3 > 0, F.cos(F.col("id") * 2)).alias("c"))
+    t = Table(df, "t", "row_id")
+    shape = moments.number_moments(t, t.columns)
+    one = moments._pair_sums(t, ["a", "b", "c"], {"c"}, shape)
+    two = moments._pair_sums_by_block(t, ["a", "b", "c"], {"c"}, shape)
+    for pair in one:
+        assert one[pair] == pytest.approx(two[pair], abs=1e-9)
+
+
+def test_spread_keeps_rows(spark):
+    t = Table(spark.range(1000).coalesce(1).select(F.col("id").alias("row_id"), (F.col("id") % 7).alias("x")),
+              "t", "row_id")
+    wide = t.spread()
+    assert wide.raw.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert wide.rows == 1000 and wide.facts() == t.facts()
+    assert wide.spread() is wide
+    wide.release()
+
+
+def test_row_id_must_be_a_whole_number(spark):
+    with pytest.raises(ValueError):
+        Table(spark.createDataFrame([("a", 1)], "k string, x int"), "t", "k")
