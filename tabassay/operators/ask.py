@@ -67,7 +67,7 @@ def schema_context(table: Table) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("rank", "value")))
     samples = first_values(table).groupBy("column").agg(
         F.array_join(F.transform(ordered, lambda e: e["value"]), ", ").alias("samples"))
-    return F.broadcast(described).join(samples, "column", "left").select(
+    return described.join(F.broadcast(samples), "column", "left").select(
         "position", "column", "role", "label",
         F.coalesce("samples", F.lit("(all null)")).alias("samples"), "min", "max", "mean")
 

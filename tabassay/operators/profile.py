@@ -64,7 +64,8 @@ def profile_categorical(table: Table, columns=None, k: int = TOP_VALUES) -> Data
     if not columns:
         return table.frame([], _CATEGORICAL)
     counts = value_counts(table, columns)
-    unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    # Reads n like the branch below, so that both share one scan and shuffle.
+    unique = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("unique_count"))
     listed = table.frame([(c, table.count(c), table.missing_count(c)) for c in columns],
                          "column string, count bigint, null_count bigint")
     top = top_values(counts, k).join(F.broadcast(listed), "column")
@@ -75,7 +76,7 @@ def profile_categorical(table: Table, columns=None, k: int = TOP_VALUES) -> Data
     kept = F.transform("ranked", lambda e: F.struct(e["value"].alias("value"),
                                                     e["count"].alias("count"),
                                                     e["pct"].alias("pct")))
-    return F.broadcast(listed).join(found, "column", "left").select(
+    return listed.join(F.broadcast(found), "column", "left").select(
         "column", "count", "null_count",
         F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
         F.col("ranked")[0]["value"].alias("mode"),
@@ -117,16 +118,23 @@ def _datetime_facts(table, columns):
     months = pairs.groupBy("column", F.year("at").alias("y"), F.month("at").alias("m")).agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
     # At most 12 rows per column and year from here on.
-    per_year = months.groupBy("column", "y").agg(F.sum("n").alias("k"))
-    per_month = months.groupBy("column", "m").agg(F.sum("n").alias("k"))
-    span = months.groupBy("column").agg(F.sum("n").alias("n"), F.min("first").alias("first"),
-                                        F.max("last").alias("last"))
-    year = per_year.groupBy("column").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("year"))
-    month = per_month.groupBy("column").agg(F.max_by("m", F.struct("k", -F.col("m"))).alias("month"))
+    sums = months.groupingSets([["column"], ["column", "y"], ["column", "m"]], "column", "y", "m").agg(
+        F.grouping_id().alias("level"), F.sum("n").alias("n"),
+        F.min("first").alias("first"), F.max("last").alias("last"))
+    level = F.col("level")  # 3: whole column, 1: year, 2: month
+
+    def most_common(part, at):
+        return F.max_by(part, F.when(level == at, F.struct("n", -F.col(part))))
+
+    whole = level == 3
+    span = sums.groupBy("column").agg(
+        F.max(F.when(whole, F.col("n"))).alias("n"), F.min("first").alias("first"),
+        F.max("last").alias("last"), most_common("y", 1).alias("year"),
+        most_common("m", 2).alias("month"))
     days = F.floor((F.unix_micros(F.col("last").cast("timestamp"))
                     - F.unix_micros(F.col("first").cast("timestamp"))) / F.lit(86_400_000_000))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    rows = span.join(year, "column").join(month, "column").select(
+    rows = span.select(
         "column", "n", iso("first").alias("first"), iso("last").alias("last"),
         days.alias("days"), "year", "month").collect()
     got = {r["column"]: (r["n"], table.missing_count(r["column"]), r["first"], r["last"],

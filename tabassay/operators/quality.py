@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ordered import longest_null_runs
 from ..functions.text import WHITESPACE, rounded, share
 from ..functions.values import LONG_TEXT, distinct_counts, few_distinct, row_key
-from ..sources.table import Table, ref
+from ..sources.table import Table, ref, stage
 from .types import column_types, of_type
 
 # Name parts of quantities that should not be negative.
@@ -123,6 +123,7 @@ def near_duplicate_rows(table: Table, max_rows: int | None = None) -> DataFrame:
     groups = _near_groups(table, max_rows)
     if groups is None:
         return table.frame([], "group_row_id bigint, n bigint, row_id bigint")
+    groups = stage(groups, "groups")  # used three times below
     key = id_column(table)
     rows = _first_rows(table, max_rows).select(
         row_key(table, [c for c in table.columns if c != key]), ref(table.row_id).alias("row_id"))
@@ -167,11 +168,12 @@ def _violation_facts(table):
     values = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     order = Window.partitionBy("column").orderBy("at", "value")
     first = values.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLES)
+    # Both branches read n and at, so that they share one scan and shuffle.
     samples = first.groupBy("column").agg(
-        F.array_sort(F.collect_list(F.struct("k", "value"))).alias("samples"))
-    totals = values.groupBy("column").agg(F.sum("n").alias("n"))
+        F.array_sort(F.collect_list(F.struct("k", "value", "n"))).alias("samples"))
+    totals = values.groupBy("column").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
     got = {r["column"]: (r["n"], [s["value"] for s in r["samples"]])
-           for r in totals.join(samples, "column").collect()}
+           for r in totals.join(F.broadcast(samples), "column").collect()}
     return {c: got[c] for c in checked if c in got}
 
 

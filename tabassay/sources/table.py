@@ -20,6 +20,7 @@ ISO_STAMP = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?$"
 )
 AGGREGATES_PER_PASS = 120
+MAX_FILES = 1_000_000
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -240,20 +241,22 @@ def file_row_ids(df: DataFrame) -> DataFrame:
     """Add row_id = dense position over the files of a parquet scan, without copying rows.
 
     File path and position in the file are stable, so recomputed tasks give the same ids.
+    What is broadcast is two numbers per file, up to MAX_FILES; beyond that rows are staged.
     """
-    pos = F.col("_metadata.row_index")
-    sizes = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("n"))
-    offsets, total = [], 0
-    for file, n in sorted((r[0], r[1]) for r in sizes.collect()):  # one row per file
-        offsets.append((file, total))
-        total += n
-    columns = [ref(c) for c in df.columns]
+    path = F.col("_metadata.file_path")
+    sizes = df.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(_all_before("path")), F.lit(0))  # one row per file
+    placed = sizes.select(F.xxhash64("path").alias("_file"), before.alias("_offset"))
+    offsets = [tuple(r) for r in placed.limit(MAX_FILES + 1).collect()]
+    if len(offsets) > MAX_FILES or len({f for f, _ in offsets}) < len(offsets):
+        return number_rows(df)
+    columns, pos = [ref(c) for c in df.columns], F.col("_metadata.row_index")
     if len(offsets) <= 1:
         return df.select(pos.alias("row_id"), *columns)
-    placed = df.select(*columns, F.col("_metadata.file_path").alias("_file"), pos.alias("_pos"))
-    known = small_frame(df.sparkSession, offsets, "_file string, _offset bigint")
+    known = small_frame(df.sparkSession, offsets, "_file bigint, _offset bigint")
     row_id = (F.col("_offset") + F.col("_pos")).alias("row_id")
-    return placed.join(F.broadcast(known), "_file").select(row_id, *columns)
+    return (df.select(*columns, F.xxhash64(path).alias("_file"), pos.alias("_pos"))
+            .join(F.broadcast(known), "_file").select(row_id, *columns))
 
 
 def read_parquet(spark, path, row_id=None, name=None, **options) -> Table:
