@@ -584,10 +584,14 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT b, a, round(r, 2) + 0.0 FROM corrs UNION ALL SELECT c, c, 1.0 FROM unnest(%r) u(c)"""
     q["corr_matrix"] = dq(matrix % NUMBERS, pairs_sql())
     q["corr_matrix_lineitem"] = with_(pairs_sql("lineitem", LINEITEM_NUM), body=matrix % LINEITEM_NUM)
-    seen = ["skewed", "spiky", "amount", "amount_tax", "price_low", "price_high"]
-    q["flagged_hist"] = dq(f"""SELECT h.position, h."column", h.bin, {rounded('low', 'high')}, h.count,
-      round(n.skewness, 2) + 0.0 AS skew FROM hist h JOIN numbers n ON n."column" = h."column" """,
-                           histogram("dq", seen, 40), number_profile("dq", NUM))
+    flagged = """flagged AS (SELECT c AS "column", row_number() OVER (ORDER BY min(ordinal * 10 + k)) - 1 AS position
+      FROM (SELECT ordinal, unnest(string_split(columns, ', ')) AS c, generate_subscripts(string_split(columns, ', '), 1) AS k
+        FROM findings WHERE finding_type IN ('distribution_skew', 'outlier_prevalence', 'high_correlation')) GROUP BY c)"""
+    every = number_profile("dq", NUMBERS).replace("numbers AS", "every AS", 1)
+    q["flagged_hist"] = dq(f"""SELECT f.position, h."column", h.bin, {rounded('low', 'high')}, h.count,
+      round(n.skewness, 2) + 0.0 AS skew FROM flagged f JOIN hist h ON h."column" = f."column"
+      JOIN every n ON n."column" = h."column" """,
+                           *FINDING_CTES, FINDINGS, flagged, histogram("dq", NUMBERS, 40), every)
     # anomalies
     q["iqr"] = dq(RECORD_OUT.format("iqr"), iqr_of("dq", NUM))
     q["iqr_events"] = with_(iqr_of("events", ["value"], "event_id"), body=RECORD_OUT.format("iqr"))

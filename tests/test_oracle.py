@@ -11,6 +11,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 # A forest depends on its random splits, so there is no SQL for it; see test_forest.py.
 WITHOUT_SQL = {"forest_scores", "forest_records", "anomalies_all", "forest_scores_lineitem"}
+# On the smallest tables no column passes as normal.
+MAY_BE_EMPTY = {"zscore", "zscore_two"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
 
@@ -29,7 +31,7 @@ def test_registration():
 def test_query(spark, duck, name):
     verdict, rows, _ = compare(spark, duck, SF_DIR, name, QUERIES[name], ORACLE.get(name))
     assert verdict == ("rows only" if name in WITHOUT_SQL else "ok")
-    assert rows > 0 or name in ("skew_documents", "skew_labels", "cardinality_labels", "iqr_events")
+    assert rows > 0 or name in MAY_BE_EMPTY
 
 
 def test_entry(spark):
