@@ -22,10 +22,6 @@ def share(part, whole, digits=2):
     return rounded(part / whole * 100, digits) if whole else 0.0
 
 
-def general(value):
-    return "%.4g" % value
-
-
 def name_tokens(name):
     return re.split(r"[\s_\-]+", name.lower())
 

@@ -6,6 +6,8 @@ that makes up any share of the table arrives as one record per task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +49,10 @@ def distinct_counts(table: Table, columns) -> dict[str, int]:
     if other:
         short = [_short(table.text(c)).alias(c) for c in other]
         groups.append(table.df.select(*short).unpivot([], [ref(c) for c in other], "column", "value"))
-    for pairs in groups:
-        found = (pairs.where("value IS NOT NULL").distinct()
-                 .groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect())
+    counted = [pairs.where("value IS NOT NULL").distinct()
+               .groupBy("column").agg(F.count(F.lit(1)).alias("n")) for pairs in groups]
+    if counted:
+        found = reduce(DataFrame.unionByName, counted).collect()
         known.update({r["column"]: r["n"] for r in found})
     return {c: known.get(c, 0) for c in columns}
 
@@ -59,16 +62,22 @@ def _short(x: Column) -> Column:
 
 
 def few_distinct(table: Table, columns, bound: int) -> dict[str, int]:
-    """Exact distinct counts of just those columns that have at most ``bound`` values.
+    """Exact distinct counts of just those columns that have at most ``bound`` values."""
+    found = distinct_counts(table, few_candidates(table, columns, bound))
+    return {c: n for c, n in found.items() if n <= bound}
+
+
+def few_candidates(table: Table, columns, bound: int) -> list[str]:
+    """Columns that may have at most ``bound`` values.
 
-    On large tables a sketch first drops columns that cannot qualify: with d distinct values
-    at most d registers of the sketch are set, so its estimate stays near d for small d.
+    On large tables a sketch drops columns that cannot: with d distinct values at most d
+    registers of the sketch are set, so its estimate stays near d for small d.
     """
     columns = list(columns)
     if columns and table.rows > table.direct_limit:
         seen = table.aggregate({c: F.approx_count_distinct(ref(c)) for c in columns})
         columns = [c for c in columns if seen[c] <= 2 * bound + 20]
-    return {c: n for c, n in distinct_counts(table, columns).items() if n <= bound}
+    return columns
 
 
 def row_key(table: Table, columns, alias: str = "key") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.moments import normality, number_moments
-from ..functions.text import general
+from ..functions.wording import RANGE
 from ..sources.table import Table, ref
 from .forest import forest_records
 from .profile import quartiles
@@ -41,7 +41,7 @@ def iqr_bounds(table: Table) -> list[tuple]:
         if spread:
             low, high = q1 - 1.5 * spread, q3 + 1.5 * spread
             out.append((c, "iqr", low, high, q1, q3, spread, 1.5, 3.5, 2.0, 3.0,
-                        f"[{general(low)}, {general(high)}]"))
+                        RANGE["iqr"].format(low=low, high=high)))
     return out
 
 
@@ -71,7 +71,7 @@ def zscore_bounds(table: Table, threshold: float) -> list[tuple]:
         if p is not None and p > 0.05 and std:
             low, high = mean - threshold * std, mean + threshold * std
             out.append((c, "zscore", low, high, mean, mean, std, threshold, 4.0, 0.0, threshold + 2,
-                        f"[{general(low)}, {general(high)}]  (μ ± {threshold:.1f}σ)"))
+                        RANGE["zscore"].format(low=low, high=high, threshold=threshold)))
     return out
 
 

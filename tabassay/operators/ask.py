@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.histogram import histograms
-from ..functions.text import general
 from ..functions.values import value_counts
+from ..functions.wording import SCHEMA
 from ..sources.table import Table, ref
 from .roles import ROLE_LABELS, semantic_roles
 from .types import column_types, of_type
@@ -69,19 +69,15 @@ def schema_context(table: Table) -> DataFrame:
         F.array_join(F.transform(ordered, lambda e: e["value"]), ", ").alias("samples"))
     return described.join(F.broadcast(samples), "column", "left").select(
         "position", "column", "role", "label",
-        F.coalesce("samples", F.lit("(all null)")).alias("samples"), "min", "max", "mean")
+        F.coalesce("samples", F.lit(SCHEMA["no_samples"])).alias("samples"), "min", "max", "mean")
 
 
 def schema_text(table: Table) -> str:
     """The schema context as text, one line per column."""
-    lines = [f"Dataset: {table.name}  ({table.rows:,} rows × {len(table.columns)} columns)",
-             "", "Columns:"]
+    lines = [SCHEMA["heading"].format(name=table.name, rows=table.rows, columns=len(table.columns))]
     for r in schema_context(table).orderBy("position").collect():
-        line = f"  {r['column']!r:40s} [{r['label']}]  samples: {r['samples']}"
-        if r["min"] is not None:
-            line += (f"  |  min={general(r['min'])}, max={general(r['max'])}, "
-                     f"mean={general(r['mean'])}")
-        lines.append(line)
+        numbers = SCHEMA["numbers"] if r["min"] is not None else ""
+        lines.append((SCHEMA["column"] + numbers).format(**r.asDict()))
     return "\n".join(lines)
 
 
@@ -124,7 +120,7 @@ def _attempt(table, sql):
 def preview_rows(result: DataFrame, rows: int = PREVIEW_ROWS):
     """First rows, and the total when there are more; counted only then."""
     shown = result.limit(rows + 1).collect()
-    note = f"... ({result.count():,} total rows)" if len(shown) > rows else ""
+    note = SCHEMA["more_rows"].format(n=result.count()) if len(shown) > rows else ""
     return shown[:rows], note
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.histogram import histograms
 from ..functions.values import few_distinct, top_values, value_counts
+from ..functions.wording import WARNING
 from ..sources.table import Table, ref
 from .profile import quartiles
 from .quality import duplicate_facts
@@ -47,22 +48,18 @@ def single_valued(table: Table) -> list[str]:
 
 
 def warning_texts(table: Table) -> list[str]:
-    """Warnings in order: duplicates, missing values, single-valued columns (fixed wording)."""
+    """Warnings in order: duplicates, missing values, single-valued columns."""
     texts = []
     extra = duplicate_facts(table)["exact_count"]
     if extra:
-        texts.append(f"Dataset contains {extra} duplicate row(s).")
+        texts.append(WARNING["duplicates"].format(n=extra))
     for c in table.columns:
         n = table.missing_count(c)
         if n:
             pct = n / table.rows * 100
-            if pct > 30:
-                texts.append(f"Column '{c}' is missing {n} value(s) ({pct:.1f}% of rows) "
-                             "— consider dropping or imputing.")
-            else:
-                texts.append(f"Column '{c}' has {n} missing value(s) ({pct:.1f}% of rows).")
-    texts += [f"Column '{c}' has only one unique value — it may not be useful."
-              for c in single_valued(table)]
+            text = WARNING["many_missing" if pct > 30 else "some_missing"]
+            texts.append(text.format(column=c, n=n, pct=pct))
+    texts += [WARNING["one_value"].format(column=c) for c in single_valued(table)]
     return texts
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.text import general
+from ..functions.wording import RANGE
 from ..sources.table import Table, ref, stage
 from .profile import quartiles
 from .types import of_type
@@ -186,7 +186,7 @@ def forest_records(table: Table, contamination: float = 0.05) -> DataFrame:
     driver = max(range(len(columns)), key=lambda i: (shift[i], -i))
     mean, std = seen[f"mean{driver}"], seen[f"std{driver}"]
     low, high = mean - 3 * std, mean + 3 * std
-    text = f"[{general(low)}, {general(high)}]  (primary driver: {columns[driver]})"
+    text = RANGE["forest"].format(low=low, high=high, column=columns[driver])
     score = (F.col("score") - F.lit(seen["low"])) / F.lit(seen["high"] - seen["low"] + 1e-10)
     return scored.where(flagged).select(
         "row_id", F.lit("multivariate").alias("column"),

@@ -11,6 +11,7 @@ from ..functions.histogram import histograms
 from ..functions.moments import correlations, number_moments
 from ..functions.ordered import gap_moments
 from ..functions.text import rounded, share
+from ..functions.wording import FINDING
 from ..sources.table import Table, ref, small_frame
 from .profile import categorical_facts, number_profiles
 from .types import of_type
@@ -23,11 +24,8 @@ ORDERED_PAIRS = [
 ]
 # Finding severities, most severe first.
 SEVERITIES = ["high", "medium", "low"]
-# Texts for findings without an explanation.
-NO_EXPLANATION = "No explanation available."
-NO_ACTION = "Review this finding manually."
 
-FINDING = """ordinal bigint, columns array<string>, finding_type string, statistic string,
+_SCHEMA = """ordinal bigint, columns array<string>, finding_type string, statistic string,
     severity string, context string"""
 HISTOGRAM_BINS = 40
 
@@ -42,16 +40,15 @@ def skew_findings(table: Table) -> list:
     for c, p in number_profiles(table).items():
         skew = p["skewness"]
         if p["count"] >= MIN_VALUES and skew is not None and abs(skew) > 2:
-            tail = ("right-skewed (long tail of high values)" if skew > 0
-                    else "left-skewed (long tail of low values)")
-            out.append(_finding([c], "distribution_skew", f"skewness={skew:.2f}", abs(skew) > 5,
+            tail = FINDING["right" if skew > 0 else "left"]
+            out.append(_finding([c], "distribution_skew", FINDING["skew"].format(x=skew), abs(skew) > 5,
                                 column=c, skewness=rounded(skew, 2), direction=tail,
                                 mean=rounded(p["mean"], 2), median=rounded(p["median"], 2)))
     return out
 
 
 def correlation_findings(table: Table) -> list:
-    return [_finding([a, b], "high_correlation", f"r={r:.2f}", abs(r) > 0.95,
+    return [_finding([a, b], "high_correlation", FINDING["correlation"].format(x=r), abs(r) > 0.95,
                      column_a=a, column_b=b, pearson_r=rounded(r, 2),
                      direction="positive" if r > 0 else "negative")
             for (a, b), r in correlations(table).items() if r is not None and abs(r) > 0.85]
@@ -67,10 +64,11 @@ def outlier_findings(table: Table) -> list:
         pct = far[c] / p["count"] * 100
         if pct > 5:
             low, high = p["mean"] - 3 * p["std"], p["mean"] + 3 * p["std"]
-            out.append(_finding([c], "outlier_prevalence", f"{pct:.1f}% outliers (±3σ)", pct > 15,
+            out.append(_finding([c], "outlier_prevalence", FINDING["outliers"].format(x=pct), pct > 15,
                                 column=c, outlier_pct=rounded(pct, 1), mean=rounded(p["mean"], 2),
                                 std=rounded(p["std"], 2),
-                                bounds=f"{rounded(low, 2)} to {rounded(high, 2)}"))
+                                bounds=FINDING["bounds"].format(low=rounded(low, 2),
+                                                                high=rounded(high, 2))))
     return out
 
 
@@ -83,7 +81,8 @@ def dominance_findings(table: Table) -> list:
         top = facts[c]["top_values"][0]
         if top["pct"] > 70:
             out.append(_finding([c], "categorical_dominance",
-                                f"'{top['value']}' in {top['pct']:.1f}% of rows", top["pct"] > 90,
+                                FINDING["dominance"].format(value=top["value"], x=top["pct"]),
+                                top["pct"] > 90,
                                 column=c, dominant_value=top["value"],
                                 dominant_pct=rounded(top["pct"], 1),
                                 unique_value_count=facts[c]["unique_count"]))
@@ -104,10 +103,10 @@ def gap_facts(table: Table) -> dict:
 
 def gap_text(seconds: float) -> str:
     if seconds < 7200:
-        return f"{seconds:.0f} seconds"
+        return FINDING["seconds"].format(x=seconds)
     if seconds < 172_800:
-        return f"{seconds / 3600:.1f} hours"
-    return f"{int(seconds // 86_400)} days"
+        return FINDING["hours"].format(x=seconds / 3600)
+    return FINDING["days"].format(x=int(seconds // 86_400))
 
 
 def date_gap_findings(table: Table) -> list:
@@ -117,10 +116,10 @@ def date_gap_findings(table: Table) -> list:
             continue
         cv = std / mean
         if cv > 0.5:
-            out.append(_finding([c], "date_gaps", f"gap CV={cv:.2f}", cv > 2,
+            out.append(_finding([c], "date_gaps", FINDING["gaps"].format(x=cv), cv > 2,
                                 column=c, mean_gap=gap_text(mean), std_gap=gap_text(std),
                                 coefficient_of_variation=rounded(cv, 2),
-                                note="High CV means the time between records is irregular."))
+                                note=FINDING["gaps_note"]))
     return out
 
 
@@ -145,9 +144,10 @@ def contradiction_findings(table: Table) -> list:
         n = got["over", a, b]
         if n:
             pct = share(n, got["both", a, b], 1)
-            out.append(_finding([a, b], "cross_column_contradiction", f"{n} rows where {a} > {b}",
+            out.append(_finding([a, b], "cross_column_contradiction",
+                                FINDING["contradiction"].format(n=n, a=a, b=b),
                                 pct > 10, column_a=a, column_b=b,
-                                rule_violated=f"{a} should be ≤ {b}",
+                                rule_violated=FINDING["rule"].format(a=a, b=b),
                                 violation_count=n, violation_pct=pct))
     return out
 
@@ -161,7 +161,7 @@ def finding_rows(table: Table) -> list:
 
 
 def finding_frame(table: Table, rows) -> DataFrame:
-    return table.frame([(i, *r) for i, r in enumerate(rows)], FINDING)
+    return table.frame([(i, *r) for i, r in enumerate(rows)], _SCHEMA)
 
 
 def findings(table: Table) -> DataFrame:
@@ -190,8 +190,8 @@ def explain_findings(found: DataFrame, explanations: DataFrame | None = None) ->
                                    "ordinal bigint, explanation string, recommended_action string")
     joined = found.join(explanations, "ordinal", "left")
     return joined.select(
-        *found.columns, F.coalesce("explanation", F.lit(NO_EXPLANATION)).alias("explanation"),
-        F.coalesce("recommended_action", F.lit(NO_ACTION)).alias("recommended_action"))
+        *found.columns, F.coalesce("explanation", F.lit(FINDING["no_explanation"])).alias("explanation"),
+        F.coalesce("recommended_action", F.lit(FINDING["no_action"])).alias("recommended_action"))
 
 
 def correlation_matrix(table: Table) -> DataFrame:

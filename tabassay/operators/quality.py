@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import longest_null_runs
 from ..functions.text import WHITESPACE, rounded, share
-from ..functions.values import LONG_TEXT, distinct_counts, few_distinct, row_key
+from ..functions.values import LONG_TEXT, distinct_counts, few_candidates, row_key
+from ..functions.wording import ISSUE
 from ..sources.table import Table, ref, stage
 from .types import column_types, of_type
 
@@ -196,14 +197,17 @@ def cardinality_facts(table: Table) -> list[tuple]:
 def _cardinality_facts(table):
     if table.rows <= CARDINALITY_MIN_ROWS:
         return []
-    words = distinct_counts(table, of_type(table, "categorical"))
-    numbers = few_distinct(table, of_type(table, "numeric"), FEW_VALUES)
+    words = of_type(table, "categorical")
+    numbers = few_candidates(table, of_type(table, "numeric"), FEW_VALUES)
+    distinct = distinct_counts(table, words + numbers)
     out = []
     for c in table.columns:
-        if c in words and share(words[c], table.rows) > MANY_VALUES_PCT:
-            out.append((c, "high_cardinality_categorical", words[c], share(words[c], table.rows)))
-        elif c in numbers:
-            out.append((c, "low_cardinality_numeric", numbers[c], share(numbers[c], table.rows)))
+        n = distinct.get(c)
+        pct = share(n or 0, table.rows)
+        if c in words and pct > MANY_VALUES_PCT:
+            out.append((c, "high_cardinality_categorical", n, pct))
+        elif c in numbers and n <= FEW_VALUES:
+            out.append((c, "low_cardinality_numeric", n, pct))
     return out
 
 
@@ -301,33 +305,31 @@ def health(table: Table) -> DataFrame:
 # -- issue table ----------------------------------------------------------------------
 
 def issue_rows(table: Table) -> list[tuple]:
-    """(column, issue type, severity, detail). The texts are fixed values of the report."""
+    """(column, issue type, severity, detail)."""
     rows = []
     for c, (n, pct, _, pattern) in missing_facts(table).items():
         if n:
             level = "High" if pct > 30 else "Medium" if pct > 10 else "Low"
-            rows.append((c, "Missing Values", level, f"{n} missing ({pct}%, {pattern})"))
+            rows.append((c, "Missing Values", level, ISSUE["missing"].format(n=n, pct=pct, pattern=pattern)))
     d = duplicate_facts(table)
     if d["exact_count"]:
         rows.append(("(all columns)", "Duplicate Rows", "High" if d["exact_pct"] > 10 else "Medium",
-                     f"{d['exact_count']} exact duplicates ({d['exact_pct']}%)"))
+                     ISSUE["duplicates"].format(n=d["exact_count"], pct=d["exact_pct"])))
     if d["near_groups"]:
         rows.append((d["id_column"], "Near-Duplicate Rows", "Low",
-                     f"{d['near_groups']} row groups identical except in '{d['id_column']}'"))
+                     ISSUE["near"].format(n=d["near_groups"], column=d["id_column"])))
     for c, (n, samples) in violation_facts(table).items():
         rows.append((c, "Type Violation", "Medium",
-                     f"{n} values can't be cast (e.g. {', '.join(samples)})"))
+                     ISSUE["violation"].format(n=n, samples=", ".join(samples))))
     for c, kind, n, pct in cardinality_facts(table):
-        many = kind == "high_cardinality_categorical"
+        text = ISSUE["many_values" if kind == "high_cardinality_categorical" else "few_values"]
         rows.append((c, "Cardinality Anomaly", "Low",
-                     f"{n} unique values ({pct}%) — may be free text or an ID column" if many
-                     else f"Only {n} unique values — may be categorical"))
+                     text.format(n=n, pct=pct)))
     for c, (padded, casing) in spelling_issues(table).items():
-        found = (["leading/trailing spaces"] if padded else []) + (
-            ["casing variants (e.g. 'Apple' vs 'apple')"] if casing else [])
+        found = [ISSUE[k] for k, seen in (("padding", padded), ("casing", casing)) if seen]
         rows.append((c, "Whitespace / Casing", "Low", ", ".join(found)))
     for c, (n, pct) in negative_facts(table).items():
-        rows.append((c, "Unexpected Negatives", "Medium", f"{n} negative values ({pct}%)"))
+        rows.append((c, "Unexpected Negatives", "Medium", ISSUE["negatives"].format(n=n, pct=pct)))
     return rows
 
 

@@ -1,10 +1,11 @@
-"""Report lines from quality, findings and anomalies. The wording is fixed by the report format."""
+"""Report lines from quality, findings and anomalies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from ..functions.text import quoted, share, title
+from ..functions.wording import FINDING, REPORT
 from ..operators import anomalies, insights, quality
 from ..operators.profile import memory_mb
 from ..operators.types import type_count_rows
@@ -17,51 +18,54 @@ LISTED_FINDINGS = 6
 
 
 def quality_lines(table: Table) -> list[str]:
-    lines = [f"Health score: {quality.health_score(table)}/100"]
+    lines = [REPORT["health"].format(score=quality.health_score(table))]
     total = quality.missing_total(table)[1]
     if total > 0:
         facts = quality.missing_facts(table)
         worst = max(facts, key=lambda c: facts[c][1])
-        lines.append(f"Missing data: {total:.1f}% of all cells; worst column is '{worst}' "
-                     f"({facts[worst][1]:.1f}% missing, {facts[worst][3]} pattern)")
+        lines.append(REPORT["missing"].format(total=total, column=worst, pct=facts[worst][1],
+                                              pattern=facts[worst][3]))
     else:
-        lines.append("No missing values detected.")
+        lines.append(REPORT["no_missing"])
     d = quality.duplicate_facts(table)
-    lines.append(f"Exact duplicates: {d['exact_count']:,} rows ({d['exact_pct']:.1f}% of dataset)"
-                 if d["exact_count"] else "No exact duplicate rows found.")
+    some = "duplicates" if d["exact_count"] else "no_duplicates"
+    lines.append(REPORT[some].format(n=d["exact_count"], pct=d["exact_pct"]))
     bad = list(quality.violation_facts(table))
     if bad:
-        lines.append(f"Type violations in {len(bad)} column(s): {quoted(bad[:LISTED_COLUMNS])}")
+        lines.append(REPORT["violations"].format(n=len(bad), columns=quoted(bad[:LISTED_COLUMNS])))
     spelled = quality.spelling_issues(table)
     if spelled:
-        lines.append(f"Whitespace / casing inconsistencies in {len(spelled)} column(s)")
+        lines.append(REPORT["spelling"].format(n=len(spelled)))
     negative = list(quality.negative_facts(table).items())
     if negative:
-        listed = ", ".join(f"'{c}' ({pct:.1f}%)" for c, (_, pct) in negative[:LISTED_COLUMNS])
-        lines.append(f"Unexpected negative values: {listed}")
+        listed = [REPORT["negative"].format(column=c, pct=pct)
+                  for c, (_, pct) in negative[:LISTED_COLUMNS]]
+        lines.append(REPORT["negatives"].format(columns=", ".join(listed)))
     return [f"- {line}" for line in lines]
 
 
 def insight_lines(table: Table, explanations: dict[int, str] | None = None) -> list[str]:
     rows = insights.finding_rows(table)
     if not rows:
-        return ["- No significant statistical patterns detected."]
+        return [REPORT["no_insights"]]
     texts = explanations or {}
-    return [f"- [{severity.upper()}] {title(kind)} in {quoted(columns)} ({statistic}): "
-            f"{texts.get(i, insights.NO_EXPLANATION)}"
-            for i, (columns, kind, statistic, severity, _) in enumerate(rows[:LISTED_FINDINGS])]
+    return [REPORT["insight"].format(
+        severity=severity.upper(), title=title(kind), columns=quoted(columns), statistic=statistic,
+        explanation=texts.get(i, FINDING["no_explanation"]))
+        for i, (columns, kind, statistic, severity, _) in enumerate(rows[:LISTED_FINDINGS])]
 
 
 def finding_lines(table: Table) -> list[str]:
-    return [f"- [{severity.upper()}] {kind} on {', '.join(columns)}: {statistic}"
+    return [REPORT["finding"].format(severity=severity.upper(), kind=kind,
+                                     columns=", ".join(columns), statistic=statistic)
             for columns, kind, statistic, severity, _ in insights.finding_rows(table)]
 
 
 def finding_headline(table: Table) -> str:
     rows = insights.finding_rows(table)
     n, k = len(rows), len({c for columns, *_ in rows for c in columns})
-    return (f"{n} insight{'s' if n != 1 else ''} found "
-            f"across {k} column{'s' if k != 1 else ''}")
+    return REPORT["headline"].format(n=n, k=k, insights="insight" if n == 1 else "insights",
+                                     columns="column" if k == 1 else "columns")
 
 
 def anomaly_facts(table: Table, records: DataFrame) -> dict:
@@ -76,14 +80,15 @@ def anomaly_lines(table: Table, records: DataFrame, facts: dict | None = None) -
     facts = facts or anomaly_facts(table, records)
     flagged, top = facts["panel"]["rows_flagged"], facts["top"]
     if not flagged:
-        return ["- No anomalies detected."]
-    lines = [f"- {flagged:,} rows flagged ({share(flagged, table.rows, 1)}% of dataset)"]
-    lines += [f"- {anomalies.METHOD_LABELS[m]}: {n:,} records" for m, n in facts["methods"].items()]
-    if facts["panel"]["multi_method_rows"]:
-        lines.append(f"- {facts['panel']['multi_method_rows']} rows flagged by 2+ methods "
-                     "(high confidence)")
-    lines.append(f"- Highest-scoring anomaly: row {top['row_id']}, driven by "
-                 f"'{top['primary_driver_feature']}' (composite score {top['composite_score']:.2f})")
+        return [REPORT["no_anomalies"]]
+    lines = [REPORT["flagged"].format(n=flagged, pct=share(flagged, table.rows, 1))]
+    lines += [REPORT["method"].format(label=anomalies.METHOD_LABELS[m], n=n)
+              for m, n in facts["methods"].items()]
+    multi = facts["panel"]["multi_method_rows"]
+    if multi:
+        lines.append(REPORT["multi"].format(n=multi))
+    lines.append(REPORT["top"].format(row=top["row_id"], column=top["primary_driver_feature"],
+                                      score=top["composite_score"]))
     return lines
 
 
@@ -96,32 +101,31 @@ def at_a_glance(table: Table, records: DataFrame, facts: dict | None = None) ->
     """(position, metric, value): health, insight and anomaly counts, first insight, top anomaly."""
     facts = facts or anomaly_facts(table, records)
     score, rows, top = quality.health_score(table), insights.finding_rows(table), facts["top"]
-    first = "None"
+    first = worst = "None"
     if rows:
         columns, kind, statistic, *_ = rows[0]
-        first = f"{title(kind)} in {quoted(columns)} ({statistic})"
-    worst = "None"
+        first = REPORT["glance_insight"].format(title=title(kind), columns=quoted(columns),
+                                                statistic=statistic)
     if top is not None:
-        worst = (f"Row {top['row_id']} — '{top['primary_driver_feature']}' "
-                 f"(score {top['composite_score']:.2f}, {top['severity']} severity)")
-    pairs = [("Health Score", f"{score}/100 — {quality.health_label(score)}"),
-             ("Insight Count", str(len(rows))),
-             ("Anomalous Rows", str(facts["panel"]["rows_flagged"])),
-             ("Top Insight", first), ("Top Anomaly", worst)]
+        worst = REPORT["glance_anomaly"].format(
+            row=top["row_id"], column=top["primary_driver_feature"], score=top["composite_score"],
+            severity=top["severity"])
+    pairs = [("Health Score", REPORT["glance_health"].format(
+        score=score, band=quality.health_label(score))),
+        ("Insight Count", str(len(rows))),
+        ("Anomalous Rows", str(facts["panel"]["rows_flagged"])),
+        ("Top Insight", first), ("Top Anomaly", worst)]
     return table.frame([(i, *p) for i, p in enumerate(pairs)],
                        "position bigint, metric string, value string")
 
 
 def report_text(table: Table, records: DataFrame, explanations: dict[int, str] | None = None) -> str:
-    sections = [
-        f"Dataset: {table.name}\n"
-        f"Size: {table.rows:,} rows × {len(table.columns)} columns ({memory_mb(table):.1f} MB in memory)\n"
-        f"Column types: {types_line(table)}",
-        "--- DATA QUALITY ---\n" + "\n".join(quality_lines(table)),
-        "--- STATISTICAL INSIGHTS ---\n" + "\n".join(insight_lines(table, explanations)),
-        "--- ANOMALY DETECTION ---\n" + "\n".join(anomaly_lines(table, records)),
-    ]
-    return "\n\n".join(sections)
+    heading = REPORT["heading"].format(name=table.name, rows=table.rows, columns=len(table.columns),
+                                       mb=memory_mb(table), types=types_line(table))
+    parts = {"quality": quality_lines(table), "insights": insight_lines(table, explanations),
+             "anomalies": anomaly_lines(table, records)}
+    sections = [REPORT[name].format(lines="\n".join(lines)) for name, lines in parts.items()]
+    return "\n\n".join([heading, *sections])
 
 
 def line_frame(table: Table, lines: list[str]) -> DataFrame:
