@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.moments import number_moments
 from ..functions.quantiles import exact_quantiles
-from ..functions.text import rounded, share
+from ..functions.text import rounded
 from ..functions.values import distinct_counts, top_values, value_counts
 from ..sources.table import Table, ref
 from .quality import duplicate_facts, missing_total
