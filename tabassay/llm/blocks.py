@@ -71,6 +71,24 @@ def text_blocks(batches, column: str = "text", size: int = BLOCK_BYTES):
             start = stop
 
 
+def run_hashes(data: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """64 bits of each of the runs, none empty, whose bytes lie one after the other in ``data``."""
+    if not len(long):
+        return np.zeros(0, U64)
+    at = np.cumsum(long) - long
+    powers = np.empty(int(long.max()), U64)
+    powers[0] = 1
+    powers[1:] = _BASE
+    np.multiply.accumulate(powers, out=powers)
+    order = np.arange(len(data)) - np.repeat(at, long)
+    return mix(np.add.reduceat(_BYTE[data] * powers[order], at) + long.astype(U64))
+
+
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[i] .. start[i] + count[i] - 1 of all i, one after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 class Words:
     """Words of the texts of one block.
 
@@ -94,20 +112,7 @@ class Words:
         self.end = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.start, self.offsets)
         self.counts = np.diff(self.first)
-        self.hash = self._hashes(inside)
-
-    def _hashes(self, inside):
-        if not len(self.start):
-            return np.zeros(0, U64)
-        long = self.end - self.start
-        at = np.zeros(len(long) + 1, np.int64)
-        np.cumsum(long, out=at[1:])
-        order = np.arange(at[-1]) - np.repeat(at[:-1], long)
-        powers = np.empty(int(long.max()), U64)
-        powers[0] = 1
-        powers[1:] = _BASE
-        np.multiply.accumulate(powers, out=powers)
-        return mix(np.add.reduceat(_BYTE[self.data[inside]] * powers[order], at[:-1]) + long.astype(U64))
+        self.hash = run_hashes(self.data[inside], self.end - self.start)
 
     def text_of_word(self):
         return np.repeat(np.arange(len(self.counts)), self.counts)

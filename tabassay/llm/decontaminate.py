@@ -107,11 +107,6 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, **columns
     return texts(docs, **columns).mapInArrow(make, _SEGMENT)
 
 
-def _ranges(start, count):
-    """Concatenated start[i] .. start[i]+count[i]-1."""
-    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-
-
 class Segment:
     """Posting lists of one index row; a posting is found by (term number, position)."""
 
@@ -150,7 +145,7 @@ def search_segment(seg: Segment, tests: Tests, near: int):
     alive = np.flatnonzero((known | ~used).all(1))
     lead = order[alive, 0]
     w = np.repeat(alive, seg.long[term[alive, lead]])
-    start = seg.key[_ranges(seg.lists[term[alive, lead]], seg.long[term[alive, lead]])] & 0xFFFFFFFF
+    start = seg.key[blocks.ranges(seg.lists[term[alive, lead]], seg.long[term[alive, lead]])] & 0xFFFFFFFF
     start = start - order[w, 0]
     for j in range(1, tests.terms.shape[1]):
         off = order[w, j]
@@ -166,7 +161,7 @@ def search_segment(seg: Segment, tests: Tests, near: int):
     three = three[(t[:, 0] != t[:, 1]) & (t[:, 0] != t[:, 2]) & (t[:, 1] != t[:, 2])]
     lead = term[three, order[three, 0]]
     w = np.repeat(three, seg.long[lead])
-    place = seg.key[_ranges(seg.lists[lead], seg.long[lead])] & 0xFFFFFFFF
+    place = seg.key[blocks.ranges(seg.lists[lead], seg.long[lead])] & 0xFFFFFFFF
     for j in (1, 2):
         ok = seg.distance(term[w, order[w, j]], place) <= near
         w, place = w[ok], place[ok]

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import re
 import struct
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,7 @@ from . import blocks
 from .tables import load, texts
 
 MARK = "▁"  # stands for a space in pieces
-CACHED_UNITS = 150_000   # units kept in a task's memory; then it starts anew
-CACHED_LENGTH = 48       # longer units are encoded each time
+CACHED_UNITS = 400_000   # distinct units kept in a task's memory; then it starts anew
 
 OUTPUT = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -89,7 +89,7 @@ class CharMap:
 
 
 class Codec:
-    """A model file's encoder and decoder. Made once in each task."""
+    """A model file's encoder and decoder."""
 
     def __init__(self, model: bytes, bos: bool = False, eos: bool = True):
         import sentencepiece
@@ -100,6 +100,7 @@ class Codec:
         spec = proto.normalizer_spec
         self.map = CharMap(spec.precompiled_charsmap)
         self.dummy, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        self.plain = not self.map.units and not self.squeeze and not proto.trainer_spec.treat_whitespace_as_suffix
         self.mark = MARK if spec.escape_whitespaces else " "
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         self.decoder = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -109,12 +110,20 @@ class Codec:
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.encoder = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         pieces = [p.piece for p in proto.pieces if p.type in (1, 4)]
+        # a unit is a run of marks with what follows, or a line break no piece holds
         crossing = any(re.search(f"[^{self.mark}]{self.mark}", p) for p in pieces)
         whole = crossing or self.suffix or proto.trainer_spec.model_type not in (1, 2) or any(p.type == 4 for p in proto.pieces)
         joined = {c for p in pieces if len(p) > 1 for c in p}
-        self.alone = "" if "\n" in joined else "\n"  # characters that no longer piece holds
-        self.unit = None if whole else re.compile(f"{self.mark}*[^{self.mark}{self.alone}]+|{self.mark}+|[{self.alone or self.mark}]")
-        self.known: dict = {}
+        self.alone = "\n" not in joined  # no longer piece holds it
+        self.split = not whole
+        self.chars = np.array([1 if p.type == 6 else len(p.piece) for p in proto.pieces], np.int64)
+        self.byte = np.array([int(p.piece[3:5], 16) if p.type == 6 else -64 for p in proto.pieces], np.int64)
+        self.unknown = -1 if proto.trainer_spec.byte_fallback else self.decoder.unk_id()
+        self._forget()
+
+    def _forget(self):
+        self.known: dict = {}  # hash of a unit -> its number
+        self.flat, self.at, self.long = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Text as the model sees it, and the original byte offset of each character and the end."""
@@ -131,50 +140,111 @@ class Codec:
             text, at = (text + " ", np.append(at, at[-1])) if self.suffix else (" " + text, np.append(at[0], at))
         return text.replace(" ", self.mark), at
 
-    def _learn(self, units):
-        """unit -> (ids, characters of each piece; of a character's byte pieces only the last has it)."""
-        made = self.encoder.encode(units, out_type="immutable_proto", num_threads=1)
-        for unit, proto in zip(units, made):
-            ids, size = [], []
-            for p in proto.pieces:
-                ids.append(p.id)
-                size.append(len(p.surface))
-            self.known[unit] = ids, size
+    def _units(self, data, offsets):
+        """Starts of the units in the normalised bytes of a block."""
+        new = np.zeros(len(data), bool)
+        new[offsets[:-1][np.diff(offsets) > 0]] = True
+        if self.split:
+            space = data == 0x20
+            new[1:] |= space[1:] & ~space[:-1]
+            if self.alone:
+                line = data == 0x0A
+                new |= line
+                new[1:] |= line[:-1]
+        return np.flatnonzero(new)
+
+    def _learn(self, keys, strings):
+        if len(self.known) > CACHED_UNITS:
+            self._forget()
+        n, made = len(self.long), self.encoder.encode(strings, num_threads=1)
+        long = np.fromiter(map(len, made), np.int64, len(made))
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(long) - long])
+        self.long = np.concatenate([self.long, long])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), np.int32, int(long.sum()))])
+        self.known.update(zip(keys, range(n, n + len(keys))))
+
+    def _ids(self, data, offsets):
+        """Ids of a block and how many each text has."""
+        start = self._units(data, offsets)
+        long = np.diff(start, append=len(data))
+        key, one, which = np.unique(blocks.run_hashes(data, long), return_index=True, return_inverse=True)
+        keys = key.tolist()
+        if len(self.known) + len(keys) > 2 * CACHED_UNITS:
+            self._forget()
+        new = [i for i, k in enumerate(keys) if k not in self.known]
+        if new:
+            raw, at, n = data.tobytes(), start[one[new]].tolist(), long[one[new]].tolist()
+            self._learn([keys[i] for i in new], [raw[a:a + b].decode().replace(" ", self.mark) for a, b in zip(at, n)])
+        if len(self.known) < len(keys) or any(k not in self.known for k in keys):
+            self._learn(keys, [data[a:a + b].tobytes().decode().replace(" ", self.mark) for a, b in zip(start[one], long[one])])
+        number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
+        count = self.long[number]
+        total = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(count, out=total[1:])
+        return self.flat[blocks.ranges(self.at[number], count)], np.diff(total[np.searchsorted(start, offsets)])
+
+    def _sizes(self, ids, count, texts):
+        """Characters of each piece; of a character's byte pieces only the last has it."""
+        size = self.chars[ids]
+        byte = self.byte[ids]
+        size[:-1][(byte[:-1] >= 0) & (byte[1:] & 0xC0 == 0x80)] = 0
+        if self.unknown >= 0:  # an unknown piece is a run of any length
+            first = np.cumsum(count) - count
+            for k in np.unique(np.searchsorted(first, np.flatnonzero(ids == self.unknown), "right") - 1):
+                made = self.encoder.encode(texts[k].replace(" ", self.mark), return_type="offset_mapping")
+                size[first[k]:first[k] + count[k]] = [b - a for a, b in made["offsets"]]
+        return size
 
     def encode(self, texts: list[str]):
-        """For each text: ids, piece starts and stops as original byte offsets."""
-        for text in texts:
-            norm, at = self.normalise(text)
-            units = self.unit.findall(norm) if self.unit else [norm] if norm else []
-            new = list({u for u in units if u not in self.known})
-            if new:
-                if len(self.known) > CACHED_UNITS:
-                    self.known.clear()
-                    new = list(set(units))
-                self._learn(new)
-            found = [self.known[u] for u in units]
-            ids = list(chain.from_iterable(x[0] for x in found))
-            size = np.fromiter(chain.from_iterable(x[1] for x in found), np.int64, len(ids))
-            for u in new:
-                if len(u) > CACHED_LENGTH:
-                    self.known.pop(u, None)
-            stop = np.cumsum(size)
-            start, stop = at[stop - size], at[stop]
-            n, end = len(self.bos), int(at[-1])
-            if self.bos or self.eos:
-                ids = self.bos + ids + self.eos
-                start = np.concatenate([np.zeros(n, np.int64), start, np.full(len(self.eos), end)])
-                stop = np.concatenate([np.zeros(n, np.int64), stop, np.full(len(self.eos), end)])
-            yield ids, start, stop
+        """Ids, piece starts and stops (original byte offsets) of all texts, and each text's number of pieces."""
+        norm, slow, n = [], {}, len(texts)
+        for k, text in enumerate(texts):
+            if self.plain and MARK not in text:
+                norm.append(" " + text if self.dummy and text else text)
+            else:
+                text, slow[k] = self.normalise(text)
+                norm.append(text.replace(self.mark, " "))
+        data, offsets = blocks.string_column(pa.array(norm, pa.large_string()))
+        ids, count = self._ids(data, offsets) if len(data) else (np.zeros(0, np.int32), np.zeros(n, np.int64))
+        char = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.searchsorted(char, offsets)
+        doc = np.repeat(np.arange(n), np.diff(first))
+        origin = np.maximum(char - offsets[doc] - (1 if self.dummy else 0), 0)
+        end = np.maximum(np.diff(offsets) - (1 if self.dummy else 0), 0)
+        for k, at in slow.items():
+            origin[first[k]:first[k + 1]], end[k] = at[:-1], at[-1]
+        size, text = self._sizes(ids, count, norm), np.repeat(np.arange(n), count)
+        stop = np.cumsum(size)
+        origin = np.append(origin, 0)
+        start, stop = origin[stop - size], np.where(stop == first[1:][text], end[text], origin[stop])
+        b, extra = len(self.bos), len(self.bos) + len(self.eos)
+        if extra:
+            place = np.arange(len(ids)) + text * extra + b
+            last = np.cumsum(count + extra)
+            put = []
+            for x, before, after in ((ids, self.bos, self.eos), (start, 0, end[:, None]), (stop, 0, end[:, None])):
+                y = np.empty(len(ids) + n * extra, np.int32)
+                y[place] = x
+                y[(last - count - extra)[:, None] + np.arange(b)] = before
+                y[last[:, None] - len(self.eos) + np.arange(len(self.eos))] = after
+                put.append(y)
+            ids, start, stop = put
+        return ids, start, stop, count + extra
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.decoder.decode(ids) if ids else []
 
 
+@lru_cache(maxsize=1)
+def _codec(model: bytes, bos: bool = False, eos: bool = True) -> Codec:
+    """One codec for all tasks of a worker, with the units it has met."""
+    return Codec(model, bos, eos)
+
+
 def _lists(values, lengths):
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", bos: bool = False, eos: bool = True) -> DataFrame:
@@ -187,19 +257,14 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", bos: bool = Fa
     schema = T.StructType([*kept, *OUTPUT.fields])
 
     def make(batches):
-        codec = Codec(shared.value, bos, eos)
+        codec = _codec(shared.value, bos, eos)
         for block in blocks.text_blocks(batches, text_col):
-            ids, start, stop = [], [], []
-            for i, a, b in codec.encode([x or "" for x in block.column(block.schema.get_field_index(text_col)).to_pylist()]):
-                ids.append(i)
-                start.append(a)
-                stop.append(b)
-            long = [len(x) for x in ids]
-            flat = lambda x: np.concatenate(x).astype(np.int32)
+            ids, start, stop, long = codec.encode([x or "" for x in block.column(block.schema.get_field_index(text_col)).to_pylist()])
+            each = iter(ids.tolist())
             yield pa.RecordBatch.from_arrays(
                 [*(block.column(block.schema.get_field_index(f.name)) for f in kept),
-                 _lists(np.fromiter(chain.from_iterable(ids), np.int32, sum(long)), long),
-                 _lists(flat(start), long), _lists(flat(stop), long), pa.array(codec.decode(ids), pa.string())], schema.names)
+                 _lists(flat(ids), long),
+                 _lists(flat(start), long), _lists(flat(stop), long), pa.array(codec.decode([i.tolist() for i in ids]), pa.string())], schema.names)
 
     return docs.mapInArrow(make, schema)
 
@@ -211,7 +276,7 @@ def decode(tokens: DataFrame, model: bytes, ids_col: str = "ids", out_col: str =
     @F.pandas_udf("string")
     def text(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
         import pandas as pd
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
         for x in batches:
             yield pd.Series(codec.decode([[] if i is None else [int(j) for j in i] for i in x]), dtype=object)
 
