@@ -263,8 +263,8 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", bos: bool = Fa
             each = iter(ids.tolist())
             yield pa.RecordBatch.from_arrays(
                 [*(block.column(block.schema.get_field_index(f.name)) for f in kept),
-                 _lists(flat(ids), long),
-                 _lists(flat(start), long), _lists(flat(stop), long), pa.array(codec.decode([i.tolist() for i in ids]), pa.string())], schema.names)
+                 _lists(ids, long), _lists(start, long), _lists(stop, long),
+                 pa.array(codec.decode([list(islice(each, k)) for k in long.tolist()]), pa.string())], schema.names)
 
     return docs.mapInArrow(make, schema)
 
