@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, sentencepiece_codec
+from . import decontaminate, minhash_dedup, quality_rules, sentencepiece_codec
 
 
 def queries() -> dict:
     return {
+        "op5_minhash_dedup": minhash_dedup.query,
         "op7_quality_rules": quality_rules.query,
         "op9_decontamination": decontaminate.query,
         "op10_sentencepiece": sentencepiece_codec.query,
@@ -15,6 +16,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_minhash_dedup": minhash_dedup.SQL,
         "op7_quality_rules": quality_rules.SQL,
         "op9_decontamination": decontaminate.SQL,
     }
