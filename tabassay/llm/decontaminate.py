@@ -236,6 +236,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, near:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Documents that hold no window of a test item, with their columns; rows without id too."""
+    found = decontaminate(docs, items, window, near=0).where("contaminated").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
 def query(spark, sf_dir):
     found = decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), near=0)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

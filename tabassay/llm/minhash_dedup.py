@@ -12,8 +12,9 @@ outside the bucket's main component. Two texts of similarity s miss all bands wi
 six standard deviations away.
 
 Null, empty and blank texts have no shingles and link with nothing. Texts with fewer words than a
-shingle are one shingle. Repeated ids are one document: the contract's ids are distinct, and rows
-with an id keep their own row in the result. Ties do not arise: the least id names a component.
+shingle are one shingle. A row without id joins no group and is kept. Ids are taken to be distinct;
+rows that repeat an id and its text keep a row each in the result and stand or fall together. Ties
+do not arise: the least id names a component.
 Empty tables give empty results; extra columns are not read.
 """
 
@@ -167,7 +168,7 @@ def _second_round(percent: int):
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **columns) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable), kept (is it that document)."""
     sketch = stage(sketches(docs, size, **columns), "minhash-sketches")
-    reps = stage(sketch.where("n > 0").groupBy("n", "f1", "f2").agg(
+    reps = stage(sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(
         F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "minhash-representatives")
     member = reps.select("doc", "n", F.posexplode("bands").alias("band", "key"))
     star = stage(member.groupBy("band", "key").agg(F.min("doc").alias("centre"), F.count("*").alias("members")).where("members > 1"), "minhash-buckets")
@@ -206,8 +207,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **columns
     comps = connected_components(edges)
     same_set = sketch.join(reps.select("n", "f1", "f2", "doc"), ["n", "f1", "f2"], "left")
     return (same_set.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc", "doc_id").alias("component_id"))
-            .withColumn("kept", F.col("doc_id") == F.col("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc", "doc_id")).alias("component_id"))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each near-duplicate group, with its columns."""
+    gone = near_duplicates(docs, size, percent).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir):

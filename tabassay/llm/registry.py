@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, quality_rules, sentencepiece_codec
+from . import decontaminate, minhash_dedup, pii, quality_rules, sentencepiece_codec, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.query,
+        "op2_toxicity": toxicity.query,
         "op5_minhash_dedup": minhash_dedup.query,
         "op7_quality_rules": quality_rules.query,
         "op9_decontamination": decontaminate.query,

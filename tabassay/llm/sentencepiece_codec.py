@@ -289,12 +289,11 @@ def model_file(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def digest_columns():
+    return (F.size("ids").cast("long").alias("n_tokens"),
+            F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+            F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def query(spark, sf_dir):
-    return digests(encode(texts(load(spark, sf_dir, "documents")), model_file()))
+    return encode(texts(load(spark, sf_dir, "documents")), model_file()).select("doc_id", *digest_columns())
