@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, pii, quality_rules, sentencepiece_codec, toxicity
+from . import decontaminate, language_id, minhash_dedup, pii, quality_rules, sentencepiece_codec, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.query,
         "op2_toxicity": toxicity.query,
+        "op4_language_id": language_id.query,
         "op5_minhash_dedup": minhash_dedup.query,
         "op7_quality_rules": quality_rules.query,
         "op9_decontamination": decontaminate.query,
