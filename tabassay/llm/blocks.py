@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 4096
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -58,15 +59,15 @@ def string_column(array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def text_blocks(batches, column: str = "text", size: int = BLOCK_BYTES):
-    """Slices of record batches whose texts have about ``size`` bytes together."""
+def text_blocks(batches, column: str = "text", size: int = BLOCK_BYTES, rows: int = BLOCK_ROWS):
+    """Slices of record batches of at most ``rows`` texts with about ``size`` bytes together."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         _, offsets = string_column(batch.column(batch.schema.get_field_index(column)))
         start = 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash_dedup, pii, quality_rules, sentencepiece_codec, toxicity
+from . import decontaminate, language_id, minhash_dedup, pii, quality_rules, sentencepiece_codec, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.query,
         "op4_language_id": language_id.query,
         "op5_minhash_dedup": minhash_dedup.query,
+        "op6_sharding": sharding.query,
         "op7_quality_rules": quality_rules.query,
         "op9_decontamination": decontaminate.query,
         "op10_sentencepiece": sentencepiece_codec.query,
