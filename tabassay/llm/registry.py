@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash_dedup, pii, quality_rules, sentencepiece_codec, sharding, toxicity
+from . import decontaminate, html_extract, language_id, minhash_dedup, pii, quality_rules, sentencepiece_codec, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.query,
         "op2_toxicity": toxicity.query,
+        "op3_html_extraction": html_extract.query,
         "op4_language_id": language_id.query,
         "op5_minhash_dedup": minhash_dedup.query,
         "op6_sharding": sharding.query,
