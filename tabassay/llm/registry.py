@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, minhash_dedup, pii, quality_rules, sentencepiece_codec, sharding, toxicity
+from . import decontaminate, html_extract, language_id, minhash_dedup, pii, quality_rules, sentencepiece_codec, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_minhash_dedup": minhash_dedup.query,
         "op6_sharding": sharding.query,
         "op7_quality_rules": quality_rules.query,
+        "op8_suffix_dedup": suffix_dedup.query,
         "op9_decontamination": decontaminate.query,
         "op10_sentencepiece": sentencepiece_codec.query,
     }
