@@ -19,6 +19,7 @@ from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -273,12 +274,9 @@ def decode(tokens: DataFrame, model: bytes, ids_col: str = "ids", out_col: str =
     """``tokens`` with the text of its ids; null ids are an empty list."""
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def text(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
-        import pandas as pd
-        codec = _codec(shared.value)
-        for x in batches:
-            yield pd.Series(codec.decode([[] if i is None else [int(j) for j in i] for i in x]), dtype=object)
+    @F.pandas_udf(T.StringType())
+    def text(ids: pd.Series) -> pd.Series:
+        return pd.Series(_codec(shared.value).decode([[] if i is None else [int(j) for j in i] for i in ids]), dtype=object)
 
     return tokens.withColumn(out_col, text(F.col(ids_col)))
 
