@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sample_views import DQ_ORDERS
+from sample_views import DQ_ORDERS, US_ORDERS
 
 NUM = ["amount", "amount_tax", "price_low", "price_high", "skewed", "spiky", "tier", "gauss"]
 CAT = ["status", "priority", "ref_code", "middle_name"]
@@ -109,10 +109,15 @@ def stamps_of(table, column, text=False):
     return f"""stamped AS (SELECT * FROM (SELECT {at} AS moment FROM {table}) WHERE moment IS NOT NULL)"""
 
 
+def iso_text(x):
+    return (f"CASE WHEN epoch_us({x}::TIMESTAMP) % 1000000 = 0 THEN strftime({x}, '%Y-%m-%dT%H:%M:%S') "
+            f"ELSE strftime({x}, '%Y-%m-%dT%H:%M:%S.%f') END")
+
+
 def datetime_profile(table, column):
     return f"""SELECT '{column}' AS "column", count(*) AS count,
   (SELECT count(*) FROM {table} WHERE {column} IS NULL) AS null_count,
-  strftime(min(moment), '%Y-%m-%dT%H:%M:%S') AS min_date, strftime(max(moment), '%Y-%m-%dT%H:%M:%S') AS max_date,
+  {iso_text('min(moment)')} AS min_date, {iso_text('max(moment)')} AS max_date,
   CAST(floor((epoch_us(max(moment)) - epoch_us(min(moment))) / 86400000000) AS BIGINT) AS date_range_days,
   (SELECT year(moment) FROM stamped GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS most_common_year,
   (SELECT month(moment) FROM stamped GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS most_common_month
@@ -296,6 +301,15 @@ gaps AS (SELECT (epoch_us(moment) - lag(epoch_us(moment)) OVER (ORDER BY moment)
 gapstats AS (SELECT '{column}' AS "column", count(*) AS n, avg(gap) AS mean_gap, stddev_samp(gap) AS std_gap FROM gaps)"""
 
 
+GAPS_OF_STAMPS = """gaps AS (SELECT (epoch_us(moment) - lag(epoch_us(moment)) OVER (ORDER BY moment)) / 1e6 AS gap FROM stamped),
+gapstats AS (SELECT '{column}' AS "column", count(*) AS n, avg(gap) AS mean_gap, stddev_samp(gap) AS std_gap FROM gaps)"""
+US_DATES = f"us AS ({US_ORDERS.format(orders='orders')})"
+
+
+def us_stamps():
+    return "stamped AS (SELECT * FROM (SELECT try_strptime(ship_date, '%m/%d/%Y') AS moment FROM us) WHERE moment IS NOT NULL)"
+
+
 def gap_text(x):
     return (f"CASE WHEN {x} < 7200 THEN printf('%.0f seconds', {x}) WHEN {x} < 172800 "
             f"THEN printf('%.1f hours', {x} / 3600) ELSE CAST(floor({x} / 86400) AS BIGINT) || ' days' END")
@@ -611,7 +625,9 @@ def oracle_sql() -> dict[str, str]:
     q["labelled_rows"] = dq(f"""SELECT row_id, {rounded('amount', 'gauss')},
       CASE WHEN composite_score IS NULL THEN 'Normal' ELSE 'Anomaly' END AS label,
       coalesce(round(composite_score, 3), 0.0) AS score FROM dq LEFT JOIN composite USING (row_id)""", *RECORDS)
-    q["driver_features"] = dq("SELECT DISTINCT primary_driver_feature FROM records", *RECORDS)
+    q["driver_features"] = dq(f"""SELECT row_number() OVER (ORDER BY place) - 1 AS ordinal, primary_driver_feature
+      FROM (SELECT primary_driver_feature, min((CASE method_used WHEN 'iqr' THEN 0 ELSE 1000 END)
+        + list_position({COLUMNS!r}, primary_driver_feature)) AS place FROM records GROUP BY 1)""", *RECORDS)
     q["top_anomaly"] = dq('SELECT row_id, round(composite_score, 4) AS composite_score, severity, primary_driver_feature, '
                           '"column", method_used FROM top', *RECORDS)
     # plain profile
@@ -649,8 +665,21 @@ def oracle_sql() -> dict[str, str]:
                                      body=bars + ' AND "column" IN (SELECT "column" FROM few)')
     q["date_like"] = dq(each(STR, lambda c, i: f"""SELECT '{c}' AS "column",
       count(*) FILTER ({c} IS NOT NULL AND TRY_CAST({c} AS TIMESTAMP) IS NULL) = 0 AS date_like FROM dq"""))
+    # dates that are not ISO
+    q["profile_datetime_us"] = with_(US_DATES, us_stamps(), body=datetime_profile("us", "ship_date"))
+    q["type_violations_us"] = with_(US_DATES, body="""SELECT 'ship_date' AS "column", count(*) AS violation_count, (SELECT string_agg(v, ', ' ORDER BY r)
+      FROM (SELECT ship_date AS v, min(row_id) AS r FROM us WHERE ship_date IS NOT NULL AND try_strptime(ship_date, '%m/%d/%Y') IS NULL
+      GROUP BY 1 ORDER BY 2 LIMIT 5)) AS samples FROM us WHERE ship_date IS NOT NULL AND try_strptime(ship_date, '%m/%d/%Y') IS NULL""")
+    q["date_gaps_us"] = with_(US_DATES, us_stamps(), GAPS_OF_STAMPS.format(column="ship_date"), body="""SELECT "column", n,
+      round(mean_gap, 4) AS mean_gap, round(std_gap, 4) AS std_gap FROM gapstats""")
+    q["date_like_us"] = with_(US_DATES, body=each(["order_id", "ship_date", "paid_date"][1:], lambda c, i: f"""SELECT '{c}' AS "column",
+      count(*) FILTER ({c} IS NOT NULL AND try_strptime({c}, '%m/%d/%Y') IS NULL) = 0 AS date_like FROM us"""))
     # questions
-    spelled = lambda c: f"{c}::VARCHAR"
+    q["ask_preview"] = """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS ordinal, l_orderkey, l_linenumber,
+      '... (' || (SELECT format('{:,}', count(*)) FROM lineitem WHERE l_quantity > 10) || ' total rows)' AS note
+      FROM lineitem WHERE l_quantity > 10 ORDER BY 1 LIMIT 50"""
+    spelled = lambda c: (f"{c}::VARCHAR" if c in ("p_partkey", "p_size", "p_retailprice")
+                         else f"chr(39) || {c} || chr(39)")  # no quotes or escapes in these
     samples = each(PART_COLUMNS, lambda c, i: f"""SELECT {i} AS position, '{c}' AS "column",
       (SELECT string_agg({spelled(c)}, ', ' ORDER BY p_partkey) FROM (SELECT * FROM part WHERE {c} IS NOT NULL
         ORDER BY p_partkey LIMIT 5)) AS samples, {', '.join(f'{fn}({c})::DOUBLE AS {fn}' for fn in ('min', 'max', 'avg'))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sample_views import dq_orders, given
+from sample_views import dq_orders, given, us_orders
 from tabassay.operators import (anomalies, ask, basic, forest, insights, profile, quality, roles,
                                 types)
 from tabassay.plans import report
@@ -107,6 +107,18 @@ def sql_answer(table, sql):
     return answer.result
 
 
+def ask_preview(table):
+    """First rows of an answer, with the note on the total."""
+    answer = ask.ask(table, "SELECT l_orderkey, l_linenumber FROM df WHERE l_quantity > 10 ORDER BY 1, 2")
+    return table.frame([(i, *r, answer.note) for i, r in enumerate(answer.preview)],
+                       "ordinal bigint, l_orderkey bigint, l_linenumber bigint, note string")
+
+
+def insights_gaps(table, column):
+    return table.frame([(c, *v) for c, v in insights.gap_facts(table).items() if c == column],
+                       "column string, n bigint, mean_gap double, std_gap double")
+
+
 def lines(make):
     return lambda t: report.line_frame(t, make(t))
 
@@ -207,7 +219,7 @@ def queries() -> dict:
         univariate(t), ["IQR"], ["moderate", "low"], "Severity", None))
     add("anomaly_columns", dq_orders, lambda t: anomalies.anomaly_columns(univariate(t)))
     add("labelled_rows", dq_orders, lambda t: anomalies.labelled_rows(t, univariate(t), "amount", "gauss"))
-    add("driver_features", dq_orders, lambda t: anomalies.driver_features(univariate(t)))
+    add("driver_features", dq_orders, lambda t: anomalies.driver_features(univariate(t), t.columns))
     add("top_anomaly", dq_orders, lambda t: anomalies.top_anomaly(univariate(t)))
     add("forest_scores", dq_orders, forest_rows)
     add("forest_records", dq_orders, forest.forest_records)
@@ -232,6 +244,12 @@ def queries() -> dict:
     add("ask_distribution_numeric", lineitem, lambda t: ask.distribution(t, "l_extendedprice", 20))
     add("ask_sql", lineitem, lambda t: sql_answer(
         t, "SELECT l_linestatus, sum(no_such_column) AS quantity, count(*) AS n FROM df GROUP BY 1"))
+    add("ask_preview", lineitem, ask_preview)
+    # dates that are not ISO
+    add("profile_datetime_us", us_orders, lambda t: profile.profile_datetime(t, ["ship_date"]))
+    add("type_violations_us", us_orders, quality.type_violations)
+    add("date_gaps_us", us_orders, lambda t: insights_gaps(t, "ship_date"))
+    add("date_like_us", us_orders, basic.date_like_frame)
     # reports
     add("quality_bullets", dq_orders, lines(report.quality_lines))
     add("insight_bullets", dq_orders, lines(report.insight_lines))

@@ -44,6 +44,23 @@ SELECT row_id + 2, order_id + 1000000, amount, amount_tax, price_low, price_high
 """
 
 
+# Month first, with gaps and texts that are no dates. Runs unchanged in Spark and DuckDB.
+US_ORDERS = """
+SELECT o_orderkey AS row_id, o_orderkey AS order_id,
+  CASE WHEN o_orderkey % 45 = 0 THEN 'soon' WHEN o_orderkey % 77 = 0 THEN NULL
+    ELSE concat(substr(CAST(o_orderdate AS STRING), 6, 2), '/', substr(CAST(o_orderdate AS STRING), 9, 2), '/',
+                substr(CAST(o_orderdate AS STRING), 1, 4)) END AS ship_date,
+  concat(substr(CAST(o_orderdate AS STRING), 6, 2), '/', substr(CAST(o_orderdate AS STRING), 9, 2), '/',
+         substr(CAST(o_orderdate AS STRING), 1, 4)) AS paid_date
+FROM {orders}
+"""
+
+
+def us_orders(spark: SparkSession, sf_dir: str) -> Table:
+    orders = f"parquet.`{sf_dir}/orders.parquet`"
+    return Table(spark.sql(US_ORDERS.format(orders=orders)), "us_orders", "row_id")
+
+
 def dq_orders(spark: SparkSession, sf_dir: str) -> Table:
     orders = f"parquet.`{sf_dir}/orders.parquet`"
     return Table(spark.sql(DQ_ORDERS.format(orders=orders)), "dq_orders", "row_id")

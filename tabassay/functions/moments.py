@@ -38,7 +38,7 @@ def _shape(table, c, sums):
     facts = table.facts()
     n, mean = table.count(c), facts["mean", c]
     s2, s3, s4 = sums
-    constant = facts["min", c] == facts["max", c]
+    constant = facts["same", c]
     if constant:
         s2 = s3 = s4 = 0.0
     out = {"n": n, "mean": mean, "s2": s2, "g1": None, "g2": None,

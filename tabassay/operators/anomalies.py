@@ -219,8 +219,14 @@ def labelled_rows(table: Table, records: DataFrame, x: str, y: str) -> DataFrame
         F.coalesce(F.round("composite_score", 3), F.lit(0.0)).alias("score"))
 
 
-def driver_features(records: DataFrame) -> DataFrame:
-    return records.select("primary_driver_feature").distinct()
+def driver_features(records: DataFrame, columns: list[str]) -> DataFrame:
+    """(ordinal, primary_driver_feature) in the order in which the methods meet them: by method,
+    then by the column's place in the table."""
+    method = F.array_position(F.array(*[F.lit(m) for m in METHOD_LABELS]), F.col("method_used"))
+    place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("primary_driver_feature"))
+    first = records.groupBy("primary_driver_feature").agg(F.min(F.struct(method, place)).alias("at"))
+    order = Window.orderBy("at")  # one row per column
+    return first.select((F.row_number().over(order) - 1).alias("ordinal"), "primary_driver_feature")
 
 
 def top_anomaly(records: DataFrame) -> DataFrame:

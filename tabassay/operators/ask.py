@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -46,13 +47,25 @@ def first_values(table: Table, k: int = SAMPLES) -> DataFrame:
 
 
 def _first_values(table, df, columns, k):
-    cells = df.select(ref(table.row_id).alias("at"), *[table.text(c).alias(c) for c in columns])
+    cells = df.select(ref(table.row_id).alias("at"), *[_shown(table, c).alias(c) for c in columns])
     pairs = cells.unpivot(["at"], [ref(c) for c in columns], "column", "value")
     order = Window.partitionBy("column").orderBy("at")
     return (pairs.where("value IS NOT NULL").withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k).select("column", "rank", "value"))
 
 
+def _shown(table, c):
+    """A cell as a literal: text in quotes, with escapes."""
+    x = table.text(c)
+    if not table.is_string(c):
+        return x
+    for raw, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        x = F.replace(x, F.lit(raw), F.lit(code))
+    double = x.contains("'") & ~x.contains('"')
+    single = F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(double, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(single)
+
+
 def schema_context(table: Table) -> DataFrame:
     """(position, column, role, label, samples, min, max, mean) for every column."""
     roles, kinds, facts = semantic_roles(table), column_types(table), table.facts()
@@ -67,7 +80,7 @@ def schema_context(table: Table) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("rank", "value")))
     samples = first_values(table).groupBy("column").agg(
         F.array_join(F.transform(ordered, lambda e: e["value"]), ", ").alias("samples"))
-    return described.join(F.broadcast(samples), "column", "left").select(
+    return described.join(samples, "column", "left").select(
         "position", "column", "role", "label",
         F.coalesce("samples", F.lit(SCHEMA["no_samples"])).alias("samples"), "min", "max", "mean")
 
@@ -95,7 +108,10 @@ class Answer:
 
 
 def ask(table: Table, sql: str, on_error: Callable[[str, str], str] | None = None) -> Answer:
-    """Run a SELECT over the table, visible as ``df``; at most one correction by the caller."""
+    """Run a query over the table, visible as ``df``; at most one correction by the caller.
+
+    Only queries run: a command is an error. A view of the session named ``df`` is left alone.
+    """
     answer = _attempt(table, sql)
     if not answer.success and on_error is not None:
         answer = _attempt(table, on_error(sql, answer.error))
@@ -105,14 +121,16 @@ def ask(table: Table, sql: str, on_error: Callable[[str, str], str] | None = Non
 def _attempt(table, sql):
     start = time.perf_counter()
     result, preview, note, error = None, [], "", ""
-    table.df.createOrReplaceTempView("df")
+    view = f"tabassay_{uuid.uuid4().hex}"
+    table.df.createOrReplaceTempView(view)
     try:
-        result = table.spark.sql(sql)
+        query = sql.strip().rstrip(";")
+        result = table.spark.sql(f"WITH df AS (SELECT * FROM {view}) SELECT * FROM (\n{query}\n)")
         preview, note = preview_rows(result)
     except PySparkException as failure:
         result, error = None, str(failure)
     finally:
-        table.spark.catalog.dropTempView("df")
+        table.spark.catalog.dropTempView(view)
     elapsed = round((time.perf_counter() - start) * 1000, 1)
     return Answer(sql, result, preview, note, not error, error, elapsed)
 

@@ -37,7 +37,7 @@ def single_valued(table: Table) -> list[str]:
         if not table.count(c) or table.is_nested(c):
             continue
         if ("min", c) in facts:
-            if facts["min", c] == facts["max", c]:
+            if facts["same", c]:
                 out.add(c)
         elif not table.is_string(c) or facts["min_chars", c] == facts["max_chars", c]:
             texts.append(c)

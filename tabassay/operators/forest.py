@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.wording import RANGE
-from ..sources.table import Table, ref, stage
+from ..sources.table import Table, ref
 from .profile import quartiles
 from .types import of_type
 
@@ -63,14 +63,12 @@ def fit(table: Table, columns, trees: int = TREES, sample: int = SAMPLE, seed: i
     pool = trees * 4 * sample
     unit = lambda *x: F.xxhash64(*x).cast("double") / F.lit(HASH_RANGE) + F.lit(0.5)
     rows = matrix
-    if table.rows > pool:
-        rows = rows.where(unit("row_id", F.lit(seed)) < F.lit(pool / table.rows))
-    share = min(1.0, 2 * sample / min(table.rows, pool))
+    rows = rows.where(unit("row_id", F.lit(seed)) < F.lit(pool / table.rows))
+    share = 2 * sample / min(table.rows, pool)
     tree = F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree")
     drawn = (rows.select("*", tree)
              .withColumn("draw", F.xxhash64("row_id", "tree", F.lit(seed))))
-    if share < 1.0:
-        drawn = drawn.where(F.col("draw").cast("double") / F.lit(HASH_RANGE) + F.lit(0.5) < F.lit(share))
+    drawn = drawn.where(F.col("draw").cast("double") / F.lit(HASH_RANGE) + F.lit(0.5) < F.lit(share))
     order = Window.partitionBy("tree").orderBy("draw", "row_id")
     samples = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= size)
     names = [f"f{i}" for i in range(len(columns))]
@@ -79,14 +77,14 @@ def fit(table: Table, columns, trees: int = TREES, sample: int = SAMPLE, seed: i
         data = pdf.sort_values("row_id")[names].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, int(key[0])])
         feature, threshold, path = _grow(data, depth, rng)
-        return pd.DataFrame({"tree": [int(key[0])], "feature": [feature.tolist()],
+        return pd.DataFrame({"tree": [int(key[0])], "rows": [len(data)], "feature": [feature.tolist()],
                              "threshold": [threshold.tolist()], "path": [path.tolist()]})
 
     grown = samples.groupBy("tree").applyInPandas(
-        grow, "tree int, feature array<int>, threshold array<double>, path array<double>")
+        grow, "tree int, rows int, feature array<int>, threshold array<double>, path array<double>")
     forest = sorted(grown.collect(), key=lambda r: r["tree"])
     stack = lambda name, kind: np.array([r[name] for r in forest], dtype=kind)
-    return stack("feature", np.int32), stack("threshold", float), stack("path", float), size
+    return stack("feature", np.int32), stack("threshold", float), stack("path", float), [r["rows"] for r in forest]
 
 
 def _grow(data, depth, rng):
@@ -122,9 +120,9 @@ def score_rows(matrix: DataFrame, forest, width: int) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        feature, threshold, path, size = shared.value
+        feature, threshold, path, sizes = shared.value
         depth = int(math.log2(path.shape[1]))
-        scale = len(feature) * mean_path(size)
+        scale = sum(map(mean_path, sizes))  # of the rows that each tree has
         for columns in batches:
             n = len(columns[0])
             flat = np.concatenate([c.to_numpy(dtype=float) for c in columns])
@@ -152,11 +150,11 @@ def _forest_scores(table):
         return None
     forest = fit(table, columns)
     matrix = features(table, columns)
-    # Scoring is CPU work: spread a source of few splits over the cores that are there.
+    # Scoring is CPU work: a source of few files is dealt over the cores that are there.
     cores = table.spark.sparkContext.defaultParallelism
-    if matrix.rdd.getNumPartitions() < cores and table.rows > 10_000:
+    if len(table.raw.inputFiles()) < cores:
         matrix = matrix.repartition(cores)
-    return stage(score_rows(matrix, forest, len(columns)), "scores")
+    return table.stage(score_rows(matrix, forest, len(columns)), "scores")
 
 
 def forest_records(table: Table, contamination: float = 0.05) -> DataFrame:

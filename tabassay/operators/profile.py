@@ -133,7 +133,9 @@ def _datetime_facts(table, columns):
         most_common("m", 2).alias("month"))
     days = F.floor((F.unix_micros(F.col("last").cast("timestamp"))
                     - F.unix_micros(F.col("first").cast("timestamp"))) / F.lit(86_400_000_000))
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    whole_second = lambda c: F.date_format(c, "SSSSSS") == "000000"
+    iso = lambda c: F.when(whole_second(c), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
+        F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     rows = span.select(
         "column", "n", iso("first").alias("first"), iso("last").alias("last"),
         days.alias("days"), "year", "month").collect()

@@ -11,7 +11,7 @@ from ..functions.ordered import longest_null_runs
 from ..functions.text import WHITESPACE, rounded, share
 from ..functions.values import LONG_TEXT, distinct_counts, few_candidates, row_key
 from ..functions.wording import ISSUE
-from ..sources.table import Table, ref, stage
+from ..sources.table import Table, ref
 from .types import column_types, of_type
 
 # Name parts of quantities that should not be negative.
@@ -23,6 +23,9 @@ SAMPLES = 5
 MANY_VALUES_PCT = 50
 FEW_VALUES = 9
 CARDINALITY_MIN_ROWS = 50
+HOT_GROUP = 100_000       # members of a duplicate group that one task may meet
+HOT_BROADCAST = 50_000    # larger groups that may be broadcast: about 2 MB
+SALTS = 256
 
 
 # -- missing values -------------------------------------------------------------------
@@ -55,7 +58,7 @@ def _missing_facts(table):
 
 
 def missing(table: Table) -> DataFrame:
-    rows = [(c, n, pct) for c, (n, pct, _, _) in missing_facts(table).items()]
+    rows = [(c, table.missing_count(c), share(table.missing_count(c), table.rows)) for c in table.columns]
     return table.frame(rows, "column string, missing_count bigint, missing_pct double")
 
 
@@ -117,23 +120,26 @@ def near_duplicate_groups(table: Table, max_rows: int | None = None) -> DataFram
 def near_duplicate_rows(table: Table, max_rows: int | None = None) -> DataFrame:
     """(group_row_id, n, row_id): every member of every group, one row each.
 
-    A group may hold any share of the table. Groups above a thousandth of all rows number
-    at most a thousand, so they are matched by a broadcast and their members stay spread as
-    scanned; only members of smaller groups are shuffled.
+    A group may hold any share of the table. Groups of more than HOT_GROUP members are broadcast
+    if they are few enough, so their members stay as scanned; otherwise they and their members are
+    dealt over SALTS parts each. Only members of smaller groups meet by their key alone.
     """
     groups = _near_groups(table, max_rows)
     if groups is None:
         return table.frame([], "group_row_id bigint, n bigint, row_id bigint")
-    groups = stage(groups, "groups")  # used three times below
+    groups = table.stage(groups, "groups")  # used three times below
     key = id_column(table)
     rows = _first_rows(table, max_rows).select(
         row_key(table, [c for c in table.columns if c != key]), ref(table.row_id).alias("row_id"))
-    big = F.col("n") > max(table.rows // 1000, 1)
-    marked = rows.join(F.broadcast(groups.where(big).withColumnRenamed("n", "n_big")), "key", "left")
-    hot = marked.where("n_big IS NOT NULL").select("group_row_id", F.col("n_big").alias("n"), "row_id")
-    cold = (marked.where("n_big IS NULL").select("key", "row_id")
-            .join(groups.where(~big), "key").select("group_row_id", "n", "row_id"))
-    return hot.unionByName(cold)
+    big = F.col("n") > HOT_GROUP
+    few, many = groups.where(~big), groups.where(big)
+    if many.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST:
+        hot = rows.join(F.broadcast(many), "key")
+    else:
+        hot = (rows.withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("bigint"))
+               .join(many.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")), ["key", "salt"]))
+    cold = rows.join(few, "key")
+    return hot.select("group_row_id", "n", "row_id").unionByName(cold.select("group_row_id", "n", "row_id"))
 
 
 def _first_rows(table, max_rows):

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import anomalies, ask, basic, insights, profile, quality, roles, types
-from ..sources.table import Table, stage
+from ..sources.table import Table
 from . import report
 
 
@@ -39,7 +39,7 @@ class Analysis:
     def records(self) -> DataFrame:
         """Anomaly records, staged once because several tables are built from them."""
         found = anomalies.anomaly_records(self.table, self.contamination, self.zscore_threshold)
-        return stage(found, "records")
+        return self.table.stage(found, "records")
 
     def composite(self) -> DataFrame: return anomalies.composite_scores(self.records)
     def anomaly_table(self, **options) -> DataFrame: return anomalies.anomaly_table(self.records, **options)

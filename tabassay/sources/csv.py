@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .table import Table, number_rows, ref
+from .table import AGGREGATES_PER_PASS, Table, _stage, delete, number_rows, ref
 
 # Cell texts that mean "missing".
 MISSING_TOKENS = [
@@ -15,24 +16,31 @@ MISSING_TOKENS = [
 # Cell texts that count as booleans.
 BOOLEAN_TOKENS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
+EXTRA = "_extra_cells"
 INTEGER = r"^[+-]?\d+$"
 REAL = r"(?i)^[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 
 
 def read_csv(spark: SparkSession, path: str, name: str | None = None,
-             multiline: bool = True, **options) -> Table:
-    """Read a CSV file into a Table.
+             multiline: bool | None = None, **options) -> Table:
+    """Read a CSV file into a Table; a row with more cells than the header is an error.
 
-    ``multiline=False`` keeps large files splittable when no cell holds a line break.
-    The rows are staged as parquet once, so later passes are columnar and row ids fixed.
+    Files are split over tasks unless a cell holds a line break, which a first look at the lines
+    finds (an odd number of quotes); ``multiline`` says it beforehand. The typed rows are staged
+    as parquet, so later passes are columnar and row ids fixed.
     """
-    cells = spark.read.csv(path, header=True, escape='"', multiLine=multiline,
-                           inferSchema=False, encoding="UTF-8")
-    known = [F.when(~ref(c).isin(MISSING_TOKENS), ref(c)).alias(c) for c in cells.columns]
-    numbered = number_rows(cells.select(*known))
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
+    names = spark.read.csv(path, header=True, escape='"', multiLine=multiline, encoding="UTF-8").columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, EXTRA)])
+    cells = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=multiline, encoding="UTF-8")
+    known = [F.when(~ref(c).isin(MISSING_TOKENS), ref(c)).alias(c) for c in names]
+    texts: list = []
+    numbered = number_rows(cells.select(*known, ref(EXTRA)), texts)
 
-    checks = []
-    for i, c in enumerate(cells.columns):
+    checks = [F.count(ref(EXTRA)).alias("extra")]
+    for i, c in enumerate(names):
         x = ref(c)
         checks += [
             F.count(F.lit(1)).alias(f"rows{i}"),
@@ -41,10 +49,15 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None,
             F.count_if(x.rlike(REAL) & x.try_cast("double").isNotNull()).alias(f"real{i}"),
             F.count_if(x.isin(BOOLEAN_TOKENS)).alias(f"bool{i}"),
         ]
-    seen = numbered.agg(*checks).first()
+    seen: dict = {}
+    for start in range(0, len(checks), AGGREGATES_PER_PASS):
+        seen.update(numbered.agg(*checks[start:start + AGGREGATES_PER_PASS]).first().asDict())
+    if seen["extra"]:
+        delete(spark, texts[0])
+        raise ValueError(f"{path}: {seen['extra']} rows have more cells than the header has names")
 
     typed = [F.col("row_id")]
-    for i, c in enumerate(cells.columns):
+    for i, c in enumerate(names):
         x, n = ref(c), seen[f"n{i}"]
         if n == 0:
             e = x.try_cast("double")
@@ -58,4 +71,8 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None,
         else:
             e = x
         typed.append(e.alias(c))
-    return Table(numbered.select(*typed), name or path.rsplit("/", 1)[-1], "row_id", **options)
+    made, folder = _stage(numbered.select(*typed), "csv")
+    delete(spark, texts[0])
+    table = Table(made, name or path.rsplit("/", 1)[-1], "row_id", **options)
+    table._staged.append(folder)
+    return table

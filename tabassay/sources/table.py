@@ -7,10 +7,12 @@ to the driver.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ISO_STAMP = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?$"
 )
+ISO_ZONE = r":.*(Z|[+-]\d{2}:?\d{2})$"
+DATE_LIKE = (r"^\s*(\d{1,2}([-/.])\d{1,2}\2(\d{4}|\d{2})|\d{4}([-/.])\d{1,2}\4\d{1,2}|\d{8}|\d{1,2}([ -])[A-Z][a-z]{2,8}\5\d{4}"
+             r"|[A-Z][a-z]{2,8} \d{1,2},? \d{4})([ T]|\s*$)")
 AGGREGATES_PER_PASS = 120
-MAX_FILES = 1_000_000
+SMALL_FILES = 10_000  # files whose offsets may be broadcast
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -43,15 +48,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """New path in the shared folder named by spark.checkpoint.dir (own folder only if unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tabassay-")
     return f"{base.rstrip('/')}/tabassay/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back: cuts lineage and survives lost executors."""
+    return _stage(df, label)[0]
+
+
+def _stage(df, label):
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 class Table:
@@ -63,8 +80,9 @@ class Table:
         Without one, ids are assigned once and the table is staged, because
         recomputing generated ids could change them.
         """
+        self._staged: list[str] = []
         if row_id is None:
-            df, row_id = number_rows(df), "row_id"
+            df, row_id = number_rows(df, self._staged), "row_id"
         if not isinstance(df.schema[row_id].dataType, T.IntegralType):
             raise ValueError(f"row id {row_id!r} must be a whole-number column")
         self.spark = df.sparkSession
@@ -91,9 +109,18 @@ class Table:
         kept = self.raw.repartition(cores, ref(self.row_id)).persist()
         return Table(kept, self.name, self.row_id, self.formats, self.direct_limit)
 
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        """Write an intermediate result once; ``release`` removes it."""
+        staged, path = _stage(df, label)
+        self._staged.append(path)
+        return staged
+
     def release(self) -> None:
-        """Give back what ``spread`` kept."""
+        """Give back what ``spread`` kept and delete what this table staged; its results and the
+        table itself, if it had to be staged, can no longer be read."""
         self.raw.unpersist()
+        while self._staged:
+            delete(self.spark, self._staged.pop())
 
     # -- column kinds ---------------------------------------------------------------
 
@@ -137,16 +164,34 @@ class Table:
         return (x.cast("int") if self.is_boolean(c) else x).cast("double")
 
     def stamp(self, c) -> Column:
-        """The column as TIMESTAMP_NTZ; text that does not parse becomes NULL."""
+        """The column as TIMESTAMP_NTZ; text that does not parse becomes NULL.
+
+        Text follows the given format, else the layout of its first date. Text with a zone
+        becomes the moment in UTC.
+        """
         x = ref(c)
         if self.is_temporal(c):
             return x.cast("timestamp_ntz")
-        if c in self.formats:
-            return F.try_to_timestamp(x, F.lit(self.formats[c])).cast("timestamp_ntz")
-        return F.when(x.rlike(ISO_STAMP), x.try_cast("timestamp_ntz"))
+        layout = self.formats.get(c) or self.layout(c)
+        if layout:
+            return F.try_to_timestamp(x, F.lit(layout)).cast("timestamp_ntz")
+        wall = F.when(x.rlike(ISO_STAMP), x.try_cast("timestamp_ntz"))
+        moment = F.convert_timezone(F.current_timezone(), F.lit("UTC"), x.try_cast("timestamp").cast("timestamp_ntz"))
+        return F.when(x.rlike(ISO_ZONE), F.when(x.rlike(ISO_STAMP), moment)).otherwise(wall)
+
+    def layout(self, c) -> str | None:
+        """Date layout of a text column's first date by row id; None for ISO dates and others."""
+        return self.once("layouts", self._layouts).get(c)
+
+    def _layouts(self):
+        at = ref(self.row_id)
+        first = self.aggregate({c: F.min_by(ref(c), F.when(ref(c).rlike(DATE_LIKE), at)) for c in self.string_columns})
+        return {c: date_layout(v) for c, v in first.items() if v is not None}
 
     def text(self, c) -> Column:
-        return ref(c).cast("string")
+        """The column as text; -0.0 is 0.0."""
+        x = ref(c)
+        return (x + F.lit(0.0) if isinstance(self.schema[c], (T.DoubleType, T.FloatType, T.DecimalType)) else x).cast("string")
 
     # -- facts ----------------------------------------------------------------------
 
@@ -179,6 +224,7 @@ class Table:
                 want["mean", c] = F.avg(x)
                 want["min", c] = F.min(x)
                 want["max", c] = F.max(x)
+                want["same", c] = F.min(ref(c)) == F.max(ref(c))  # in the column's own type
                 want["zeros", c] = F.count_if(x == 0)
                 want["negatives", c] = F.count_if(x < 0)
             elif self.is_string(c):
@@ -217,17 +263,43 @@ class Table:
             "name string, row_count bigint, col_count bigint, column_types map<string,string>")
 
 
-def number_rows(df: DataFrame, dense: bool = True) -> DataFrame:
-    """Add row_id = position in reading order, fixed by staging the rows."""
-    staged = stage(df.withColumn("_pos", F.monotonically_increasing_id()), "rows")
-    if not dense:
-        return staged.withColumnRenamed("_pos", "row_id")
+def date_layout(text: str) -> str | None:
+    """Layout of a date that is not ISO, as in the first value of a column; the day comes first
+    only where the first number cannot be a month."""
+    m = re.fullmatch(r"(.+?)(?:([ T])(\d{1,2}):(\d{2})(:\d{2})?(\.\d{1,6})?( ?[AaPp][Mm])?)?", text.strip())
+    if not m:
+        return None
+    day, gap, hour, _, second, fraction, half = m.groups()
+    if d := re.fullmatch(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})", day):
+        order = ("M", "d") if int(d[1]) <= 12 else ("d", "M")
+        date = d[2].join([*order, "yyyy" if len(d[4]) == 4 else "yy"])
+    elif d := re.fullmatch(r"\d{4}([/.])\d{1,2}\1\d{1,2}", day):
+        date = d[1].join(("yyyy", "M", "d"))
+    elif re.fullmatch(r"\d{8}", day):
+        date = "yyyyMMdd"
+    elif d := re.fullmatch(r"\d{1,2}([ -])([A-Z][a-z]{2,8})\1\d{4}", day):
+        date = d[1].join(("d", "MMM" if len(d[2]) == 3 else "MMMM", "yyyy"))
+    elif d := re.fullmatch(r"([A-Z][a-z]{2,8}) \d{1,2}(,?) \d{4}", day):
+        date = ("MMM" if len(d[1]) == 3 else "MMMM") + f" d{d[2]} yyyy"
+    else:
+        return None
+    if hour is None:
+        return date
+    time = ("h" if half else "H") + ":mm" + (":ss" if second else "") + ("." + "S" * (len(fraction) - 1) if fraction else "")
+    return date + ("'T'" if gap == "T" else " ") + time + (" a" if half and half[0] == " " else "a" if half else "")
+
+
+def number_rows(df: DataFrame, paths: list | None = None) -> DataFrame:
+    """Add row_id = position in reading order, fixed by staging the rows; ``paths`` gets the folder."""
+    staged, path = _stage(df.withColumn("_pos", F.monotonically_increasing_id()), "rows")
+    if paths is not None:
+        paths.append(path)
     part = F.shiftright(F.col("_pos"), 33)
     sizes = staged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per input partition, so this window and the broadcast stay small.
+    # One row per input partition.
     before = F.sum("_size").over(_all_before("_part"))
     offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
-    numbered = staged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    numbered = staged.withColumn("_part", part).join(offsets, "_part")
     row_id = F.col("_offset") + F.col("_pos").bitwiseAND((1 << 33) - 1)
     return numbered.select(row_id.alias("row_id"), *[ref(c) for c in df.columns])
 
@@ -240,23 +312,23 @@ def _all_before(order):
 def file_row_ids(df: DataFrame) -> DataFrame:
     """Add row_id = dense position over the files of a parquet scan, without copying rows.
 
-    File path and position in the file are stable, so recomputed tasks give the same ids.
-    What is broadcast is two numbers per file, up to MAX_FILES; beyond that rows are staged.
+    File path and position in the file are stable, so recomputed tasks give the same ids. The
+    files' offsets meet the rows on the full path: broadcast if they are at most SMALL_FILES, by
+    Spark's own choice of join otherwise.
     """
     path = F.col("_metadata.file_path")
-    sizes = df.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(_all_before("path")), F.lit(0))  # one row per file
-    placed = sizes.select(F.xxhash64("path").alias("_file"), before.alias("_offset"))
-    offsets = [tuple(r) for r in placed.limit(MAX_FILES + 1).collect()]
-    if len(offsets) > MAX_FILES or len({f for f, _ in offsets}) < len(offsets):
-        return number_rows(df)
+    sizes = df.groupBy(path.alias("_file")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(_all_before("_file")), F.lit(0))  # one row per file
+    known = sizes.select("_file", before.alias("_offset"))
+    few = [tuple(r) for r in known.limit(SMALL_FILES + 1).collect()]
     columns, pos = [ref(c) for c in df.columns], F.col("_metadata.row_index")
-    if len(offsets) <= 1:
+    if len(few) <= 1:
         return df.select(pos.alias("row_id"), *columns)
-    known = small_frame(df.sparkSession, offsets, "_file bigint, _offset bigint")
+    if len(few) <= SMALL_FILES:
+        known = F.broadcast(small_frame(df.sparkSession, few, "_file string, _offset bigint"))
     row_id = (F.col("_offset") + F.col("_pos")).alias("row_id")
-    return (df.select(*columns, F.xxhash64(path).alias("_file"), pos.alias("_pos"))
-            .join(F.broadcast(known), "_file").select(row_id, *columns))
+    return (df.select(*columns, path.alias("_file"), pos.alias("_pos"))
+            .join(known, "_file").select(row_id, *columns))
 
 
 def read_parquet(spark, path, row_id=None, name=None, **options) -> Table:
@@ -267,4 +339,10 @@ def read_parquet(spark, path, row_id=None, name=None, **options) -> Table:
 
 
 def read_table(spark, table, row_id=None, **options) -> Table:
-    return Table(spark.table(table), table, row_id, **options)
+    df = spark.table(table)
+    if row_id is None:
+        try:
+            df, row_id = file_row_ids(df), "row_id"
+        except AnalysisException:  # not read from files: the table numbers and stages its rows
+            pass
+    return Table(df, table, row_id, **options)

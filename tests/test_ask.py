@@ -38,6 +38,22 @@ def test_runtime_errors_are_reported(orders):
     assert not a.success and "DIVIDE_BY_ZERO" in a.error
 
 
+def test_commands_are_refused_and_views_survive(orders, spark):
+    spark.range(3).createOrReplaceTempView("df")
+    for sql in ("CREATE TABLE made AS SELECT 1 AS x", "DROP VIEW df", "SELECT 1) UNION (SELECT 2"):
+        ask.ask(orders, sql)
+    assert not ask.ask(orders, "CREATE TABLE made AS SELECT 1 AS x").success
+    assert ask.ask(orders, "SELECT count(*) AS n FROM df;").result.first()["n"] == 80
+    assert spark.table("df").count() == 3
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("made", "tabassay"))]
+    spark.catalog.dropTempView("df")
+
+
+def test_samples_are_literals(table):
+    t = table("note string", [("it's",), ('a "b"',), ("both ' and \"",), ("x\n\\",)])
+    assert ask.schema_context(t).first()["samples"] == ", ".join(repr(v) for v in ["it's", 'a "b"', "both ' and \"", "x\n\\"])
+
+
 def test_shapes(orders):
     assert {r["status"]: r["value"] for r in ask.aggregate(orders, "amount", "sum", ["status"]).collect()} == {
         "OK": 2400.0, "HOLD": 760.0}
@@ -50,5 +66,5 @@ def test_shapes(orders):
 def test_schema_text(orders):
     text = ask.schema_text(orders)
     assert text.startswith("Dataset: literal  (80 rows × 3 columns)")
-    assert "[Categorical]  samples: HOLD, OK, OK, OK, HOLD" in text
+    assert "[Categorical]  samples: 'HOLD', 'OK', 'OK', 'OK', 'HOLD'" in text
     assert "min=0, max=79, mean=39.5" in text

@@ -50,6 +50,62 @@ def test_dates_stay_text(csv):
     assert column_types(t)["order_date"] == "datetime"
 
 
+def test_extra_cells_are_an_error(csv):
+    with pytest.raises(ValueError, match="1 rows have more cells"):
+        csv("a,b\n1,2\n3,4,5\n")
+    assert csv("a,b\n1,2\n3\n").rows == 2
+
+
+@pytest.mark.parametrize("text,layout", [
+    ("01/15/2024", "M/d/yyyy"), ("15/01/2024", "d/M/yyyy"), ("15.01.24", "d.M.yy"), ("2024/1/5", "yyyy/M/d"), ("20240115", "yyyyMMdd"),
+    ("5 Jan 2024", "d MMM yyyy"), ("January 5, 2024", "MMMM d, yyyy"), ("01/15/2024 10:05:00.25", "M/d/yyyy H:mm:ss.SS"),
+    ("1/5/2024 1:05 PM", "M/d/yyyy h:mm a"), ("2024-01-15", None), ("soon", None)])
+def test_layout_of_the_first_value(text, layout):
+    from tabassay.sources.table import date_layout
+    assert date_layout(text) == layout
+
+
+def test_dates_follow_the_first_layout(table):
+    from tabassay.operators import profile, quality
+    t = table("ship_date string", [("01/15/2024",), ("02/20/2024",), ("2024-03-01",), (None,), ("13/01/2024",)])
+    row = profile.profile_datetime(t, ["ship_date"]).first()
+    assert (row["count"], row["min_date"], row["max_date"]) == (2, "2024-01-15T00:00:00", "2024-02-20T00:00:00")
+    assert quality.violation_facts(t)["ship_date"][0] == 2
+
+
+def test_fractions_and_zones(table):
+    from tabassay.operators import profile
+    t = table("at_time string", [("2024-01-15T10:00:00.250001",), ("2024-01-15T23:00:00+05:00",), ("2024-01-16T00:00:00Z",)])
+    row = profile.profile_datetime(t, ["at_time"]).first()
+    assert (row["min_date"], row["max_date"]) == ("2024-01-15T10:00:00.250001", "2024-01-16T00:00:00")
+
+
+def test_own_type_extremes_and_negative_zero(table):
+    from tabassay.operators import basic, quality
+    t = table("big bigint, z double", [(2**60 + i, -0.0 if i % 2 else 0.0) for i in range(60)])
+    assert basic.single_valued(t) == ["z"]
+    from tabassay.functions.values import distinct_counts
+    assert distinct_counts(t, ["big", "z"]) == {"big": 60, "z": 1}
+    assert quality.missing(t).count() == 2
+
+
+def test_release_deletes_what_was_staged(csv, tmp_path):
+    import os
+    t = csv("a,b\n1,2\n")
+    folder = t._staged[0].removeprefix("file:")
+    assert os.path.isdir(folder)
+    t.release()
+    assert not os.path.exists(folder)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+    from tabassay.sources.table import scratch_path
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError):
+        scratch_path(far, "x")
+
+
 def test_parquet_row_ids_follow_files(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.range(100).repartitionByRange(3, "id").write.parquet(path)
