@@ -115,9 +115,9 @@ def test_id_names(name, expected):
 
 
 def test_role_names():
-    assert roles.is_optional_name("address_2") and roles.is_optional_name("addr2")
-    assert roles.is_optional_name("apt") and not roles.is_optional_name("address")
-    assert roles.is_prose_name("order notes") and not roles.is_prose_name("noted")
+    made = {n: roles.role_by_name(n) for n in ("address_2", "addr2", "apt", "address", "order notes", "noted", "alt text")}
+    assert made == {"address_2": "optional_text", "addr2": "optional_text", "apt": "optional_text", "address": None,
+                    "order notes": "free_text", "noted": None, "alt text": "free_text"}
 
 
 def test_issue_rules(spark, table):
