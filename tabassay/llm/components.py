@@ -19,7 +19,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     near = _both_ways(edges)
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (near.where("v > u").join(least, "u").where("v <> m")
-            .select(F.col("m").alias("u"), "v").distinct())
+            .select(F.col("m").alias("u"), "v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:

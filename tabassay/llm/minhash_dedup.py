@@ -2,12 +2,12 @@
 shingle sets, and connected components.
 
 Documents with equal shingle sets collapse to one first. Documents that share a band of minima are
-candidates. A bucket's members are compared with its least id in a first round; components are
-formed; only pairs of a bucket that are still in different components are compared in the second
-round, by the distance of their signatures and then on their full sets. So a bucket of any size
-costs pairs in proportion to its members unless it truly holds many distinct groups, and no pair is
-left out: buckets are cut into blocks of members, every block of members with every block of those
-outside the bucket's main component. Two texts of similarity s miss all bands with probability
+candidates. A bucket's members are compared with its centre, the member with most company in all its
+buckets, in a first round; documents linked to one centre are one cluster; only pairs of a bucket that
+are still in different clusters are compared in the second round, inside a task, by their signatures and by 32 bits of
+each shingle with room for chance matches; what passes is confirmed on the full sets. So no bucket
+emits pairs in proportion to its square, and no pair is left out: buckets are cut into blocks of
+members, every block of members with every block of those outside the bucket's main cluster. Two texts of similarity s miss all bands with probability
 (1 - s^ROWS)^BANDS (1e-10 at 0.85); a signature estimate more than MARGIN below the threshold is
 six standard deviations away.
 
@@ -32,7 +32,7 @@ from .tables import load, stage, texts
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 MARGIN = 0.20
-MEMBERS = 1000  # of a bucket in one block
+MEMBERS = 400   # of a bucket in one block
 
 _A = blocks.mixed_constants(11, HASHES)
 _B = blocks.mixed_constants(12, HASHES)
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, size: int, **columns) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int, **columns) -> DataFrame:
-    """(doc_id, shingles) of the named documents: sorted 64-bit hashes as bytes."""
+    """(doc_id, shingles, low) of the named documents: sorted 64-bit hashes as bytes, and their upper halves."""
     rows = texts(docs, **columns).join(ids, "doc_id")
 
     def make(batches):
@@ -91,9 +91,11 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int, **columns) -> DataF
             text, h = shingles(block.column(1), size)
             at = np.searchsorted(text, np.arange(block.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "shingles"])
+                [block.column(0), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                 pa.array([(h[a:b] >> blocks.U64(32)).astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
+                ["doc_id", "shingles", "low"])
 
-    return rows.select("doc_id", "text").mapInArrow(make, "doc_id long, shingles binary")
+    return rows.select("doc_id", "text").mapInArrow(make, "doc_id long, shingles binary, low binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -110,6 +112,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(a) + len(b) - same))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
+    sets = sets.select("doc_id", "shingles")
     left = pairs.join(sets.withColumnRenamed("doc_id", "u").withColumnRenamed("shingles", "a"), "u")
     both = left.join(sets.withColumnRenamed("doc_id", "v").withColumnRenamed("shingles", "b"), "v")
     return both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
@@ -122,12 +125,21 @@ def alike_percent(percent: int):
 
 
 def _second_round(percent: int):
-    """In each unit of a bucket, pairs in different components whose signatures are near."""
+    """In each unit of a bucket, pairs in different clusters that may be linked."""
     least = percent / 100 - MARGIN
 
+    def may_link(a, b):
+        """On 32 bits of each shingle; chance matches in a set of n are fewer than the room given."""
+        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+        both = np.concatenate([a, b])
+        both.sort(kind="stable")
+        n = len(both)
+        same = int((both[1:] == both[:-1]).sum()) + 2 + n * n // (1 << 30)
+        return 100 * same >= percent * (n - same)
+
     def flush(t):
         unit, doc, comp, n, outside = (t.column(c).to_numpy() for c in ("unit", "doc", "comp", "n", "outside"))
-        band = t.column("band").to_numpy()
+        band, low = t.column("band").to_numpy(), t.column("low").to_pylist()
         bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         sig = np.ascontiguousarray(bands).view(np.uint16).reshape(-1, HASHES)
         for d in range(1, len(unit)):
@@ -143,7 +155,9 @@ def _second_round(percent: int):
                 first = (bands[x] == bands[y]).argmax(1) == band[x]  # each pair once, in its first common band
                 near = (sig[x] == sig[y]).mean(1) >= least
                 x, y = x[first & near], y[first & near]
-                if len(x):
+                ok = np.array([may_link(low[p], low[q]) for p, q in zip(x.tolist(), y.tolist())], bool)
+                if ok.any():
+                    x, y = x[ok], y[ok]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y]))], ["u", "v"])
 
@@ -171,13 +185,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **columns
     reps = stage(sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(
         F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "minhash-representatives")
     member = reps.select("doc", "n", F.posexplode("bands").alias("band", "key"))
-    star = stage(member.groupBy("band", "key").agg(F.min("doc").alias("centre"), F.count("*").alias("members")).where("members > 1"), "minhash-buckets")
-    linked = stage(member.join(star, ["band", "key"]), "minhash-members")  # documents that share a band
+    buckets = member.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
+    linked = stage(member.join(buckets, ["band", "key"]), "minhash-members")  # documents that share a band
+    company = linked.groupBy("doc").agg(F.sum("members").alias("company"))
+    centres = (linked.select("doc", "band", "key").join(company, "doc").groupBy("band", "key")
+               .agg(F.max_by("doc", F.struct("company", -F.col("doc"))).alias("centre")))
     size_of = reps.select(F.col("doc").alias("u"), F.col("n").alias("n_u"), F.col("bands").alias("b_u"))
     equal = F.aggregate(F.zip_with("b_u", "b_v", lambda a, b: sum(
         (F.shiftright(a.bitwiseXOR(b), 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0).cast("int") for k in range(4))),
         F.lit(0), lambda s, x: s + x)
-    first = (linked.where("doc <> centre").select(F.col("centre").alias("u"), F.col("doc").alias("v"), F.col("n").alias("n_v")).distinct()
+    first = (linked.join(centres, ["band", "key"]).where("doc <> centre").select(F.col("centre").alias("u"), F.col("doc").alias("v"), F.col("n").alias("n_v")).distinct()
              .join(size_of, "u").where(alike_percent(percent))
              .join(reps.select(F.col("doc").alias("v"), F.col("bands").alias("b_v")), "v")
              .where(equal >= HASHES * (percent / 100 - MARGIN)).select("u", "v"))
@@ -185,8 +202,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **columns
     touched = linked.select(F.col("doc").alias("doc_id")).distinct()
     sets = stage(shingle_sets(docs, touched, size, **columns), "minhash-sets")
     edges = stage(verified(first, sets, percent), "minhash-edges")
-    comps = stage(connected_components(edges), "minhash-components")
-    # second round: buckets whose members are in several components
+    # a cluster is named by the least document linked to a centre; equal names are connected
+    star = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+    named = edges.join(star, "u").select(F.col("v").alias("node"), "least").unionByName(star.select(F.col("u").alias("node"), "least"))
+    comps = named.groupBy("node").agg(F.min("least").alias("component"))
+    # second round: buckets whose members are in several clusters
     placed = linked.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
     groups = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("c"))
     mixed = groups.groupBy("band", "key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"),
@@ -200,7 +220,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **columns
     as_outside = rows.where("outside AND inner > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("i"), mine(F.col("outer")).alias("o"))
     as_outside = as_outside.where(F.col("i") != mine(F.col("inner")))
     units = (as_member.unionByName(as_outside).withColumn("unit", F.xxhash64("band", "key", "i", "o"))
-             .join(reps.select("doc", "bands"), "doc").select("unit", "doc", "comp", "n", "outside", "band", "bands"))
+             .join(reps.select("doc", "bands"), "doc").join(sets.select(F.col("doc_id").alias("doc"), "low"), "doc")
+             .select("unit", "doc", "comp", "n", "outside", "band", "bands", "low"))
     near = units.repartition("unit").sortWithinPartitions("unit", "doc").mapInArrow(_second_round(percent), "u long, v long").distinct()
     more = verified(stage(near, "minhash-pairs"), sets, percent)
     edges = edges.unionByName(more)
