@@ -6,9 +6,11 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+import oracle_registry
+import query_registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = query_registry.queries(), oracle_registry.oracle_sql()
 # A forest depends on its random splits, so there is no SQL for it; see test_forest.py.
 WITHOUT_SQL = {"forest_scores", "forest_records", "anomalies_all", "forest_scores_lineitem"}
 # On the smallest tables no column passes as normal.
@@ -24,7 +26,7 @@ def duck():
 
 def test_registration():
     assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
