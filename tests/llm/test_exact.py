@@ -136,6 +136,7 @@ def test_components_of_long_chains(spark):
 def test_suffix_removal_equals_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(suffix_dedup, "PER_RUN", 60)
+        monkeypatch.setattr(suffix_dedup, "PER_SORT", 50)
         monkeypatch.setattr(suffix_dedup, "PER_RANGE", 40)
         monkeypatch.setattr(suffix_dedup, "PER_BUCKET", 200)
     r, rows = random.Random(9), []
