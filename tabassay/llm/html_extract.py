@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .tables import load, stage
+from .tables import load, stage_texts
 
 MIN_PAGES = 5        # different pages of a host before its tree decides
 MIN_IMPORTANCE = 0.2
+LOW_NODES = 100_000  # unimportant nodes that may be broadcast: a few MB
 PRESENTATION = 0.1   # share of presentation in the importance of a node with text below
 
 # fixed values: elements and class words
@@ -179,8 +180,8 @@ def _nodes(path):
     return [_hash("/".join(path[:k])) for k in range(1, len(path) + 1)]
 
 
-_PARSED = ("row long, page_id long, url string, host string, page_hash long, kept_texts array<string>, kept_nodes array<array<long>>, "
-           "hashes array<long>, nodes array<array<long>>, styles array<struct<node:long,style:long>>")
+_PARSED = ("row long, page_id long, url string, host string, page_hash long, kept_texts array<string>, kept_hashes array<long>, "
+           "kept_paths array<int>, paths array<array<long>>, styles array<struct<node:long,style:long>>")
 
 
 def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -196,16 +197,14 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             for source in block.column(4).to_pylist():
                 page = Page(source or "")
                 found = page.blocks()
-                kept = [(t, _nodes(p)) for t, p, k in found if k]
-                hashes, nodes = [], []
-                for t, p in {(_hash(t), p) for t, p, k in found if k}:
-                    hashes.append(t)
-                    nodes.append(_nodes(p))
+                kept = [(t, p) for t, p, k in found if k]
+                place = {p: i for i, p in enumerate(dict.fromkeys(p for _, p in kept))}
                 styles = [{"node": _hash("/".join(p)), "style": _hash(" ".join(dict.fromkeys(c)))} for p, c in page.children.items()]
-                out.append((_hash("\n".join(t for t, _ in kept)), [t for t, _ in kept], [n for _, n in kept], hashes, nodes, styles))
-            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())),
+                out.append((_hash("\n".join(t for t, _ in kept)), [t for t, _ in kept], [_hash(t) for t, _ in kept],
+                            [place[p] for _, p in kept], [_nodes(p) for p in place], styles))
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())),
                      pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64())]))]
-            names = ["page_hash", "kept_texts", "kept_nodes", "hashes", "nodes", "styles"]
+            names = ["page_hash", "kept_texts", "kept_hashes", "kept_paths", "paths", "styles"]
             yield pa.RecordBatch.from_arrays([*block.columns[:4], *(pa.array(list(c), k) for c, k in zip(zip(*out), kinds))],
                                              [*block.schema.names[:4], *names])
 
@@ -214,14 +213,15 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 def style_tree(parsed: DataFrame) -> DataFrame:
     """(host, node, pages, importance) of every style node with text below it."""
-    one = parsed.groupBy("host", "page_hash").agg(F.min("row").alias("row"))  # pages with equal contents count once
-    one = parsed.join(one.select("row"), "row", "left_semi")
-    leaf = one.select("host", "row", F.explode(F.arrays_zip("hashes", "nodes")).alias("x")).select(
-        "host", "row", F.col("x.hashes").alias("hash"), F.explode("x.nodes").alias("node")).distinct()
+    # pages with equal contents have one page_hash and count once
+    leaf = (parsed.select("host", "page_hash", "paths", F.explode(F.arrays_zip("kept_hashes", "kept_paths")).alias("x"))
+            .select("host", "page_hash", F.col("x.kept_hashes").alias("hash"), F.explode(F.col("paths")[F.col("x.kept_paths")]).alias("node"))
+            .distinct())
     spread = leaf.groupBy("host", "node", "hash").agg(F.count("*").alias("c"))
     contents = spread.groupBy("host", "node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    pages = leaf.select("host", "row", "node").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
-    style = (one.select("host", F.explode("styles").alias("s")).groupBy("host", F.col("s.node").alias("node"), "s.style").agg(F.count("*").alias("c"))
+    pages = leaf.select("host", "page_hash", "node").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
+    style = (parsed.select("host", "page_hash", F.explode("styles").alias("s")).select("host", "page_hash", "s.node", "s.style").distinct()
+             .groupBy("host", "node", "style").agg(F.count("*").alias("c"))
              .groupBy("host", "node").agg(F.sum("c").alias("s_n"), F.sum(F.col("c") * F.log("c")).alias("s_clogc")))
     node = contents.join(pages, ["host", "node"]).join(style, ["host", "node"], "left")
     many = F.log(F.greatest("pages", F.lit(2)))
@@ -232,13 +232,21 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, **columns) -> DataFrame:
     """(page_id, url, text) of every page."""
-    parsed = stage(parse(pages, **columns).withColumn("host", F.coalesce("host", F.lit(""))), "html-blocks")
+    parsed = stage_texts(parse(pages, **columns).withColumn("host", F.coalesce("host", F.lit(""))), "html-blocks")
     low = style_tree(parsed).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance)).select("host", "node")
-    cut = (parsed.select("row", "host", F.posexplode("kept_nodes").alias("at", "path")).select("row", "host", "at", F.explode("path").alias("node"))
-           .join(low, ["host", "node"]).groupBy("row").agg(F.collect_set("at").alias("cut")))
-    whole = parsed.select("row", "page_id", "url", "kept_texts").join(cut, "row", "left")
-    left = F.filter("kept_texts", lambda t, i: F.col("cut").isNull() | ~F.array_contains("cut", i))
-    return whole.select("page_id", "url", F.array_join(left, "\n\n").alias("text"))
+    low = stage_texts(low, "html-low")
+    if low.limit(LOW_NODES + 1).count() <= LOW_NODES:
+        by_host = low.groupBy("host").agg(F.collect_set("node").alias("low"))
+        marked = parsed.join(F.broadcast(by_host), "host", "left")
+        gone = F.transform("paths", lambda p: F.coalesce(F.arrays_overlap(p, F.col("low")), F.lit(False)))
+    else:
+        hit = (parsed.select("row", "host", F.posexplode("paths").alias("at", "path")).select("row", "host", "at", F.explode("path").alias("node"))
+               .join(low, ["host", "node"]).groupBy("row").agg(F.collect_set("at").alias("low")))
+        marked = parsed.join(hit, "row", "left")
+        gone = F.transform("paths", lambda p, i: F.coalesce(F.array_contains("low", i), F.lit(False)))
+    marked = marked.withColumn("gone", gone)
+    left = F.filter("kept_texts", lambda t, i: ~F.col("gone")[F.col("kept_paths")[i]])
+    return marked.select("page_id", "url", F.array_join(left, "\n\n").alias("text"))
 
 
 def query(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.table import stage
+from ..sources.table import scratch_path, stage
 
 DOCUMENTS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -24,6 +24,13 @@ def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
                        F.col(text_col).cast("string").alias("text"), *more)
 
 
+def stage_texts(df: DataFrame, label: str) -> DataFrame:
+    """``stage`` for whole texts, compressed harder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def with_text_digest(column) -> F.Column:
     return F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
 
@@ -33,4 +40,4 @@ def hash_fold(column, parts: int) -> F.Column:
     return F.crc32(column.cast("string").cast("binary")) % parts
 
 
-__all__ = ["DOCUMENTS", "hash_fold", "load", "stage", "texts", "with_text_digest"]
+__all__ = ["DOCUMENTS", "hash_fold", "load", "stage", "stage_texts", "texts", "with_text_digest"]

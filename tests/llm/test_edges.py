@@ -53,7 +53,9 @@ def test_html_edges(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
-def test_style_tree_removes_what_pages_share(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_style_tree_removes_what_pages_share(spark, monkeypatch, few):
+    monkeypatch.setattr(html_extract, "LOW_NODES", few)
     page = lambda i: (i, f"http://h/{i}", f"<body><div class='x'>Same words here</div><div class='y'><p>Own text {i * 7}</p></div></body>")
     df = spark.createDataFrame([page(i) for i in range(8)], "page_id long, url string, html string")
     assert {r.text for r in html_extract.extract(df).collect()} == {f"Own text {i * 7}" for i in range(8)}
