@@ -6,6 +6,8 @@ block of its own), so memory in a task does not depend on batch or partition siz
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,6 +61,24 @@ def string_column(array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks and share an executor's
+    memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def sliced(batches, rows: int = 500):
+    """Record batches of at most ``rows`` rows; memory is given back at the end."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    give_back()
+
+
 def text_blocks(batches, column: str = "text", size: int = BLOCK_BYTES, rows: int = BLOCK_ROWS):
     """Slices of record batches of at most ``rows`` texts with about ``size`` bytes together."""
     for batch in batches:
@@ -70,6 +90,7 @@ def text_blocks(batches, column: str = "text", size: int = BLOCK_BYTES, rows: in
             stop = max(start + 1, min(start + rows, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def run_hashes(data: np.ndarray, long: np.ndarray) -> np.ndarray:

@@ -102,7 +102,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) with 100 * intersection >= percent * union on the full sets."""
 
     def check(batches):
-        for batch in batches:
+        for batch in blocks.sliced(batches):
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -175,6 +175,7 @@ def _second_round(percent: int):
             held = table.combine_chunks().to_batches()
         if held:
             yield from flush(pa.Table.from_batches(held))
+        blocks.give_back()
 
     return make
 

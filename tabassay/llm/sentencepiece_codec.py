@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 from . import blocks
 from .tables import load, texts
 
+BLOCK_BYTES = 1 << 18    # of text encoded at once
 MARK = "▁"  # stands for a space in pieces
-CACHED_UNITS = 400_000   # distinct units kept in a task's memory; then it starts anew
+CACHED_UNITS = 200_000   # distinct units kept in a task's memory; then it starts anew
 
 OUTPUT = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -259,7 +260,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", bos: bool = Fa
 
     def make(batches):
         codec = _codec(shared.value, bos, eos)
-        for block in blocks.text_blocks(batches, text_col):
+        for block in blocks.text_blocks(batches, text_col, BLOCK_BYTES):
             ids, start, stop, long = codec.encode([x or "" for x in block.column(block.schema.get_field_index(text_col)).to_pylist()])
             each = iter(ids.tolist())
             yield pa.RecordBatch.from_arrays(
