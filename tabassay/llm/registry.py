@@ -24,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_minhash_dedup": minhash_dedup.SQL,
         "op7_quality_rules": quality_rules.SQL,
+        "op8_suffix_dedup": suffix_dedup.SQL,
         "op9_decontamination": decontaminate.SQL,
     }

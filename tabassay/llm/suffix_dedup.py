@@ -33,9 +33,10 @@ from . import blocks
 from .tables import load, stage, texts
 
 WINDOW, CORE = 50, 20
-PER_BUCKET = 1_000_000   # anchors in one part of the first exchange
-PER_RUN = 300_000        # anchors hashed or suffixes sorted at once
-PER_RANGE = 150_000      # suffixes merged in one range
+PER_BUCKET = 500_000     # anchors in one part of the first exchange
+PER_RUN = 300_000        # anchors hashed at once
+PER_SORT = 100_000       # suffixes sorted at once
+PER_RANGE = 80_000       # suffixes merged in one range
 SAMPLED = 40_000         # suffixes drawn to cut the ranges, at most
 LAST = (1 << 63) - 1     # stands for a null id
 
@@ -158,12 +159,53 @@ def _flat(table, name):
     return table.column(name).combine_chunks().flatten().to_numpy()
 
 
-def _shared_cores(batches):
-    """(id, keys) for the cores that documents of different ids have."""
+def _runs_of_ids(doc, key, cuts_by, names):
+    """One row per run of ``cuts_by``: ids, how many keys each has, and the keys."""
+    by = _cuts(cuts_by)
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (cuts_by[1:] != cuts_by[:-1])]))
+    at = np.searchsorted(head, by)
+    return pa.RecordBatch.from_arrays([
+        _ints(cuts_by[by[:-1]].astype(np.int32), pa.int32()), _lists(doc[head], at, pa.int64()),
+        _lists(np.diff(np.append(head, len(doc))).astype(np.int32), at, pa.int32()), _lists(key.view(np.int64), by, pa.int64())], names)
+
+
+_OF_DOCUMENTS = "target int, ids array<long>, counts array<int>, keys array<long>"
+
+
+def _shared_cores(targets):
+    """The cores that documents of different ids have, packed by target, a hash of the id."""
+
+    def make(batches):
+        k, d = _found_cores(batches)
+        if len(k):
+            target = blocks.mix(d.view(_U)) % _U(targets)
+            order = np.lexsort((d, target))
+            yield _runs_of_ids(d[order], k[order], target[order], ["target", "ids", "counts", "keys"])
+
+    return make
+
+
+def _by_document(batches):
+    """(id, keys) of every document of a target."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held)
+    d, k = np.repeat(_flat(table, "ids"), _flat(table, "counts")), _flat(table, "keys")
+    order = np.argsort(d, kind="stable")
+    d, k = d[order], k[order]
+    cut = _cuts(d)
+    for a in range(0, len(cut) - 1, 5_000):
+        c = cut[a:a + 5_001]
+        yield pa.RecordBatch.from_arrays([_ints(d[c[:-1]], pa.int64()), _lists(k[c[0]:c[-1]], c - c[0], pa.int64())], ["id", "keys"])
+
+
+def _found_cores(batches):
+    """Keys and documents of the cores that documents of different ids have."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    table = pa.Table.from_batches(held)
     kind, bucket = table.column("kind").to_numpy(), table.column("bucket").to_numpy()
     counts, ids = _flat(table, "counts"), _flat(table, "ids")
     per_row = np.diff(table.column("bits").combine_chunks().offsets.to_numpy())
@@ -178,13 +220,7 @@ def _shared_cores(batches):
         shared = (np.minimum.reduceat(d, cut[:-1]) != np.maximum.reduceat(d, cut[:-1])) | np.isin(k[cut[:-1]], seen)
         keep = np.repeat(shared, np.diff(cut))
         k, d = k[keep], d[keep]
-    k, d = np.concatenate([k, key[of == DONE]]), np.concatenate([d, doc[of == DONE]])
-    order = np.argsort(d, kind="stable")
-    k, d = k[order], d[order]
-    cut = _cuts(d)
-    for a in range(0, len(cut) - 1, 20_000):
-        c = cut[a:a + 20_001]
-        yield pa.RecordBatch.from_arrays([_ints(d[c[:-1]], pa.int64()), _lists(k[c[0]:c[-1]].view(np.int64), c - c[0], pa.int64())], ["id", "keys"])
+    return np.concatenate([k, key[of == DONE]]), np.concatenate([d, doc[of == DONE]])
 
 
 # -- second exchange: front-coded runs of suffixes --------------------------------------
@@ -271,7 +307,7 @@ def _suffix_runs(splits, buckets, window, core):
                                    block.column(2).to_numpy()[text], at - offsets[text])):
                 x.append(y)
             held += len(at)
-            if held >= PER_RUN:
+            if held >= PER_SORT:
                 yield flush(*rows, run)
                 run, held, rows = run + 1, 0, ([], [], [], [])
         if held:
@@ -435,6 +471,7 @@ def _merge(window, core):
                 values.append(e)
         if runs:
             yield from one(part, runs, values)
+        blocks.give_back()
 
     return make
 
@@ -492,7 +529,7 @@ def _opened(batches):
 
 
 def _finish(batches):
-    for batch in batches:
+    for batch in blocks.sliced(batches):
         cols = [batch.column(i) for i in range(batch.num_columns)]
         n_removed, n_spans, digest, kept = [], [], [], []
         for k in range(batch.num_rows):
@@ -524,8 +561,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE, **co
     total = facts.agg(F.sum("n")).first()[0] or 0
     buckets = -(-total * 3 // (window - core + 1) // PER_BUCKET) or 1
     seen = rows.mapInArrow(_hash_runs(buckets, window, core), _SEEN)
-    shared = seen.repartition(buckets, "bucket").mapInArrow(_shared_cores, "id long, keys array<long>")
-    shared = shared.groupBy("id").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    shared = seen.repartition(buckets, "bucket").mapInArrow(_shared_cores(buckets), _OF_DOCUMENTS)
+    shared = shared.repartition(buckets, "target").mapInArrow(_by_document, "id long, keys array<long>")
     shared = stage(shared, "suffix-cores")
     suffixes = shared.agg(F.sum(F.size("keys"))).first()[0] or 0
     parts = -(-suffixes // PER_RANGE) or 1
@@ -567,3 +604,20 @@ def _splits(rows: DataFrame, total: int, parts: int, window: int, core: int) ->
 
 def query(spark, sf_dir):
     return remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT r, doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 100)) AS g
+        FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g),
+hit AS (SELECT r, p FROM w JOIN m USING (g) WHERE least < doc_id),
+gone AS MATERIALIZED (SELECT DISTINCT r, p + j AS b FROM hit, range(0, 50) t(j)),
+spans AS (SELECT r, count(*) AS n, sum(CASE WHEN before = b - 1 THEN 0 ELSE 1 END) AS runs
+        FROM (SELECT r, b, lag(b) OVER (PARTITION BY r ORDER BY b) AS before FROM gone) GROUP BY r),
+bytes AS (SELECT r, b, substr(h, CAST(2 * b + 1 AS BIGINT), 2) AS x FROM (SELECT r, h, unnest(range(0, length(h) // 2)) AS b FROM d)),
+kept AS (SELECT r, string_agg(x, '' ORDER BY b) AS h FROM bytes ANTI JOIN gone USING (r, b) GROUP BY r)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN spans USING (r) LEFT JOIN kept USING (r)
+"""
