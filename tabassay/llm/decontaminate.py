@@ -3,9 +3,12 @@
 ``build_index`` stores, for segments of about a MB of documents, the posting lists (sorted word
 positions) of the test terms; a segment is one row and can be written and reused. ``search`` takes
 each test window's terms rarest list first, shifts the lists by the terms' offsets and intersects
-them: what is left are exact phrases. The three rarest terms within ``near`` words of each other,
-without the phrase, are proximity matches. The test set is searched in blocks of bounded size;
-only a block is ever broadcast. Nothing of the corpus is shuffled with a single block.
+them: what is left are exact phrases. Proximity matches need no phrase: of a window's distinct terms that the corpus
+has, the three rarest (by words of the whole corpus, then by hash) count, and every place of the
+rarest with both others at most ``near`` words away, in any order, is one. Which terms those are is
+counted once per block of tests before the search, so matches do not depend on segments, partitions
+or blocks. The test set is searched in blocks of bounded size; only a block is ever broadcast.
+Nothing of the corpus is shuffled with a single block but one count per task and term.
 
 Null or empty texts and items have no words: n_words 0, no window. Repeated items share windows and
 are all reported; repeated documents stay separate rows. Items with null id count under the text
@@ -68,6 +71,29 @@ class Tests:
         for k, x in enumerate(lists):
             self.terms[k, :len(x)] = x
         self.vocabulary = np.unique(np.concatenate([np.array(x, np.int64) for x in lists])) if n else np.zeros(0, np.int64)
+        self.triples = np.zeros((0, 3), np.int64)  # the rarest terms of windows, rarest first, each triple once
+        self.windows, self.by_triple = np.zeros(0, np.int64), np.zeros(1, np.int64)  # and the windows that have it
+
+    def count_terms(self, counts: np.ndarray) -> None:
+        """Choose the rarest terms by the words the corpus has of each term of ``vocabulary``."""
+        if not len(self.size):
+            return
+        absent = len(counts)
+        rank = np.empty(absent, np.int64)
+        by = np.lexsort((self.vocabulary, counts))
+        rank[by] = np.arange(absent)
+        rank[counts == 0] = absent
+        ranks = rank[np.minimum(np.searchsorted(self.vocabulary, self.terms), absent - 1)]
+        ranks[np.arange(self.terms.shape[1])[None, :] >= self.size[:, None]] = absent
+        ranks.sort(axis=1)
+        ranks[:, 1:][ranks[:, 1:] == ranks[:, :-1]] = absent  # a repeated word counts once
+        ranks.sort(axis=1)
+        rare = ranks[:, :3]
+        able = np.flatnonzero((rare < absent).all(1)) if rare.shape[1] == 3 else np.zeros(0, np.int64)
+        triples, which = np.unique(rare[able], axis=0, return_inverse=True)
+        order = np.argsort(which.ravel(), kind="stable")
+        self.triples = self.vocabulary[by[triples]].reshape(-1, 3)
+        self.windows, self.by_triple = able[order], np.concatenate([[0], np.cumsum(np.bincount(which.ravel(), minlength=len(triples)))])
 
 
 def test_blocks(items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, **columns):
@@ -80,6 +106,29 @@ def test_blocks(items: DataFrame, window: int = WINDOW, max_windows: int = MAX_W
         yield Tests(part.orderBy("key").toArrow(), window)
 
 
+def corpus_counts(docs: DataFrame, vocabulary: np.ndarray, **columns) -> np.ndarray:
+    """How many words of all documents each term of the sorted ``vocabulary`` is."""
+    counts = np.zeros(len(vocabulary), np.int64)
+    if not len(vocabulary):
+        return counts
+    wanted = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches):
+        known, n = wanted.value, None
+        for block in blocks.text_blocks(batches):
+            term = _words(block.column(1)).hash.view(np.int64)
+            at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+            found = np.bincount(at[known[at] == term], minlength=len(known))
+            n = found if n is None else n + found
+        if n is not None and n.any():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(known[at]), pa.array(n[at])], ["term", "n"])
+
+    got = texts(docs, **columns).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts[np.searchsorted(vocabulary, got.column(0).to_numpy())] = got.column(1).to_numpy()
+    return counts
+
+
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, **columns) -> DataFrame:
     """One row per segment: documents, and for each term (of ``vocabulary``, if given) the sorted
     positions of its words. Positions count words across the segment, ``GAP`` apart by document."""
@@ -154,18 +203,16 @@ def search_segment(seg: Segment, tests: Tests, near: int):
     phrases = (w, start)
     if not near:
         return phrases, none
-    rare = order[:, :3]
-    rows = np.arange(len(tests.size))[:, None]
-    three = np.flatnonzero((tests.size >= 3) & known[rows, rare].all(1) & used[rows, rare].all(1))
-    t = tests.terms[three[:, None], rare[three]]
-    three = three[(t[:, 0] != t[:, 1]) & (t[:, 0] != t[:, 2]) & (t[:, 1] != t[:, 2])]
-    lead = term[three, order[three, 0]]
-    w = np.repeat(three, seg.long[lead])
+    term = np.minimum(np.searchsorted(seg.terms, tests.triples), len(seg.terms) - 1)
+    three = np.flatnonzero((seg.terms[term] == tests.triples).all(1))
+    lead = term[three, 0]
+    t = np.repeat(three, seg.long[lead])
     place = seg.key[blocks.ranges(seg.lists[lead], seg.long[lead])] & 0xFFFFFFFF
     for j in (1, 2):
-        ok = seg.distance(term[w, order[w, j]], place) <= near
-        w, place = w[ok], place[ok]
-    return phrases, (w, place)
+        ok = seg.distance(term[t, j], place) <= near
+        t, place = t[ok], place[ok]
+    n = np.diff(tests.by_triple)[t]
+    return phrases, (tests.windows[blocks.ranges(tests.by_triple[t], n)], np.repeat(place, n))
 
 
 def _pairs(doc, w, at, n):
@@ -177,7 +224,8 @@ def _pairs(doc, w, at, n):
 
 
 def search(index: DataFrame, tests: Tests, near: int = NEAR) -> DataFrame:
-    """One row per document: hit word ranges, items, phrase and proximity matches."""
+    """One row per document: hit word ranges, items, phrase and proximity matches; the latter only
+    after ``tests.count_terms``."""
     shared = index.sparkSession.sparkContext.broadcast(tests)
 
     def find(batches):
@@ -213,9 +261,11 @@ def search(index: DataFrame, tests: Tests, near: int = NEAR) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR,
                   max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted strings), phrases, near, contaminated."""
-    if window > GAP:
-        raise ValueError(f"window must be at most {GAP}")
+    if window > GAP or near >= GAP:
+        raise ValueError(f"window must be at most {GAP} and near less")
     tests = list(test_blocks(items, window, max_windows))
+    for t in tests if near else []:
+        t.count_terms(corpus_counts(docs, t.vocabulary))
     if len(tests) == 1:
         found = search(build_index(docs, tests[0].vocabulary), tests[0], near)
         hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
@@ -248,6 +298,12 @@ def query(spark, sf_dir):
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def proximity_query(spark, sf_dir):
+    """With proximity matches: how many pairs of a test window and a place each document has."""
+    found = decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("near").cast("long").alias("n_near"), "contaminated")
+
+
 SQL = r"""
 WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),

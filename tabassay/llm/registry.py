@@ -20,6 +20,11 @@ def queries() -> dict:
     }
 
 
+def more_queries() -> dict:
+    """Queries beside the contract's, whose columns are fixed by their SQL."""
+    return {"op9_proximity": decontaminate.proximity_query}
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_minhash_dedup": minhash_dedup.SQL,

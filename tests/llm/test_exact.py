@@ -3,8 +3,9 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,33 @@ def test_proximity_without_phrase(spark, items):
     assert got == {1: (0, True), 2: (0, False), 3: (10, True)}
 
 
+@pytest.mark.parametrize("parts, max_windows", [(1, 200_000), (17, 200_000), (17, 4)])
+def test_proximity_equals_brute_force(spark, parts, max_windows):
+    """All documents in one segment, a segment for each, and tests in several blocks."""
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(r.choices(words, range(1, 31), k=60)) for _ in range(12)]
+    texts += ["kiwi " + "pad " * 5 + "lime pear", "pear lime kiwi", "kiwi lime " + "pad " * 30 + "pear", "", "alone"]
+    tests = [" ".join(r.choices(words, k=14)) for _ in range(4)]
+    tests += ["kiwi lime pear absent pad pad w29 w29 w28 w28", "kiwi kiwi lime pear w29 w29 w29", "w1 w2", "w1 w1 w2 absent"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    items = spark.createDataFrame(list(enumerate(tests)), "item_id long, text string")
+
+    count = Counter(w for t in texts for w in t.split())
+    number = {w: decontaminate._words(pa.array([w])).hash.view("int64")[0] for t in tests for w in t.split()}
+    windows = {tuple(w[k:k + 10]) for w in map(str.split, tests) for k in range(max(len(w) - 9, 1))}
+    expected = {}
+    for i, t in enumerate(texts):
+        w, n = t.split(), 0
+        for g in windows:
+            rare = sorted({x for x in g if count[x]}, key=lambda x: (count[x], number[x]))[:3]
+            if len(rare) == 3:
+                n += sum(x == rare[0] and all(y in w[max(p - 20, 0):p + 21] for y in rare[1:]) for p, x in enumerate(w))
+        expected[i] = n
+    got = {r.doc_id: len(r.near) for r in decontaminate.decontaminate(docs, items, max_windows=max_windows).collect()}
+    assert got == expected and [bool(got[k]) for k in range(12, 17)] == [True, True, False, False, False]
+
+
 def test_tree_moves_rows_only_into_the_new_shard(spark):
     docs = spark.range(4000).withColumnRenamed("id", "doc_id")
     for n in (1, 5, 12, 24, 25):

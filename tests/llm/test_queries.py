@@ -62,6 +62,13 @@ def test_sharding_columns(spark, docs):
         assert (r.size, r.text_crc32, r.law) == (len(data) + 8, zlib.crc32(data), "key") and 0 <= r.shard < 24
 
 
+def test_proximity_query(spark):
+    made = entry.queries()["op9_proximity"](spark, SF).collect()
+    exact = entry.queries()["op9_decontamination"](spark, SF).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in made) == sorted((r.doc_id, r.n_words, r.n_hit) for r in exact)
+    assert any(r.n_near for r in made)
+
+
 def test_pipeline(spark, docs):
     """The last stage against the library on what the others left."""
     import sentencepiece
