@@ -1,11 +1,16 @@
 """Main text of web pages by a site style tree.
 
-Pages of one host are merged into a tree of style nodes (element paths of tag and class). A node's
-importance mixes the entropy of its presentation (child sequences over the host's pages) with that
-of the contents below it: text found on many pages spreads its probability and counts little, text
-of one page counts fully. Branches of low importance are removed from each page, together with
-branches whose element or class already says menu, header, footer, sidebar, notice, advert, form,
-comment, script or style. A page with article or main elements gives only what is inside them.
+Pages of one host are merged into a tree of style nodes (element paths of tag and class) with all
+their text, menus and footers too. The importance of a node's own text mixes the entropy of its
+presentation (child sequences over the host's pages) with that of its contents: text found on many
+pages spreads its probability and counts little, text of one page counts fully. First, text of low
+importance is removed from each page. A branch falls when all text below it is low; a node above that
+also holds important text does not take that with it.
+
+Second, fixed rules remove what an element or class already calls menu, header, footer, sidebar,
+notice, advert, form, comment, script or style, however important: such text can be new on each page.
+A page with article or main elements gives what is inside them, and of the rest only text whose node
+has the importance MIN_OUTSIDE in its host's tree.
 
 Pages with equal contents count once in a host's tree. Null and empty pages, and pages without main
 text, give ''. Pages of any size are read whole. A null url is a host of its own. Repeated rows stay
@@ -28,8 +33,9 @@ from .tables import load, stage_texts
 
 MIN_PAGES = 5        # different pages of a host before its tree decides
 MIN_IMPORTANCE = 0.2
-LOW_NODES = 100_000  # unimportant nodes that may be broadcast: a few MB
-PRESENTATION = 0.1   # share of presentation in the importance of a node with text below
+MIN_OUTSIDE = 0.8    # of text beside article and main elements: nearly every page has its own
+LOW_NODES = 100_000  # nodes the tree decides on that may be broadcast: a few MB
+PRESENTATION = 0.1   # share of presentation in the importance of a node with text
 
 # fixed values: elements and class words
 SKIPPED = {"head", "script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "audio", "video",
@@ -171,21 +177,18 @@ class Page:
                 return
 
     def blocks(self):
-        """(text, path, kept by elements and classes) of every block in page order."""
+        """(text, path, not ruled out, beside the page's article or main elements) of every block in page order."""
         inside = any(m and not o for m, o in zip(self.main, self.out))
-        return [(t, p, not o and (m or not inside)) for t, p, o, m in zip(self.texts, self.paths, self.out, self.main)]
+        return [(t, p, not o, inside and not m) for t, p, o, m in zip(self.texts, self.paths, self.out, self.main)]
 
 
-def _nodes(path):
-    return [_hash("/".join(path[:k])) for k in range(1, len(path) + 1)]
-
-
-_PARSED = ("row long, page_id long, url string, host string, page_hash long, kept_texts array<string>, kept_hashes array<long>, "
-           "kept_paths array<int>, paths array<array<long>>, styles array<struct<node:long,style:long>>")
+_PARSED = ("row long, page_id long, url string, host string, page_hash long, kept_texts array<string>, kept_paths array<int>, "
+           "beside array<boolean>, paths array<long>, blocks array<struct<hash:long,path:int,beside:boolean>>, "
+           "styles array<struct<node:long,style:long>>")
 
 
 def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: its kept blocks, and what its host's tree counts."""
+    """One row per page: the blocks no rule removes, and what its host's tree counts."""
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), url.alias("url"),
@@ -197,14 +200,16 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             for source in block.column(4).to_pylist():
                 page = Page(source or "")
                 found = page.blocks()
-                kept = [(t, p) for t, p, k in found if k]
-                place = {p: i for i, p in enumerate(dict.fromkeys(p for _, p in kept))}
-                styles = [{"node": _hash("/".join(p)), "style": _hash(" ".join(dict.fromkeys(c)))} for p, c in page.children.items()]
-                out.append((_hash("\n".join(t for t, _ in kept)), [t for t, _ in kept], [_hash(t) for t, _ in kept],
-                            [place[p] for _, p in kept], [_nodes(p) for p in place], styles))
-            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())),
+                place = {p: i for i, p in enumerate(dict.fromkeys(p for _, p, *_ in found))}
+                kept = [(t, place[p], beside) for t, p, k, beside in found if k]
+                styles = [{"node": _hash("/".join(p)), "style": _hash(" ".join(dict.fromkeys(c)))} for p, c in page.children.items() if p in place]
+                out.append((_hash("\n".join(t for t, _, beside in kept if not beside)), [t for t, *_ in kept], [p for _, p, _ in kept],
+                            [beside for *_, beside in kept], [_hash("/".join(p)) for p in place],
+                            [{"hash": _hash(t), "path": place[p], "beside": k and beside} for t, p, k, beside in found], styles))
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64()),
+                     pa.list_(pa.struct([("hash", pa.int64()), ("path", pa.int32()), ("beside", pa.bool_())])),
                      pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64())]))]
-            names = ["page_hash", "kept_texts", "kept_hashes", "kept_paths", "paths", "styles"]
+            names = ["page_hash", "kept_texts", "kept_paths", "beside", "paths", "blocks", "styles"]
             yield pa.RecordBatch.from_arrays([*block.columns[:4], *(pa.array(list(c), k) for c, k in zip(zip(*out), kinds))],
                                              [*block.schema.names[:4], *names])
 
@@ -212,13 +217,15 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of every style node with text below it."""
+    """(host, node, pages, importance, beside) of every style node with text of its own; beside: on
+    some page that text lies beside article or main elements."""
     # pages with equal contents have one page_hash and count once
-    leaf = (parsed.select("host", "page_hash", "paths", F.explode(F.arrays_zip("kept_hashes", "kept_paths")).alias("x"))
-            .select("host", "page_hash", F.col("x.kept_hashes").alias("hash"), F.explode(F.col("paths")[F.col("x.kept_paths")]).alias("node"))
-            .distinct())
-    spread = leaf.groupBy("host", "node", "hash").agg(F.count("*").alias("c"))
-    contents = spread.groupBy("host", "node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    leaf = (parsed.select("host", "page_hash", "paths", F.explode("blocks").alias("x"))
+            .select("host", "page_hash", "x.hash", F.col("paths")[F.col("x.path")].alias("node"), "x.beside")
+            .groupBy("host", "page_hash", "hash", "node").agg(F.max("beside").alias("beside")))
+    spread = leaf.groupBy("host", "node", "hash").agg(F.count("*").alias("c"), F.max("beside").alias("beside"))
+    contents = spread.groupBy("host", "node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"),
+                                                  F.max("beside").alias("beside"))
     pages = leaf.select("host", "page_hash", "node").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
     style = (parsed.select("host", "page_hash", F.explode("styles").alias("s")).select("host", "page_hash", "s.node", "s.style").distinct()
              .groupBy("host", "node", "style").agg(F.count("*").alias("c"))
@@ -227,25 +234,28 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     many = F.log(F.greatest("pages", F.lit(2)))
     content = 1 - F.col("clogc") / F.col("n") / many
     shown = F.coalesce((F.log("s_n") - F.col("s_clogc") / F.col("s_n")) / F.log(F.greatest("s_n", F.lit(2))), F.lit(0.0))
-    return node.select("host", "node", "pages", ((1 - PRESENTATION) * content + PRESENTATION * shown).alias("importance"))
+    return node.select("host", "node", "pages", ((1 - PRESENTATION) * content + PRESENTATION * shown).alias("importance"), "beside")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, **columns) -> DataFrame:
     """(page_id, url, text) of every page."""
     parsed = stage_texts(parse(pages, **columns).withColumn("host", F.coalesce("host", F.lit(""))), "html-blocks")
-    low = style_tree(parsed).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance)).select("host", "node")
-    low = stage_texts(low, "html-low")
-    if low.limit(LOW_NODES + 1).count() <= LOW_NODES:
-        by_host = low.groupBy("host").agg(F.collect_set("node").alias("low"))
-        marked = parsed.join(F.broadcast(by_host), "host", "left")
-        gone = F.transform("paths", lambda p: F.coalesce(F.arrays_overlap(p, F.col("low")), F.lit(False)))
+    ruled = (F.col("importance") < min_importance) | F.col("beside") & (F.col("importance") >= MIN_OUTSIDE)
+    nodes = style_tree(parsed).where((F.col("pages") >= min_pages) & ruled)
+    nodes = stage_texts(nodes.select("host", "node", (F.col("importance") < min_importance).alias("is_low")), "html-nodes")
+    sets = [F.collect_set(F.when(is_low, F.col("x"))).alias(n) for n, is_low in (("low", F.col("is_low")), ("own", ~F.col("is_low")))]
+    if nodes.limit(LOW_NODES + 1).count() <= LOW_NODES:
+        marked = parsed.join(F.broadcast(nodes.withColumnRenamed("node", "x").groupBy("host").agg(*sets)), "host", "left")
+        place = F.col("paths")
     else:
-        hit = (parsed.select("row", "host", F.posexplode("paths").alias("at", "path")).select("row", "host", "at", F.explode("path").alias("node"))
-               .join(low, ["host", "node"]).groupBy("row").agg(F.collect_set("at").alias("low")))
+        hit = (parsed.select("row", "host", F.posexplode("paths").alias("x", "node")).join(nodes, ["host", "node"])
+               .groupBy("row").agg(*sets))
         marked = parsed.join(hit, "row", "left")
-        gone = F.transform("paths", lambda p, i: F.coalesce(F.array_contains("low", i), F.lit(False)))
-    marked = marked.withColumn("gone", gone)
-    left = F.filter("kept_texts", lambda t, i: ~F.col("gone")[F.col("kept_paths")[i]])
+        place = F.transform("paths", lambda p, i: i)
+    of = lambda name: F.transform(place, lambda x: F.coalesce(F.array_contains(name, x), F.lit(False)))
+    marked = marked.withColumn("is_low", of("low")).withColumn("is_own", of("own"))
+    at = lambda name, i: F.col(name)[F.col("kept_paths")[i]]
+    left = F.filter("kept_texts", lambda t, i: ~at("is_low", i) & (~F.col("beside")[i] | at("is_own", i)))
     return marked.select("page_id", "url", F.array_join(left, "\n\n").alias("text"))
 
 

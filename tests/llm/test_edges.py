@@ -61,6 +61,18 @@ def test_style_tree_removes_what_pages_share(spark, monkeypatch, few):
     assert {r.text for r in html_extract.extract(df).collect()} == {f"Own text {i * 7}" for i in range(8)}
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_style_tree_sees_all_text(spark, monkeypatch, few):
+    """Own text beside an article stays, shared text there goes; many menu entries do not take a page's only text with them."""
+    monkeypatch.setattr(html_extract, "LOW_NODES", few)
+    menu = "".join(f"<div class='m{chr(97 + k)}'>Entry {k}</div>" for k in range(20))
+    rows = [(i, f"http://h/{i}", f"<nav>new {i}</nav><div id='con'><p>Own text {i * 7}</p></div><div class='x'>Same</div>"
+                                 f"<article><p>Teaser {i * 3}</p></article>") for i in range(8)]
+    rows += [(i, f"http://k/{i}", f"<body>{menu}<p>Own text {i * 7}</p></body>") for i in range(8, 16)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own text {i * 7}" + (f"\n\nTeaser {i * 3}" if i < 8 else "") for i in range(16)}
+
+
 def test_pipeline_stages(hard, hard_rows, items, labels):
     kept = toxicity.keep_clean(hard, labels)
     assert kept.columns == hard.columns
