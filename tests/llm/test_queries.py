@@ -1,6 +1,8 @@
 """The registered queries: against DuckDB where SQL can express them, else against brute force."""
 
 import hashlib
+import re
+import shutil
 import zlib
 
 import pytest
@@ -11,7 +13,8 @@ import corpus_pipeline
 from tabassay.llm import pii, registry, sentencepiece_codec, sharding
 from tabassay.llm.tables import load
 
-from .test_exact import plain_pii
+from .conftest import prose
+from .test_exact import plain_pii, words
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -83,3 +86,67 @@ def test_pipeline(spark, docs):
     assert all(not plain_pii(t) for t in left.values())
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id: list(r.ids) for r in got} == {i: sp.encode(t, add_eos=True) for i, t in left.items()}
+
+
+def plain_near(texts):
+    """Ids that stay: the least of each group of chained pairs with 5-word Jaccard 0.8 or more."""
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))} if (w := words(t)) else set() for i, t in texts.items()}
+    group = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            same = len(sets[a] & sets[b])
+            if a < b and same and 100 * same >= 80 * (len(sets[a]) + len(sets[b]) - same) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    return {i for i, g in group.items() if i == g}
+
+
+def plain_leaks(texts, tests):
+    def split(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+    windows = {tuple(w[k:k + 10]) for w in map(split, tests) for k in range(max(len(w) - 9, 1) if w else 0)}
+    sizes = {len(g) for g in windows}
+    return {i for i, t in texts.items() if any(tuple(w[k:k + n]) in windows for w in [split(t)] for n in sizes for k in range(len(w) - n + 1))}
+
+
+def plain_mask(text):
+    """The four base kinds, none overlapping here."""
+    for a, b, kind in reversed(plain_pii(text)):
+        text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
+    return text
+
+
+def test_pipeline_equals_plain_python(spark, docs, tmp_path):
+    """Ids and texts of stages 2, 3 and 4, and the token ids of run(), on documents with planted
+    copies, chains, pairs just below the limit, leaks of all and of part of a window, and personal data."""
+    import sentencepiece
+    leak = load(spark, SF, "benchmark").where("text IS NOT NULL").orderBy("item_id").first().text.split()
+    base, n = prose(70, 100), 10 ** 6
+    chain = [base] + [" ".join(w if k not in at else "changed" for k, w in enumerate(base.split())) for at in ((3,), (3, 96), (3, 50, 96), (20, 30, 40, 60))]
+    planted = chain + [base, prose(71, 80) + " " + " ".join(leak[:10]), prose(72, 80) + " " + " ".join(leak[:9]) + " end",
+                       " ".join(leak), prose(73, 40) + " mail a.b@c.de or 10.0.0.1, 4111 1111 1111 1111, +1 (555) 010-9999 now",
+                       prose(74, 40) + " from 300.1.1.1 and 4111 1111 1111 1112 here", ""]
+    kinds = load(spark, SF, "documents")
+    more = spark.createDataFrame([(n + i, t, "en", "planted", len(t)) for i, t in enumerate(planted)], "doc_id long, text string, lang string, source string, n_chars long")
+    kinds.unionByName(more.select(kinds.columns)).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        shutil.copy(f"{SF}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    tests = [r.text for r in load(spark, SF, "benchmark").collect()]
+    read = lambda df: {r.doc_id: r.text or "" for r in df.collect()}
+    made = [load(spark, str(tmp_path), "documents")]
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        made.append(corpus_pipeline.stage(step(spark, made[-1], str(tmp_path)), "test"))
+    clean, near, left, masked = map(read, made[1:])
+    assert {n + i for i in range(len(planted))} <= set(clean)
+    own = plain_near(clean)
+    expected = {i: t for i, t in clean.items() if i in own}
+    assert near == expected and {i - n for i in set(clean) - own if i >= n} >= {1, 5}
+    gone = plain_leaks(expected, tests)
+    expected = {i: t for i, t in expected.items() if i not in gone}
+    assert left == expected and {i - n for i in gone if i >= n} >= {6} and n + 7 in left
+    expected = {i: plain_mask(t) for i, t in expected.items()}
+    assert masked == expected and masked[n + 9].endswith(" mail [EMAIL] or [IP], [CARD], [PHONE] now")
+    sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_codec.model_file())
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {i: sp.encode(t, add_eos=True) for i, t in expected.items()}
