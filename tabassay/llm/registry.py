@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, minhash_dedup, pii, quality_rules, sentencepiece_codec, sharding, suffix_dedup, toxicity
+from . import (byte_bpe, decontaminate, html_extract, language_id, minhash_dedup, pii, quality_rules, sentencepiece_codec, sharding, suffix_dedup,
+               toxicity)
 
 
 def queries() -> dict:
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.query,
         "op9_decontamination": decontaminate.query,
         "op10_sentencepiece": sentencepiece_codec.query,
+        "op13_byte_bpe": byte_bpe.query,
     }
 
 
