@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (byte_bpe, decontaminate, hard_negatives, html_extract, language_id, minhash_dedup, pii, quality_rules,
-               sentencepiece_codec, sharding, suffix_dedup, toxicity)
+from . import (byte_bpe, decontaminate, hard_negatives, html_extract, language_id, minhash_dedup, pii, prefix_trie,
+               quality_rules, sentencepiece_codec, sharding, suffix_dedup, toxicity)
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.query,
         "op9_decontamination": decontaminate.query,
         "op10_sentencepiece": sentencepiece_codec.query,
+        "op11_prefix_trie": prefix_trie.query,
         "op12_hard_negatives": hard_negatives.query,
         "op13_byte_bpe": byte_bpe.query,
     }
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.SQL,
         "op8_suffix_dedup": suffix_dedup.SQL,
         "op9_decontamination": decontaminate.SQL,
+        "op11_prefix_trie": prefix_trie.SQL,
         "op12_hard_negatives": hard_negatives.SQL,
     }
