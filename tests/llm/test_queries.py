@@ -25,7 +25,10 @@ COLUMNS = {
     "op7_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op8_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op9_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
-    "op10_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256"}
+    "op10_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op12_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op13_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256"}
 
 
 @pytest.fixture(scope="module")
