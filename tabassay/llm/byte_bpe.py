@@ -31,9 +31,10 @@ from .blocks import give_back, string_column, text_blocks
 from .tables import load, texts
 
 BLOCK = 4 << 20
-KNOWN_WORDS = 600_000
-FRESH_WORDS = 50_000  # encoded by one recursive query
-MEMORY_MB = 300  # of a worker's DuckDB
+KNOWN_WORDS = 1_200_000
+FRESH_WORDS = 120_000  # encoded by one recursive query
+MEMORY_MB = 400  # of a worker's DuckDB
+NONE = (1 << 36) - 1
 FIRST_RARE_BYTE = 0xD5  # UTF-8 of code points from 0x540: below, all Unicode versions agree on classes
 
 MERGES = """
@@ -42,42 +43,48 @@ SELECT a.id::BIGINT * 16777216 + b.id AS pair, s.id AS rank
 FROM (SELECT id, piece, unnest(range(1, length(piece) // 2)) AS k FROM vocab) s
 JOIN vocab a ON a.piece = s.piece[:2 * k] JOIN vocab b ON b.piece = s.piece[2 * k + 1:]"""
 
-# Word bytes as token positions; a word that is itself in the vocabulary is one token.
-POSITIONS = """
-SELECT w, p, v.id AS tok
-FROM (SELECT w, p, piece[2 * p + 1:2 * p + 2] AS byte
-      FROM (SELECT w, f.piece, unnest(range(length(f.piece) // 2)) AS p
-            FROM fresh f LEFT JOIN vocab v ON v.piece = f.piece WHERE v.id IS NULL))
-JOIN vocab v ON v.piece = byte"""
-
-CONTRACT = f"""
-WITH RECURSIVE words(w, toks, ranks, best) AS (
-  SELECT w, list(tok ORDER BY p), list(rank ORDER BY p), min(rank)
-  FROM (SELECT x.w, x.p, x.tok, m.rank
-        FROM (SELECT w, p, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) AS after FROM ({POSITIONS})) x
-        LEFT JOIN merges m ON m.pair = x.tok::BIGINT * 16777216 + x.after)
-  GROUP BY w
+# A position of a word is one number, rank * 2**24 + token: the token, and the rank of its pair with the next.
+# NONE is the rank of a pair that does not merge. Byte pairs, and bytes at a word's end, by their hex digits.
+OPENERS = """
+CREATE TABLE openers AS
+SELECT a.piece || coalesce(b.piece, '') AS two, coalesce(m.rank, {NONE}) * 16777216 + a.id AS here
+FROM vocab a CROSS JOIN (SELECT id, piece FROM vocab WHERE length(piece) = 2 UNION ALL SELECT NULL, NULL) b
+LEFT JOIN merges m ON m.pair = a.id::BIGINT * 16777216 + b.id
+WHERE length(a.piece) = 2"""
+
+# Each word starts with a sentinel, so a pair always has a position before it. A word that is itself in the
+# vocabulary is one token.
+CONTRACT = """
+WITH RECURSIVE words(w, ats, best) AS (
+  SELECT w, [{NONE} * 16777216 + 16777215] || list(here ORDER BY p), nullif(min(here) >> 24, {NONE})
+  FROM (SELECT w, p, piece[2 * p + 1:2 * p + 4] AS two
+        FROM (SELECT w, f.piece, unnest(range(length(f.piece) // 2)) AS p
+              FROM fresh f LEFT JOIN vocab v ON v.piece = f.piece WHERE v.id IS NULL))
+  JOIN openers USING (two) GROUP BY w
   UNION ALL
-  SELECT w, toks, ranks, list_min(ranks)
-  FROM (SELECT w, toks[:(i - 1)] || [best] || toks[(i + 2):] AS toks,
-               CASE WHEN i > 1 THEN ranks[:(i - 2)] || [l.rank] ELSE [] END || [r.rank] || ranks[(i + 2):] AS ranks
-        FROM (SELECT *, list_position(ranks, best) AS i FROM words WHERE best IS NOT NULL) x
-        LEFT JOIN merges l ON l.pair = CASE WHEN i > 1 THEN x.toks[(i - 1)]::BIGINT * 16777216 + best END
-        LEFT JOIN merges r ON r.pair = best::BIGINT * 16777216 + x.toks[(i + 2)]))
-SELECT w, toks FROM words WHERE best IS NULL
+  SELECT w, ats, nullif(list_min(ats) >> 24, {NONE})
+  FROM (SELECT w, ats[:(i - 2)] || [coalesce(l.rank, {NONE}) * 16777216 + before, coalesce(r.rank, {NONE}) * 16777216 + best]
+                  || ats[(i + 2):] AS ats
+        FROM (SELECT w, ats, best, i, ats[(i - 1)] & 16777215 AS before, ats[(i + 2)] & 16777215 AS after
+              FROM (SELECT *, list_position(list_transform(ats, lambda x: x >> 24), best) AS i FROM words WHERE best IS NOT NULL)) x
+        LEFT JOIN merges l ON l.pair = x.before * 16777216 + best
+        LEFT JOIN merges r ON r.pair = best * 16777216 + x.after))
+SELECT w, list_transform(ats[2:], lambda x: (x & 16777215)::INTEGER) AS toks FROM words WHERE best IS NULL
 UNION ALL
 SELECT w, [v.id] FROM fresh f JOIN vocab v ON v.piece = f.piece"""
 
+# The decoded bytes of a whole word are a piece of text again.
 LEARN = """
 INSERT INTO known
 SELECT w, toks, bytes FROM made JOIN (
-  SELECT w, string_agg(v.piece, '' ORDER BY p) AS bytes
+  SELECT w, decode(from_hex(string_agg(v.piece, '' ORDER BY p))) AS bytes
   FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS p FROM made) JOIN vocab v ON v.id = tok
   GROUP BY w) USING (w)"""
 
+# One thread aggregates the sorted rows in their order.
 ASSEMBLE = """
-SELECT d, flatten(list(toks ORDER BY k)) AS ids, from_hex(string_agg(bytes, '' ORDER BY k)) AS decoded
-FROM placed JOIN known USING (w) GROUP BY d"""
+SELECT d, flatten(list(toks)) AS ids, encode(string_agg(bytes, '')) AS decoded
+FROM (SELECT d, toks, bytes FROM placed JOIN known USING (w) ORDER BY d, k) GROUP BY d"""
 
 DECODE = """
 SELECT d, from_hex(string_agg(v.piece, '' ORDER BY p)) AS decoded
@@ -144,6 +151,7 @@ class Worker:
         self.put("given", pa.table({"id": pa.array([int(r) for _, r in pairs], pa.int32()),
                                     "piece": [base64.b64decode(t).hex() for t, _ in pairs]}), "vocab")
         self.con.execute(MERGES)
+        self.con.execute(OPENERS.format(NONE=NONE))
         self.forget()
 
     def put(self, name: str, table: pa.Table, stored: str | None = None):
@@ -164,7 +172,7 @@ class Worker:
             part = words[start:start + FRESH_WORDS]
             self.put("fresh", pa.table({"w": pa.array(range(first + start, first + start + len(part)), pa.int64()),
                                         "piece": [w.encode().hex() for w in part]}))
-            self.put("made", self.rows(CONTRACT))
+            self.put("made", self.rows(CONTRACT.format(NONE=NONE)))
             self.con.execute(LEARN)
             self.con.unregister("made")
             self.con.unregister("fresh")
