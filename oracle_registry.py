@@ -424,6 +424,64 @@ RECORDS = [iqr_of("dq", NUM), normality_of("dq", NUM), zscore_of("dq", NUM, 3),
 RECORD_OUT = """SELECT row_id, "column", method_used, {}, severity, expected_range, primary_driver_feature FROM {{}}""".format(
     rounded("anomaly_score", "raw_value", "lower", "upper"))
 
+# -- isolation forest: the same digests, grown and walked level by level ------------------------------
+
+TREES, SAMPLE, DEPTH = 100, 256, 8
+UNIT = "(('0x' || substr(md5({}), {}, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+PATH = """round(({level} + CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1
+  ELSE 2 * (ln((n - 1)::DOUBLE) + 0.5772156649::DOUBLE) - 2 * (n - 1)::DOUBLE / n END) * 16777216)::BIGINT"""
+
+
+def forest_of(table, columns, row_id="row_id"):
+    """scores (row_id, fs, score), where fs lists the columns with gaps filled by medians."""
+    filled = ", ".join(f"coalesce({c}::DOUBLE, (SELECT median({c}::DOUBLE) FROM {table}))" for c in columns)
+    unit = lambda what, at=1: UNIT.format(what, at)
+    least, most = ("list_value(" + ", ".join(f"{fn}(fs[{i}])" for i in range(1, len(columns) + 1)) + ")" for fn in ("min", "max"))
+    parts = [f"""feat AS MATERIALIZED (SELECT {row_id} AS row_id, list_value({filled}) AS fs FROM {table})""",
+             f"""lines AS MATERIALIZED (SELECT t, 1 + floor({unit("'42:' || t || ':slope'")} * 2147483646)::BIGINT AS a,
+  floor({unit("'42:' || t || ':shift'")} * 2147483647)::BIGINT AS b FROM range({TREES}) r(t))""",
+             f"""pool AS (SELECT row_id, fs, ('0x' || substr(md5('42:' || row_id), 17, 8))::BIGINT % 2147483647 AS number FROM feat
+  WHERE {unit("'42:' || row_id")} < {4 * TREES * SAMPLE}.0::DOUBLE / (SELECT count(*) FROM feat))""",
+             f"""l0 AS MATERIALIZED (SELECT t, 0::BIGINT AS slot, fs FROM (SELECT t, row_id, (number * a + b) % 2147483647 AS draw FROM pool, lines
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY draw, row_id) <= {SAMPLE}) JOIN feat USING (row_id))"""]
+    for level in range(DEPTH):
+        parts.append(f"""s{level} AS MATERIALIZED (SELECT t, slot, n, spread[floor({unit("'42:' || t || ':' || slot")} * len(spread))::INTEGER + 1] AS f, lows, highs,
+  {unit("'42:' || t || ':' || slot", 14)} AS u FROM (SELECT *, CASE WHEN n > 1 THEN list_filter(range(1, {len(columns) + 1}), lambda i: highs[i] > lows[i]) ELSE [] END AS spread
+    FROM (SELECT t, slot, count(*) AS n, {least} AS lows, {most} AS highs FROM l{level} GROUP BY t, slot)))""")
+        parts.append(f"""l{level + 1} AS MATERIALIZED (SELECT t, 2 * slot + 1 + (fs[f] > lows[f] + u * (highs[f] - lows[f]))::INTEGER AS slot, fs
+  FROM l{level} JOIN s{level} USING (t, slot) WHERE f IS NOT NULL)""")
+    leaves = [f"SELECT t, slot, {PATH.format(level=level)} AS path FROM s{level} WHERE f IS NULL" for level in range(DEPTH)]
+    leaves.append(f"SELECT t, slot, {PATH.format(level=DEPTH)} FROM (SELECT t, slot, count(*) AS n FROM l{DEPTH} GROUP BY t, slot)")
+    cuts = " UNION ALL ".join(f"SELECT t, slot, f, lows[f] + u * (highs[f] - lows[f]) AS cut FROM s{level} WHERE f IS NOT NULL" for level in range(DEPTH))
+    parts += [f"cuts AS MATERIALIZED ({cuts})", f"leaves AS MATERIALIZED ({' UNION ALL '.join(leaves)})"]
+    walk = f"(SELECT row_id, t, fs, 0::BIGINT AS slot FROM feat, lines)"
+    for level in range(DEPTH):
+        walk = f"""(SELECT row_id, w.t, fs, CASE WHEN f IS NULL THEN w.slot ELSE 2 * w.slot + 1 + (fs[f] > cut)::INTEGER END AS slot
+  FROM {walk} w LEFT JOIN cuts c ON c.t = w.t AND c.slot = w.slot)"""
+    # A leaf's slot is the least on its branch that holds one: empty sides end a level above the bottom.
+    parts.append(f"""walked AS (SELECT row_id, sum(path) AS total, count(path) AS found FROM {walk} w LEFT JOIN leaves e ON e.t = w.t AND e.slot = w.slot GROUP BY row_id)""")
+    scale = PATH.format(level=0).replace("round(", "(", 1).replace(" * 16777216)::BIGINT", ")")
+    parts.append(f"""scores AS MATERIALIZED (SELECT feat.row_id, fs, pow(2::DOUBLE, -total::DOUBLE / 16777216.0::DOUBLE / (SELECT sum({scale}) FROM (SELECT count(*) AS n FROM l0 GROUP BY t))) AS score
+  FROM feat JOIN walked USING (row_id))""")
+    return parts
+
+
+def forest_records_of(columns, contamination=0.05):
+    names = "[" + ", ".join(f"'{c}'" for c in columns) + "]"
+    return [f"cutoff AS (SELECT quantile_cont(score, {1 - contamination}) AS cut, min(score) AS low, max(score) AS high FROM scores)",
+            f"""driver AS (SELECT * FROM (SELECT i, avg(x) AS mean, stddev_samp(x) AS sd, avg(x) FILTER (score > cut) AS inside, avg(x) FILTER (score <= cut) AS outside
+  FROM (SELECT score, unnest(range(1, {len(columns) + 1})) AS i, unnest(fs) AS x FROM scores), cutoff GROUP BY i)
+  ORDER BY abs(inside - outside) / (abs(outside) + 1e-9) DESC, i LIMIT 1)""",
+            f"""forest AS (SELECT row_id, 'multivariate' AS "column", 'isolation_forest' AS method_used, s AS anomaly_score,
+  CASE WHEN s >= 0.7 THEN 'high' ELSE 'moderate' END AS severity, fs[i] AS raw_value, mean - 3 * sd AS lower, mean + 3 * sd AS upper,
+  printf('[%.4g, %.4g]  (primary driver: %s)', mean - 3 * sd, mean + 3 * sd, {names}[i]) AS expected_range, {names}[i] AS primary_driver_feature
+  FROM (SELECT row_id, fs, (score - low) / (high - low + 1e-10) AS s FROM scores, cutoff WHERE score > cut), driver)"""]
+
+
+FOREST = [*forest_of("dq", NUM), *forest_records_of(NUM)]
+THREE = [*FOREST, *(p.replace("UNION ALL SELECT * FROM zscore)", "UNION ALL SELECT * FROM zscore UNION ALL SELECT * FROM forest)")
+                    .replace("WHEN 'iqr' THEN 'IQR' ELSE 'Z-Score' END", "WHEN 'iqr' THEN 'IQR' WHEN 'zscore' THEN 'Z-Score' ELSE 'Isolation Forest' END") for p in RECORDS)]
+
 # -- report lines ---------------------------------------------------------------------
 
 QUALITY_LINES = """SELECT row_number() OVER (ORDER BY p) - 1 AS position, '- ' || line AS line FROM (
@@ -454,6 +512,8 @@ ANOMALY_LINES = """SELECT row_number() OVER (ORDER BY p) - 1 AS position, line F
     FROM panel WHERE multi_method_rows > 0
   UNION ALL SELECT 5, '- Highest-scoring anomaly: row ' || row_id || ', driven by ''' || primary_driver_feature
     || ''' (composite score ' || printf('%.2f', composite_score) || ')' FROM top)"""
+METHOD_LINES = ANOMALY_LINES.replace("UNION ALL SELECT 4,", """UNION ALL SELECT 3.5, '- Isolation Forest: ' || format('{:,}', count(*)) || ' records' FROM forest HAVING count(*) > 0
+  UNION ALL SELECT 4,""")
 GLANCE = f"""SELECT 0 AS position, 'Health Score' AS metric, health_score || '/100 — ' || band AS value FROM banded
 UNION ALL SELECT 1, 'Insight Count', count(*)::VARCHAR FROM findings
 UNION ALL SELECT 2, 'Anomalous Rows', rows_flagged::VARCHAR FROM panel
@@ -630,6 +690,15 @@ def oracle_sql() -> dict[str, str]:
         + list_position({COLUMNS!r}, primary_driver_feature)) AS place FROM records GROUP BY 1)""", *RECORDS)
     q["top_anomaly"] = dq('SELECT row_id, round(composite_score, 4) AS composite_score, severity, primary_driver_feature, '
                           '"column", method_used FROM top', *RECORDS)
+    q["forest_scores"] = dq("SELECT row_id, round(score, 4) + 0.0 AS score FROM scores", *forest_of("dq", NUM))
+    q["forest_records"] = dq(RECORD_OUT.format("forest"), *FOREST)
+    q["forest_scores_lineitem"] = with_("li AS (SELECT row_number() OVER () - 1 AS row_id, * FROM lineitem)", *forest_of("li", LINEITEM_NUM),
+                                        body="SELECT row_id, round(score, 4) + 0.0 AS score FROM scores")
+    q["anomalies_all"] = dq(RECORD_OUT.format("records"), *THREE)
+    q["composite_all"] = dq("SELECT row_id, round(composite_score, 4) + 0.0 AS composite_score, methods FROM composite", *THREE)
+    q["anomaly_panel_all"] = dq("SELECT * FROM panel", *THREE)
+    q["anomaly_table_all"] = dq(out + ' ORDER BY score DESC, row_id, "column", method LIMIT 500', *THREE)
+    q["labelled_rows_all"] = q["labelled_rows"].replace(",\n".join(RECORDS), ",\n".join(THREE))
     # plain profile
     q["basic_profile"] = dq("""SELECT m."column", missing_count AS missing_values, (SELECT count(*) FROM dq) AS rows,
       n_cols AS columns, exact_count AS duplicate_rows FROM missing m, totals, dupes""",
@@ -708,5 +777,8 @@ def oracle_sql() -> dict[str, str]:
     q["anomaly_bullets"] = dq(ANOMALY_LINES, *RECORDS)
     q["types_line"] = dq(TYPE_LINE, DQ_SHAPES, KINDS)
     q["at_a_glance"] = dq(GLANCE, *QUALITY, *FINDING_CTES, FINDINGS, *RECORDS)
+    q["anomaly_bullets_all"] = dq(METHOD_LINES, *THREE)
+    q["at_a_glance_all"] = dq(GLANCE, *QUALITY, *FINDING_CTES, FINDINGS, *THREE)
+    q["report_text_all"] = dq(REPORT.replace(ANOMALY_LINES, METHOD_LINES), *QUALITY, *FINDING_CTES, FINDINGS, *THREE)
     q["report_text"] = dq(REPORT, *QUALITY, *FINDING_CTES, FINDINGS, *RECORDS)
     return q

@@ -1,13 +1,16 @@
 """Isolation forest (Liu, Ting and Zhou 2008) over the numeric columns of a table.
 
-Each tree's sample is the rows with the smallest hash of (row id, tree, seed), so a forest
-depends on the rows and not on their partitioning. Trees grow in parallel, one task group
-of at most 256 rows each. A forest is 100 trees of at most 511 nodes whatever the table, so
-it is broadcast; rows are scored where they are.
+All chance comes from MD5 digests: a row's draw in a tree from its row id, the split column and
+the cut of a node from (seed, tree, slot). So a forest depends on the rows and not on their
+partitioning, and plain SQL grows the same one. Trees grow in parallel, one task group of at most
+256 rows each. A forest is 100 trees of at most 511 nodes whatever the table, so it is broadcast;
+rows are scored where they are. Path lengths are whole multiples of 2**-24, so their sums are exact
+and rows that fall into the same leaves have the same score.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -28,7 +31,9 @@ SEED = 42
 MAX_MISSING = 0.20
 MIN_ROWS = 10
 HIGH_SCORE = 0.7
-HASH_RANGE = 2.0 ** 64
+DIGITS = 13  # hexadecimal digits of a digest that make a fraction: 52 bits, exact as a double
+PRIME = 2 ** 31 - 1
+GRID = 2 ** 24
 EULER = 0.5772156649
 
 
@@ -53,49 +58,67 @@ def mean_path(m) -> float:
     return 1.0 if m == 2 else 2 * (math.log(m - 1) + EULER) - 2 * (m - 1) / m
 
 
+def fraction(text: str, at: int = 0) -> float:
+    """A number from 0 to 1, below 1, of the digest of a text."""
+    return int(hashlib.md5(text.encode()).hexdigest()[at:at + DIGITS], 16) / 16 ** DIGITS
+
+
+def _digits(digest, start, n):
+    return F.conv(F.substring(digest, start, n), 16, 10).cast("long")
+
+
+def _line(seed, tree) -> tuple[int, int]:
+    """Slope and shift of a tree's draws modulo PRIME."""
+    return 1 + int(fraction(f"{seed}:{tree}:slope") * (PRIME - 1)), int(fraction(f"{seed}:{tree}:shift") * PRIME)
+
+
 def fit(table: Table, columns, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED):
-    """(feature, threshold, path) arrays of the trees in complete-binary-tree order."""
+    """(feature, threshold, path) arrays of the trees in complete-binary-tree order.
+
+    A row's draw in a tree is a line over one number of the row's digest; the rows with the
+    least draws are the tree's sample.
+    """
     matrix = features(table, columns)
     size = min(sample, table.rows)
     depth = max(1, math.ceil(math.log2(max(size, 2))))
-    # Thin twice by hash before the rows meet the trees: a pool shared by all trees, then
-    # each tree's share of it. Both leave far more than the sample, and the smallest hashes.
+    # Thin twice before the rows meet the trees: a pool shared by all trees, then each tree's
+    # share of it. The share leaves far more than the sample, and the least draws.
     pool = trees * 4 * sample
-    unit = lambda *x: F.xxhash64(*x).cast("double") / F.lit(HASH_RANGE) + F.lit(0.5)
-    rows = matrix
-    rows = rows.where(unit("row_id", F.lit(seed)) < F.lit(pool / table.rows))
-    share = 2 * sample / min(table.rows, pool)
-    tree = F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree")
-    drawn = (rows.select("*", tree)
-             .withColumn("draw", F.xxhash64("row_id", "tree", F.lit(seed))))
-    drawn = drawn.where(F.col("draw").cast("double") / F.lit(HASH_RANGE) + F.lit(0.5) < F.lit(share))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string")).cast("binary"))
+    rows = matrix.withColumn("digest", digest)
+    if table.rows > pool:
+        rows = rows.where(_digits(F.col("digest"), 1, DIGITS) / F.lit(float(16 ** DIGITS)) < F.lit(pool / table.rows))
+    rows = rows.withColumn("number", _digits(F.col("digest"), 17, 8) % PRIME).drop("digest")
+    most = min(1.0, 4 * sample / min(table.rows, pool)) * PRIME
+    lines = [_line(seed, t) for t in range(trees)]
+    draws = F.array(*[F.struct(F.lit(t).alias("tree"), ((F.col("number") * a + b) % PRIME).alias("draw")) for t, (a, b) in enumerate(lines)])
+    drawn = rows.select("*", F.explode(draws).alias("t")).select("*", "t.tree", "t.draw").where(F.col("draw") < most)
     order = Window.partitionBy("tree").orderBy("draw", "row_id")
     samples = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= size)
     names = [f"f{i}" for i in range(len(columns))]
 
     def grow(key, pdf):
         data = pdf.sort_values("row_id")[names].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, int(key[0])])
-        feature, threshold, path = _grow(data, depth, rng)
+        feature, threshold, path = _grow(data, depth, f"{seed}:{int(key[0])}")
         return pd.DataFrame({"tree": [int(key[0])], "rows": [len(data)], "feature": [feature.tolist()],
                              "threshold": [threshold.tolist()], "path": [path.tolist()]})
 
     grown = samples.groupBy("tree").applyInPandas(
-        grow, "tree int, rows int, feature array<int>, threshold array<double>, path array<double>")
+        grow, "tree int, rows int, feature array<int>, threshold array<double>, path array<bigint>")
     forest = sorted(grown.collect(), key=lambda r: r["tree"])
     stack = lambda name, kind: np.array([r[name] for r in forest], dtype=kind)
-    return stack("feature", np.int32), stack("threshold", float), stack("path", float), [r["rows"] for r in forest]
+    return stack("feature", np.int32), stack("threshold", float), stack("path", np.int64), [r["rows"] for r in forest]
 
 
-def _grow(data, depth, rng):
-    """One tree: inner slots hold a split, bottom slots the path length that ends there.
+def _grow(data, depth, name):
+    """One tree: inner slots hold a split, bottom slots the path length that ends there, in units of 1 / GRID.
 
     A branch that ends early keeps an always-left split down to the bottom.
     """
     inner = 2 ** depth - 1
     feature = np.zeros(inner, dtype=np.int32)
     threshold = np.full(inner, np.inf)
-    path = np.zeros(2 ** depth)
+    path = np.zeros(2 ** depth, dtype=np.int64)
     todo = [(0, 0, np.arange(len(data)))]
     while todo:
         slot, level, rows = todo.pop()
@@ -103,10 +126,11 @@ def _grow(data, depth, rng):
         spread = np.flatnonzero(block.max(axis=0) > block.min(axis=0)) if len(rows) > 1 else []
         if level == depth or not len(spread):
             first = (slot + 1 << depth - level) - 1 - inner
-            path[first:first + 2 ** (depth - level)] = level + mean_path(len(rows))
+            path[first:first + 2 ** (depth - level)] = round((level + mean_path(len(rows))) * GRID)
             continue
-        f = int(rng.choice(spread))
-        cut = rng.uniform(block[:, f].min(), block[:, f].max())
+        f = int(spread[int(fraction(f"{name}:{slot}") * len(spread))])
+        low, high = block[:, f].min(), block[:, f].max()
+        cut = low + fraction(f"{name}:{slot}", DIGITS) * (high - low)
         feature[slot], threshold[slot] = f, cut
         right = block[:, f] > cut
         todo.append((2 * slot + 2, level + 1, rows[right]))
@@ -127,14 +151,14 @@ def score_rows(matrix: DataFrame, forest, width: int) -> DataFrame:
             n = len(columns[0])
             flat = np.concatenate([c.to_numpy(dtype=float) for c in columns])
             base = np.arange(n)
-            total = np.zeros(n)
+            total = np.zeros(n, dtype=np.int64)
             for t in range(len(feature)):
                 at = np.zeros(n, dtype=np.int64)
                 for _ in range(depth):
                     x = flat.take(feature[t].take(at) * n + base)
                     at = 2 * at + 1 + (x > threshold[t].take(at))
                 total += path[t].take(at - (2 ** depth - 1))
-            yield pd.Series(np.exp2(-total / scale))
+            yield pd.Series(np.exp2(-total / GRID / scale))
 
     return matrix.withColumn("score", score(*[F.col(f"f{i}") for i in range(width)]))
 

@@ -64,7 +64,7 @@ def test_scores_agree_with_walking_the_trees(spark, scored):
             while slot < len(feature[k]):
                 slot = 2 * slot + 1 + (x[feature[k][slot]] > threshold[k][slot])
             total += path[k][slot - len(feature[k])]
-        want = 2 ** (-total / len(feature) / forest.mean_path(size[0]))
+        want = 2 ** (-total / forest.GRID / len(feature) / forest.mean_path(size[0]))
         assert scored[1][r["row_id"]] == pytest.approx(want, rel=1e-12)
 
 
