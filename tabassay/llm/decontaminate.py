@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .tables import load, stage, texts
+from .tables import fresh_name, load, stage, texts
 
 WINDOW = 10
 NEAR = 20
@@ -287,9 +287,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, near:
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents that hold no window of a test item, with their columns; rows without id too."""
-    found = decontaminate(docs, items, window, near=0).where("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold no window of a test item, with their columns. Each row is judged by its own text:
+    rows that repeat an id, or have none, stand or fall alone."""
+    row = fresh_name(docs, "row")
+    keyed = stage(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    found = decontaminate(keyed.select(F.col(row).alias("doc_id"), "text"), items, window, near=0).where("contaminated")
+    return keyed.join(found.select(F.col("doc_id").alias(row)), row, "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir):

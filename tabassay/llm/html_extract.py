@@ -4,7 +4,8 @@ Pages of one host are merged into a tree of style nodes (element paths of tag an
 their text, menus and footers too. The importance of a node's own text mixes the entropy of its
 presentation (child sequences over the host's pages) with that of its contents: text found on many
 pages spreads its probability and counts little, text of one page counts fully. First, text of low
-importance is removed from each page. A branch falls when all text below it is low; a node above that
+importance is removed from each page: the importances of a host's nodes are sorted, and those below
+their largest gap are low, if that gap is wide enough for the number of pages. A branch falls when all text below it is low; a node above that
 also holds important text does not take that with it.
 
 Second, fixed rules remove what an element or class already calls menu, header, footer, sidebar,
@@ -14,8 +15,9 @@ has the importance MIN_OUTSIDE in its host's tree.
 
 Pages with equal contents count once in a host's tree. Null and empty pages, and pages without main
 text, give ''. Pages of any size are read whole. A null url is a host of its own. Repeated rows stay
-(one result each). Empty tables give empty results; extra columns are not read. On hosts of fewer
-than MIN_PAGES different pages only elements and classes decide.
+(one result each). Empty tables give empty results; extra columns are not read. Where a
+host has no such gap, only elements and classes decide. A class, id or form around all of a page's text rules out
+nothing. Of equal gaps the lowest counts.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
 from .tables import load, stage_texts
 
-MIN_PAGES = 5        # different pages of a host before its tree decides
-MIN_IMPORTANCE = 0.2
+MIN_GAP = 0.02       # least gap in a host's importances that parts low nodes from others
+GAP_PAGES = 0.3      # or this divided by the host's pages, whose entropies are then rough
+MAIN_GAP = 0.05      # least gap for text inside article and main elements to be low
 MIN_OUTSIDE = 0.8    # of text beside article and main elements: nearly every page has its own
 LOW_NODES = 100_000  # nodes the tree decides on that may be broadcast: a few MB
 PRESENTATION = 0.1   # share of presentation in the importance of a node with text
@@ -58,6 +61,8 @@ BOILERPLATE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
 HEADER_WORDS = {"header", "topbar", "top"}
 CONTENT_WORDS = {"content", "article", "main", "post", "entry", "body", "story", "text"}
 MAIN = {"article", "main"}
+WHOLE = {"html", "body"}  # their classes name a layout, not a part
+PROSE = {"p", "h1", "h2", "blockquote", "pre"}
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?][^>]*>)""", re.S)
 _LABEL = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -86,9 +91,9 @@ class Page:
     sequences of its style nodes."""
 
     def __init__(self, source: str):
-        self.texts, self.paths, self.out, self.main = [], [], [], []
+        self.texts, self.paths, self.out, self.main, self.inner, self.hard = [], [], [], [], [], []
         self.children: dict = {}
-        self._stack = []  # (tag, path, ruled out, in main)
+        self._stack = []  # (tag, path, ruled out, in main, ruled out inside the main element, by an element other than form)
         self._text = []
         self._at = 0
         at, pos = 0, source.find("<")
@@ -120,11 +125,11 @@ class Page:
             text = " ".join(entities.unescape("".join(self._text)).split())
             self._text.clear()
             if text:
-                _, path, out, main = self._stack[-1] if self._stack else ("", ("",), False, False)
+                _, path, *flags = self._stack[-1] if self._stack else ("", ("",), False, False, False, False)
                 self.texts.append(text)
                 self.paths.append(path)
-                self.out.append(out)
-                self.main.append(main)
+                for kept, flag in zip((self.out, self.main, self.inner, self.hard), flags):
+                    kept.append(flag)
 
     def _open(self, tag, attributes):
         if tag == "br":
@@ -142,17 +147,21 @@ class Page:
         labels = [a or b or c for _, a, b, c in _LABEL.findall(attributes)] if attributes else []
         if tag not in BLOCK and tag not in SKIPPED and tag not in RAW and not labels:
             return
-        _, path, out, main = self._stack[-1] if self._stack else ("", (), False, False)
-        main = main or tag in MAIN or "main" in labels
-        out = out or tag in SKIPPED or tag == "header" and not main or (bool(labels) and _named_boilerplate(labels, main))
+        _, path, out, main, inner, hard = self._stack[-1] if self._stack else ("", (), False, False, False, False)
+        begins = tag in MAIN or "main" in labels
+        main = main or begins
+        ruled = tag in SKIPPED or tag == "header" and not main or (
+            bool(labels) and tag not in WHOLE and _named_boilerplate(labels, main))
+        out, inner = out or ruled, not begins and (inner or ruled) or begins and ruled
+        hard = hard or tag in SKIPPED and tag != "form"
         if out and not (self._stack and self._stack[-1][2]) and tag not in BLOCK:
             self._flush()
         if tag in BLOCK or out:
-            name = tag + "".join(f".{_DIGITS.sub('#', x)}" for x in labels[:2])
+            name = tag + "".join(f".{_DIGITS.sub('#', x)}" for x in labels)
             if path:
                 self.children.setdefault(path, []).append(name)
             path = (*path, name)
-        self._stack.append((tag, path, out, main))
+        self._stack.append((tag, path, out, main, inner, hard))
 
     def _end_paragraph(self):
         if self._stack and self._stack[-1][0] == "p":
@@ -177,13 +186,19 @@ class Page:
                 return
 
     def blocks(self):
-        """(text, path, not ruled out, beside the page's article or main elements) of every block in page order."""
-        inside = any(m and not o for m, o in zip(self.main, self.out))
-        return [(t, p, not o, inside and not m) for t, p, o, m in zip(self.texts, self.paths, self.out, self.main)]
+        """(text, path, not ruled out, beside the page's article or main elements, kept inside them) of every block in page order."""
+        out = self.out
+        if self.texts and all(out):  # a class, id or form around everything: rules inside the main element, else elements, decide
+            out = [i or h or not m for i, h, m in zip(self.inner, self.hard, self.main)]
+            if all(out):
+                running = [not h and any(e.split(".")[0] in PROSE for e in p) for h, p in zip(self.hard, self.paths)]
+                out = [not r for r in running] if sum(running) > 1 else self.out
+        inside = any(m and not o for m, o in zip(self.main, out))
+        return [(t, p, not o, inside and not m, m and not o) for t, p, o, m in zip(self.texts, self.paths, out, self.main)]
 
 
 _PARSED = ("row long, page_id long, url string, host string, page_hash long, kept_texts array<string>, kept_paths array<int>, "
-           "beside array<boolean>, paths array<long>, blocks array<struct<hash:long,path:int,beside:boolean>>, "
+           "beside array<boolean>, paths array<long>, blocks array<struct<hash:long,path:int,beside:boolean,main:boolean>>, "
            "styles array<struct<node:long,style:long>>")
 
 
@@ -201,13 +216,13 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                 page = Page(source or "")
                 found = page.blocks()
                 place = {p: i for i, p in enumerate(dict.fromkeys(p for _, p, *_ in found))}
-                kept = [(t, place[p], beside) for t, p, k, beside in found if k]
+                kept = [(t, place[p], beside) for t, p, k, beside, _ in found if k]
                 styles = [{"node": _hash("/".join(p)), "style": _hash(" ".join(dict.fromkeys(c)))} for p, c in page.children.items() if p in place]
                 out.append((_hash("\n".join(t for t, _, beside in kept if not beside)), [t for t, *_ in kept], [p for _, p, _ in kept],
                             [beside for *_, beside in kept], [_hash("/".join(p)) for p in place],
-                            [{"hash": _hash(t), "path": place[p], "beside": k and beside} for t, p, k, beside in found], styles))
+                            [{"hash": _hash(t), "path": place[p], "beside": k and beside, "main": main} for t, p, k, beside, main in found], styles))
             kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64()),
-                     pa.list_(pa.struct([("hash", pa.int64()), ("path", pa.int32()), ("beside", pa.bool_())])),
+                     pa.list_(pa.struct([("hash", pa.int64()), ("path", pa.int32()), ("beside", pa.bool_()), ("main", pa.bool_())])),
                      pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64())]))]
             names = ["page_hash", "kept_texts", "kept_paths", "beside", "paths", "blocks", "styles"]
             yield pa.RecordBatch.from_arrays([*block.columns[:4], *(pa.array(list(c), k) for c, k in zip(zip(*out), kinds))],
@@ -217,15 +232,15 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """(host, node, pages, importance, beside) of every style node with text of its own; beside: on
-    some page that text lies beside article or main elements."""
+    """(host, node, pages, importance, beside, main) of every style node with text of its own; beside: on
+    some page that text lies beside article or main elements; main: on some page inside."""
     # pages with equal contents have one page_hash and count once
     leaf = (parsed.select("host", "page_hash", "paths", F.explode("blocks").alias("x"))
-            .select("host", "page_hash", "x.hash", F.col("paths")[F.col("x.path")].alias("node"), "x.beside")
-            .groupBy("host", "page_hash", "hash", "node").agg(F.max("beside").alias("beside")))
-    spread = leaf.groupBy("host", "node", "hash").agg(F.count("*").alias("c"), F.max("beside").alias("beside"))
+            .select("host", "page_hash", "x.hash", F.col("paths")[F.col("x.path")].alias("node"), "x.beside", "x.main")
+            .groupBy("host", "page_hash", "hash", "node").agg(F.max("beside").alias("beside"), F.max("main").alias("main")))
+    spread = leaf.groupBy("host", "node", "hash").agg(F.count("*").alias("c"), F.max("beside").alias("beside"), F.max("main").alias("main"))
     contents = spread.groupBy("host", "node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"),
-                                                  F.max("beside").alias("beside"))
+                                                  F.max("beside").alias("beside"), F.max("main").alias("main"))
     pages = leaf.select("host", "page_hash", "node").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
     style = (parsed.select("host", "page_hash", F.explode("styles").alias("s")).select("host", "page_hash", "s.node", "s.style").distinct()
              .groupBy("host", "node", "style").agg(F.count("*").alias("c"))
@@ -234,15 +249,26 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     many = F.log(F.greatest("pages", F.lit(2)))
     content = 1 - F.col("clogc") / F.col("n") / many
     shown = F.coalesce((F.log("s_n") - F.col("s_clogc") / F.col("s_n")) / F.log(F.greatest("s_n", F.lit(2))), F.lit(0.0))
-    return node.select("host", "node", "pages", ((1 - PRESENTATION) * content + PRESENTATION * shown).alias("importance"), "beside")
+    return node.select("host", "node", "pages", ((1 - PRESENTATION) * content + PRESENTATION * shown).alias("importance"), "beside", "main")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, **columns) -> DataFrame:
+def low_nodes(tree: DataFrame) -> DataFrame:
+    """The tree with ``is_low``: the node lies below its host's largest gap, if that is wide enough."""
+    host = Window.partitionBy("host").orderBy("importance", "node")
+    gaps = tree.withColumn("gap", F.lead("importance").over(host) - F.col("importance"))
+    cut = gaps.groupBy("host").agg(F.max("gap").alias("gap"), F.max_by("importance", F.struct("gap", -F.col("importance"))).alias("below"),
+                                   F.max("pages").alias("most"))
+    wide = F.col("gap") >= F.greatest(F.lit(MIN_GAP), F.lit(GAP_PAGES) / F.col("most"))
+    cut = cut.where(wide & (F.col("most") > 1))
+    low = F.col("below").isNotNull() & (F.col("importance") <= F.col("below")) & (~F.col("main") | (F.col("gap") >= MAIN_GAP))
+    return tree.join(cut.select("host", "gap", "below"), "host", "left").withColumn("is_low", F.coalesce(low, F.lit(False))).drop("gap", "below")
+
+
+def extract(pages: DataFrame, **columns) -> DataFrame:
     """(page_id, url, text) of every page."""
     parsed = stage_texts(parse(pages, **columns).withColumn("host", F.coalesce("host", F.lit(""))), "html-blocks")
-    ruled = (F.col("importance") < min_importance) | F.col("beside") & (F.col("importance") >= MIN_OUTSIDE)
-    nodes = style_tree(parsed).where((F.col("pages") >= min_pages) & ruled)
-    nodes = stage_texts(nodes.select("host", "node", (F.col("importance") < min_importance).alias("is_low")), "html-nodes")
+    own = F.col("beside") & (F.col("importance") >= MIN_OUTSIDE)
+    nodes = stage_texts(low_nodes(style_tree(parsed)).where(F.col("is_low") | own).select("host", "node", "is_low"), "html-nodes")
     sets = [F.collect_set(F.when(is_low, F.col("x"))).alias(n) for n, is_low in (("low", F.col("is_low")), ("own", ~F.col("is_low")))]
     if nodes.limit(LOW_NODES + 1).count() <= LOW_NODES:
         marked = parsed.join(F.broadcast(nodes.withColumnRenamed("node", "x").groupBy("host").agg(*sets)), "host", "left")

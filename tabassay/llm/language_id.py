@@ -13,13 +13,14 @@ all are ``und``. Empty tables give empty results; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -27,9 +28,8 @@ from .tables import hash_fold, load, texts
 
 BUCKETS = 2048
 MAX_DOCS = 4_000       # labelled documents fitted on, all languages together
-MAX_LANGUAGES = 200    # the most frequent ones
 
-# fixed values: families of common languages; another language is a family of its own
+# fixed values: families of common languages; others are put into families by likeness of their texts
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
     "romance": ("ca", "es", "fr", "gl", "it", "pt", "ro"),
@@ -152,12 +152,28 @@ def labelled(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(lang, text) of about ``max_docs`` documents whose id's crc32 is not 2 modulo 4."""
     rows = texts(docs, F.col("lang").cast("string").alias("lang")).where(
         "doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(hash_fold(F.col("doc_id"), 4) != 2)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    each = max(max_docs // max(len(counts), 1), 1)
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 20, -(-each * (1 << 20) // r["n"])))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("lang", "text")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    each = F.greatest(F.floor(F.lit(max_docs) / F.count("*").over(Window.partitionBy(F.lit(0)))), F.lit(1))  # one row per language
+    share = counts.select("lang", F.least(F.lit(1 << 20), F.ceil(each * (1 << 20) / F.col("n"))).alias("share"))
+    return rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
+
+
+def families_of(x: np.ndarray, lang: np.ndarray) -> dict:
+    """Family of each language: the known one, else one of about the square root of the number of
+    the others, so the machines grow with n to the power 1.5 and not with its square. Seeds are
+    chosen farthest from each other by mean vectors; each language joins the seed it is most like."""
+    others = sorted(set(lang) - set(FAMILY))
+    found = {v: FAMILY[v] for v in set(lang) & set(FAMILY)}
+    if others:
+        mean = np.array([x[lang == v].mean(0) for v in others])
+        mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+        seeds, near = [0], mean @ mean[0]
+        while len(seeds) < math.isqrt(len(others) - 1) + 1:
+            seeds.append(int(near.argmin()))
+            near = np.maximum(near, mean @ mean[seeds[-1]])
+        best = (mean @ mean[seeds].T).argmax(1)
+        found |= {v: f"like {others[seeds[k]]}" for v, k in zip(others, best)}
+    return found
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
@@ -174,7 +190,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     order = np.argsort(np.array([a + b.hex()[:64] for a, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist())]))
     lang = np.array(got.column(0).to_pylist(), dtype=object)[order]
     x = np.frombuffer(b"".join(got.column(1).to_pylist()), np.float32).reshape(-1, BUCKETS)[order]
-    family = np.array([FAMILY.get(v, v) for v in lang], dtype=object)
+    of = families_of(x, lang)
+    family = np.array([of[v] for v in lang], dtype=object)
     names = sorted(set(family))
     inside = {f: Duels.fit(x[family == f], lang[family == f], sorted(set(lang[family == f]))) for f in names}
     return Model(Duels.fit(x, family, names), inside)

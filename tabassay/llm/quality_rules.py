@@ -5,6 +5,10 @@ distinct text within a host, so copies of one document do not make its lines fre
 found in more documents than the host's limit are boilerplate; a document that loses most of its
 words with them is rejected.
 
+Documents are counted by distinct text for the limit, which is a share of the host's distinct texts,
+so lines weigh the same at any size; only in hosts of fewer than MIN_LINE_DOCS / MAX_LINE_SHARE texts
+does the floor decide. The plain number of documents is returned beside it. Texts of any length are read whole; there are no ties.
+
 Null or empty text: no words, base_failed. A null host is a host of its own. Repeated ids or rows
 stay separate rows; repeated texts count once per host. Empty tables give empty results. Extra
 columns are not read.
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 from . import blocks
 from .tables import stage, texts
 
-MIN_LINE_DOCS = 20       # a line in this many distinct documents of a host, or fewer, always stays
-MAX_LINE_SHARE = 0.005   # of the host's distinct documents
+MIN_LINE_DOCS = 3        # keeps the lines of tiny hosts: a line in so many distinct texts or fewer stays
+MAX_LINE_SHARE = 0.02    # of the host's distinct texts
+HOT_BROADCAST = 100_000  # frequent lines that may be broadcast: about 4 MB
+SALTS = 64
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
 MAX_REMOVED_SHARE = 0.8  # of the words; above it the document is depleted
@@ -105,24 +111,37 @@ def document_facts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(facts: DataFrame, min_docs: int = MIN_LINE_DOCS,
                    max_share: float = MAX_LINE_SHARE) -> DataFrame:
-    """(source, hash, n_docs): lines in more distinct documents of the host than its limit."""
-    seen = facts.select("source", "text_hash").distinct().groupBy("source").agg(F.count("*").alias("docs"))
-    lines = (facts.select("source", "text_hash", F.explode("lines.hash").alias("hash")).distinct()
-             .groupBy("source", "hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs))
+    """(source, hash, n_docs, n_texts): lines in more distinct texts of the host than its limit, with
+    the documents that have them, copies included."""
+    seen = facts.select("source", "text_hash").distinct().groupBy("source").agg(F.count("*").alias("texts"))
+    lines = (facts.select("source", "text_hash", F.explode(F.array_distinct("lines.hash")).alias("hash"))
+             .groupBy("source", "hash", "text_hash").agg(F.count("*").alias("copies"))
+             .groupBy("source", "hash").agg(F.sum("copies").alias("n_docs"), F.count("*").alias("n_texts")).where(F.col("n_texts") > min_docs))
     return (lines.withColumnRenamed("source", "host").join(seen, F.col("host").eqNullSafe(F.col("source")))
-            .where(F.col("n_docs") > F.col("docs") * max_share).select(F.col("host").alias("source"), "hash", "n_docs"))
+            .where(F.col("n_texts") > F.col("texts") * max_share).select(F.col("host").alias("source"), "hash", "n_docs", "n_texts"))
+
+
+def _with_frequent(lines: DataFrame, frequent: DataFrame, how: str, row: str = "row") -> DataFrame:
+    """Join of lines (h_source, h_null, hash) with frequent ones. A host has at most its mean number of
+    lines / ``max_share`` of these, so they are broadcast if their counted number allows; else both
+    sides are dealt over SALTS parts, since one line may be in any share of the documents."""
+    hot = stage(frequent.select(F.coalesce("source", F.lit("")).alias("h_source"), F.col("source").isNull().alias("h_null"), "hash"), "quality-lines")
+    keys = ["h_source", "h_null", "hash"]
+    if hot.count() <= HOT_BROADCAST:
+        return lines.join(F.broadcast(hot), keys, how)
+    salt = F.pmod(F.xxhash64(row), F.lit(SALTS)).alias("salt")
+    every = hot.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    return lines.select("*", salt).join(every, [*keys, "salt"], how).drop("salt")
 
 
 def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE,
           min_words: int = MIN_WORDS, max_removed: float = MAX_REMOVED_SHARE) -> DataFrame:
     """Base counts, removed lines and words, and the verdict of every document."""
     facts = stage(document_facts(docs, host).withColumn("row", F.monotonically_increasing_id()), "quality-facts")
-    hot = frequent_lines(facts, min_docs, max_share).select(
-        F.coalesce("source", F.lit("")).alias("h_source"), F.col("source").isNull().alias("h_null"), "hash")
     lines = facts.select("row", F.coalesce("source", F.lit("")).alias("h_source"),
                          F.col("source").isNull().alias("h_null"), F.explode("lines").alias("line"))
-    removed = (lines.select("row", "h_source", "h_null", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-               .join(hot, ["h_source", "h_null", "hash"])
+    lines = lines.select("row", "h_source", "h_null", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
+    removed = (_with_frequent(lines, frequent_lines(facts, min_docs, max_share), "inner")
                .groupBy("row").agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("n_removed_words")))
     judged = facts.drop("lines", "text_hash").join(removed, "row", "left").fillna(0, ["n_removed_lines", "n_removed_words"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
@@ -134,7 +153,7 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_LINE_DOCS,
 def remove_lines(docs: DataFrame, frequent: DataFrame, host: str = "source") -> DataFrame:
     """(doc_id, source, text) without the frequent lines of the host; blank lines stay.
 
-    Lines carry their own row key to the join, so a line of any frequency is split over tasks.
+    A line of any frequency is joined where it lies, or split by its row key.
     """
     rows = stage(texts(docs, F.col(host).cast("string").alias("source"))
                  .withColumn("row", F.monotonically_increasing_id()), "quality-rows")
@@ -149,8 +168,7 @@ def remove_lines(docs: DataFrame, frequent: DataFrame, host: str = "source") ->
                                              ["row", "at", "line", "hash", "h_null", "h_source"])
 
     lines = rows.select("row", "text", "source").mapInArrow(split, "row long, at long, line string, hash long, h_null boolean, h_source string")
-    hot = frequent.select(F.coalesce("source", F.lit("")).alias("h_source"), F.col("source").isNull().alias("h_null"), "hash")
-    kept = (lines.join(hot, ["h_source", "h_null", "hash"], "left_anti").groupBy("row")
+    kept = (_with_frequent(lines, frequent, "left_anti").groupBy("row")
             .agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("kept")))
     return rows.join(kept, "row", "left").select(
         "doc_id", "source", F.when(F.col("text").isNotNull(), F.coalesce(F.array_join("kept.line", "\n"), F.lit(""))).alias("text"))
@@ -178,7 +196,7 @@ norm AS (SELECT r, source, text, trim(regexp_replace(regexp_replace(translate(ra
          FROM line),
 hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
 hot AS (SELECT n.source, x FROM norm n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source WHERE x <> ''
-        GROUP BY n.source, x, docs HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > docs * 0.005),
+        GROUP BY n.source, x, docs HAVING count(DISTINCT text) > 3 AND count(DISTINCT text) > docs * 0.02),
 gone AS (SELECT r, count(*) AS lines, sum(len(string_split(n.x, ' '))) AS words
          FROM norm n JOIN hot h ON n.source IS NOT DISTINCT FROM h.source AND n.x = h.x GROUP BY r),
 f AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,

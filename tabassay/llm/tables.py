@@ -31,6 +31,13 @@ def stage_texts(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def with_text_digest(column) -> F.Column:
     return F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
 
@@ -40,4 +47,4 @@ def hash_fold(column, parts: int) -> F.Column:
     return F.crc32(column.cast("string").cast("binary")) % parts
 
 
-__all__ = ["DOCUMENTS", "hash_fold", "load", "stage", "stage_texts", "texts", "with_text_digest"]
+__all__ = ["DOCUMENTS", "fresh_name", "hash_fold", "load", "stage", "stage_texts", "texts", "with_text_digest"]
