@@ -155,7 +155,8 @@ def labelled(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     each = F.greatest(F.floor(F.lit(max_docs) / F.count("*").over(Window.partitionBy(F.lit(0)))), F.lit(1))  # one row per language
     share = counts.select("lang", F.least(F.lit(1 << 20), F.ceil(each * (1 << 20) / F.col("n"))).alias("share"))
-    return rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
+    # one row per language, which the model on the driver holds as well
+    return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
 
 
 def families_of(x: np.ndarray, lang: np.ndarray) -> dict:

@@ -72,7 +72,7 @@ def test_line_limits_are_shares(spark):
     docs = load(spark, "/root/testdata/sf0.01", "documents")
     one = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert sum(r.n_removed_lines for r in one.values()) > 50
-    more = docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(
+    more = docs.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).withColumn("k", F.col("i").cast("long")).select(
         (F.col("doc_id") + 10 ** 9 * F.col("k")).alias("doc_id"), "source", F.concat("text", F.lit("\n"), F.md5(F.concat_ws("-", "doc_id", "k"))).alias("text"))
     four = quality_rules.judge(more).collect()
     same = [one[r.doc_id % 10 ** 9].kept == r.kept for r in four if one[r.doc_id % 10 ** 9].n_words >= 10]
