@@ -604,6 +604,17 @@ def oracle_sql() -> dict[str, str]:
     q["profile_dataset"] = dq("""SELECT position, "column", col_type, CASE WHEN "column" = 'event_date'
       THEN (SELECT count(*) FROM dq WHERE TRY_CAST(event_date AS TIMESTAMP) IS NOT NULL) ELSE n END AS count,
       rows - n AS null_count FROM kinds""", DQ_SHAPES, KINDS)
+    def stats(col_type, body):
+        return f"""SELECT "column", '{col_type}' AS col_type, key, round(TRY_CAST(value AS DOUBLE), 4) + 0.0 AS number,
+          CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN value END AS text FROM (UNPIVOT (SELECT "column",
+            COLUMNS(* EXCLUDE ("column"))::VARCHAR FROM ({body})) ON COLUMNS(* EXCLUDE ("column")) INTO NAME key VALUE value)"""
+    words = """SELECT s."column", s.n AS count, s.rows - s.n AS null_count, s.uniq AS unique_count, r.value AS mode
+      FROM kinds s LEFT JOIN ranked r ON r."column" = s."column" AND r.rank = 1 WHERE s.col_type = 'categorical'"""
+    pieces = [number_profile("dq", NUM), DQ_SHAPES, KINDS, counts_of("dq", CAT), RANKED, stamps_of("dq", "event_date", True)]
+    every_stat = [stats("numeric", PROFILE_OUT), stats("categorical", words), stats("datetime", datetime_profile("dq", "event_date")),
+                  stats("text", text_profile("dq", ["notes"])), stats("id", id_profile("dq", ["order_id"]))]
+    q["profile_dataset_all"] = dq("\nUNION ALL\n".join(every_stat), *pieces)
+    q["column_profile_all"] = dq(f"SELECT * FROM ({every_stat[0]}) WHERE \"column\" = 'skewed'", *pieces)
     # quality
     q["missing"] = dq('SELECT "column", missing_count, missing_pct FROM missing', missing_of("dq", COLUMNS))
     q["missing_embeddings"] = with_(missing_of("embeddings", ["vec_id", "embedding", "label"]),
@@ -650,6 +661,9 @@ def oracle_sql() -> dict[str, str]:
     q["findings"] = dq("SELECT * FROM findings", *FINDING_CTES, FINDINGS)
     q["findings_explained"] = dq("""SELECT ordinal, finding_type, 'No explanation available.' AS explanation,
       'Review this finding manually.' AS recommended_action FROM findings""", *FINDING_CTES, FINDINGS)
+    q["findings_explained_given"] = dq("""SELECT ordinal, finding_type,
+      CASE ordinal WHEN 0 THEN 'first' WHEN 3 THEN 'third' ELSE 'No explanation available.' END AS explanation,
+      CASE ordinal WHEN 0 THEN 'act' ELSE 'Review this finding manually.' END AS recommended_action FROM findings""", *FINDING_CTES, FINDINGS)
     q["severity_counts"] = dq("""SELECT severity, count(*) AS findings,
       list_position(['high','medium','low'], severity) AS rank FROM findings GROUP BY severity""", *FINDING_CTES, FINDINGS)
     q["finding_totals"] = dq("""SELECT (SELECT count(*) FROM findings) AS insights, count(DISTINCT c) AS affected_columns
@@ -703,6 +717,8 @@ def oracle_sql() -> dict[str, str]:
     q["basic_profile"] = dq("""SELECT m."column", missing_count AS missing_values, (SELECT count(*) FROM dq) AS rows,
       n_cols AS columns, exact_count AS duplicate_rows FROM missing m, totals, dupes""",
                             missing_of("dq", COLUMNS), TOTALS, DUPES)
+    q["basic_profile_types"] = dq("""SELECT column_name AS "column", CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE lower(CASE column_type
+      WHEN 'INTEGER' THEN 'int' ELSE column_type END) END AS dtype FROM (DESCRIBE SELECT * EXCLUDE (row_id) FROM dq)""")
     q["warnings"] = dq("""SELECT row_number() OVER (ORDER BY g, position) - 1 AS ordinal, warning FROM (
       SELECT 0 AS g, 0 AS position, 'Dataset contains ' || exact_count || ' duplicate row(s).' AS warning
         FROM dupes WHERE exact_count > 0

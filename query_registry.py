@@ -98,6 +98,22 @@ def descriptor(table):
         .alias("column_types"))
 
 
+def stat_rows(found: DataFrame) -> DataFrame:
+    """One row per column and statistic, numbers apart from texts; listed values have rows of their own."""
+    pairs = found.select("column", "col_type", F.explode("stats").alias("key", "value"))
+    number = F.col("value").try_cast("double")
+    return pairs.where("value IS NOT NULL AND key <> 'top_values'").select(
+        "column", "col_type", "key", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+
+
+def explained(table):
+    """Findings with explanations for some of them."""
+    given_texts = table.frame([(0, "first", "act"), (3, "third", None), (99, "none", "none")],
+                              "ordinal bigint, explanation string, recommended_action string")
+    return insights.explain_findings(insights.findings(table), given_texts).select(
+        "ordinal", "finding_type", "explanation", "recommended_action")
+
+
 def forest_rows(table):
     return forest.forest_scores(table).select("row_id", "score")
 
@@ -163,6 +179,8 @@ def queries() -> dict:
     add("profile_dataset", dq_orders, lambda t: profile.profile_dataset(t).select(
         "position", "column", "col_type", F.col("stats")["count"].cast("bigint").alias("count"),
         F.col("stats")["null_count"].cast("bigint").alias("null_count")))
+    add("profile_dataset_all", dq_orders, lambda t: stat_rows(profile.profile_dataset(t)))
+    add("column_profile_all", dq_orders, lambda t: stat_rows(profile.column_profile(profile.profile_dataset(t), "skewed")))
     # quality
     add("missing", dq_orders, quality.missing)
     add("missing_embeddings", embeddings, quality.missing)
@@ -199,6 +217,7 @@ def queries() -> dict:
     add("findings", dq_orders, insights.findings)
     add("findings_explained", dq_orders, lambda t: insights.explain_findings(insights.findings(t)).select(
         "ordinal", "finding_type", "explanation", "recommended_action"))
+    add("findings_explained_given", dq_orders, explained)
     add("severity_counts", dq_orders, lambda t: insights.severity_counts(insights.findings(t)))
     add("finding_totals", dq_orders, lambda t: insights.finding_totals(insights.findings(t)))
     add("corr_matrix", dq_orders, insights.correlation_matrix)
@@ -231,6 +250,7 @@ def queries() -> dict:
     add("labelled_rows_all", dq_orders, lambda t: anomalies.labelled_rows(t, anomalies.anomaly_records(t), "amount", "gauss"))
     # plain profile
     add("basic_profile", dq_orders, lambda t: basic.basic_profile(t).drop("dtype"))
+    add("basic_profile_types", dq_orders, lambda t: basic.basic_profile(t).select("column", "dtype"))
     add("warnings", dq_orders, basic.warnings)
     add("outlier_counts", dq_orders, basic.outlier_counts)
     add("missing_chart", dq_orders, basic.missing_chart)

@@ -7,13 +7,14 @@ Spark's own higher-moment aggregates do not, and give each statistic from one sc
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.table import AGGREGATES_PER_PASS, Table
+from ..sources.table import Table
 
 
 def number_moments(table: Table, columns) -> dict:
@@ -84,76 +85,72 @@ def normality(n, g1, g2):
     return math.exp(-(z_skew ** 2 + z_kurt ** 2) / 2)
 
 
-def correlations(table: Table) -> dict:
-    """{(a, b): Pearson r or None} over number columns, using the rows where both are present."""
-    return table.once("correlations", lambda: _correlations(table))
+def correlation_frame(table: Table) -> DataFrame:
+    """(a, b, r): Pearson r of every pair of number columns, by their places in the table with a < b,
+    over the rows where both are present; NULL where it does not exist. Staged, never on the driver."""
+    return table.once("correlations", lambda: table.stage(_correlations(table), "correlations"))
 
 
 def _correlations(table):
     columns = table.number_columns
     shape = number_moments(table, columns)
+    place = {c: i for i, c in enumerate(columns)}
     live = [c for c in columns if c in shape]
-    gappy = {c for c in live if table.missing_count(c)}
-    pairs = list(combinations(live, 2))
-    partial = [p for p in pairs if gappy.intersection(p)]
-    few = len(pairs) + 5 * len(partial) <= AGGREGATES_PER_PASS
-    sums = (_pair_sums if few else _pair_sums_by_block)(table, live, gappy, shape)
-    out = {}
-    for a, b in combinations(columns, 2):
-        n, sx, sy, sxx, syy, sxy = sums.get((a, b), (0,) + (0.0,) * 5)
-        out[a, b] = None
-        if n < 2:
-            continue
-        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-        # Constant on the shared rows: nothing left but rounding.
-        if vx > 1e-13 * sxx and vy > 1e-13 * syy:
-            out[a, b] = max(-1.0, min(1.0, (sxy - sx * sy / n) / math.sqrt(vx * vy)))
-    return out
+    sums = pair_sums(table, live, {c: shape[c]["mean"] for c in live})
+    n, x, y, xx, yy, xy = (F.col(k) for k in PAIR)
+    vx, vy = xx - x * x / n, yy - y * y / n
+    # Constant on the shared rows: nothing left but rounding.
+    varied = (n >= 2) & (vx > 1e-13 * xx) & (vy > 1e-13 * yy)
+    r = F.try_divide(xy - x * y / n, F.sqrt(vx) * F.sqrt(vy))
+    at = F.array(*[F.lit(place[c]) for c in live]) if live else F.array().cast("array<int>")
+    return sums.select(F.element_at(at, F.col("a") + 1).alias("a"), F.element_at(at, F.col("b") + 1).alias("b"),
+                       F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
-def _pair_sums(table, live, gappy, shape):
-    """{(a, b): n, sums of x, y, xx, yy, xy} around the column means, in one aggregate."""
-    d = {c: table.number(c) - F.lit(shape[c]["mean"]) for c in live}
-    want = {}
-    for a, b in combinations(live, 2):
-        x, y = d[a], d[b]
-        want[a, b, "xy"] = F.sum(x * y)
-        if gappy.intersection((a, b)):
-            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            want[a, b, "n"] = F.count(x)
-            want[a, b, "x"], want[a, b, "y"] = F.sum(x), F.sum(y)
-            want[a, b, "xx"], want[a, b, "yy"] = F.sum(x * x), F.sum(y * y)
-    got = table.aggregate(want) if want else {}
-    out = {}
-    for a, b in combinations(live, 2):
-        if (a, b, "n") in got:
-            out[a, b] = tuple(got[a, b, k] or 0 for k in ("n", "x", "y", "xx", "yy", "xy"))
-        else:
-            out[a, b] = (table.rows, 0.0, 0.0, shape[a]["s2"], shape[b]["s2"], got[a, b, "xy"])
-    return out
+PAIR = ("n", "x", "y", "xx", "yy", "xy")
+TILE = 64         # columns of a tile
+TILE_PAIRS = 192  # summed by one scan: at most 40 MB in a task
+
+
+def pair_sums(table: Table, live, means) -> DataFrame:
+    """(a, b, n, x, y, xx, yy, xy) of every pair of columns: rows where both are present, and their sums,
+    squares and product around the means.
+
+    The Gram matrix is cut into tiles of columns. A task multiplies its blocks of rows tile by tile and
+    emits six sums per pair, which Spark adds up; a scan serves TILE_PAIRS tiles and reads only their
+    columns, so memory in a task is bounded for any number of columns.
+    """
+    tiles = [list(range(i, min(i + TILE, len(live)))) for i in range(0, len(live), TILE)]
+    wanted = [(i, j) for i in range(len(tiles)) for j in range(i, len(tiles))]
+    parts = [_tile_sums(table, live, means, tiles, wanted[k:k + TILE_PAIRS]) for k in range(0, len(wanted), TILE_PAIRS)]
+    if not parts:
+        return table.frame([], "a int, b int, " + ", ".join(f"{k} double" for k in PAIR))
+    return reduce(lambda one, more: one.unionByName(more), parts)
 
 
-def _pair_sums_by_block(table, live, gappy, shape):
-    """The same for many columns: each task multiplies its blocks of rows as matrices, so one
-    scan serves all pairs; what leaves a task is six numbers per pair."""
-    centred = [(table.number(c) - F.lit(shape[c]["mean"])).alias(f"c{i}") for i, c in enumerate(live)]
-    width = len(live)
-    upper = np.triu_indices(width, 1)
+def _tile_sums(table, live, means, tiles, wanted):
+    used = sorted({t for pair in wanted for t in pair})
+    columns = [c for t in used for c in tiles[t]]
+    centred = [(table.number(live[i]) - F.lit(means[live[i]])).alias(f"c{i}") for i in columns]
+    start = {t: sum(len(tiles[u]) for u in used if u < t) for t in used}
 
     def multiply(batches):
-        total = np.zeros((6, width, width))
+        totals = {pair: np.zeros((6, len(tiles[pair[0]]), len(tiles[pair[1]]))) for pair in wanted}
         for batch in batches:
             x = batch.to_numpy(dtype=float)
             present = (~np.isnan(x)).astype(float)
             x = np.nan_to_num(x)
-            seen, squares = x.T @ present, (x * x).T @ present
-            total += [present.T @ present, seen, seen.T, squares, squares.T, x.T @ x]
-        picked = total[(slice(None), *upper)]
-        yield pd.DataFrame({"a": upper[0], "b": upper[1],
-                            **dict(zip(("n", "x", "y", "xx", "yy", "xy"), picked))})
-
-    names = ("n", "x", "y", "xx", "yy", "xy")
-    ddl = "a int, b int, " + ", ".join(f"{k} double" for k in names)
-    rows = (table.df.select(*centred).mapInPandas(multiply, ddl).groupBy("a", "b")
-            .agg(*[F.sum(k).alias(k) for k in names]).collect())
-    return {(live[r["a"]], live[r["b"]]): tuple(r[k] for k in names) for r in rows}
+            squares = x * x
+            cut = {t: slice(start[t], start[t] + len(tiles[t])) for t in used}
+            for (i, j), total in totals.items():
+                p, q = cut[i], cut[j]
+                total += [present[:, p].T @ present[:, q], x[:, p].T @ present[:, q], present[:, p].T @ x[:, q],
+                          squares[:, p].T @ present[:, q], present[:, p].T @ squares[:, q], x[:, p].T @ x[:, q]]
+        for (i, j), total in totals.items():
+            a, b = np.triu_indices(len(tiles[i]), 1) if i == j else [k.ravel() for k in np.indices(total.shape[1:])]
+            if len(a):
+                yield pd.DataFrame({"a": a + tiles[i][0], "b": b + tiles[j][0], **dict(zip(PAIR, total[:, a, b]))})
+
+    ddl = "a int, b int, " + ", ".join(f"{k} double" for k in PAIR)
+    return (table.df.select(*centred).mapInPandas(multiply, ddl).groupBy("a", "b")
+            .agg(*[F.sum(k).alias(k) for k in PAIR]))

@@ -1,12 +1,13 @@
 """Exact quantiles of many columns at any size.
 
-Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer,
-which does not survive a wide-domain column with billions of rows. Here edges taken from a
-random sample close each wanted order statistic in; an exact count of the values below, at
-and between the edges tells where it lies. It is then an edge itself, or inside an interval
-that is small enough to sort in one buffer, or that is closed in again. Sampling only
-decides how fast this goes: the result is exact whatever the sample, and a value repeated
-any number of times is one edge.
+One route for any table: a mergeable sketch (KLL) of every column gives edges around each wanted
+order statistic, wide enough for its rank error; an exact count of the values below, at and between
+the edges tells where the statistic lies. It is then an edge itself, or inside an interval that is
+small enough to sort in one buffer, or that is closed in again by a sketch of its own values. So three
+scans serve any number of columns up to some ten million rows, and each further factor of a hundred
+takes two more. The sketch only decides how fast this goes: the result is exact whatever it says, and a
+value repeated any number of times is one edge. A buffer holds a sketch of about 50 kB per column, or
+the values of the small intervals.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 
 from ..sources.table import ref, small_frame
 
-SAMPLE_SIZE = 50_000
-DIRECT_COLUMNS = 20
+SKETCH_SIZE = 4096
+SORT_LIMIT = 100_000  # values of an interval that are sorted in one buffer
 EVERYTHING = (None, None)
 
 
 def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float],
-                    direct_limit: int = 100_000, sample_size: int = SAMPLE_SIZE) -> dict:
+                    sort_limit: int = SORT_LIMIT, sketch_size: int = SKETCH_SIZE) -> dict:
     """{column: [quantile per prob]} with linear interpolation; ``df`` holds DOUBLE columns.
 
     ``counts`` are the non-null counts, known from an earlier aggregate.
@@ -34,17 +35,9 @@ def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float],
     out = {c: [None] * len(probs) for c in counts}
     if not columns:
         return out
-    # Values held by one buffer of the direct way, over all columns.
-    if max(counts[c] for c in columns) * len(columns) <= DIRECT_COLUMNS * direct_limit:
-        asked = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(ref(c), asked).alias(f"q{i}")
-                       for i, c in enumerate(columns)]).first()
-        out.update({c: list(row[i]) for i, c in enumerate(columns)})
-        return out
-
     positions = {c: [(counts[c] - 1) * p for p in probs] for c in columns}
     wanted = {c: {k for at in positions[c] for k in (math.floor(at), math.ceil(at))} for c in columns}
-    values = _order_statistics(df, counts, wanted, direct_limit, sample_size)
+    values = _order_statistics(df, counts, wanted, sort_limit, sketch_size)
     for c in columns:
         for i, at in enumerate(positions[c]):
             a, b = values[c, math.floor(at)], values[c, math.ceil(at)]
@@ -52,19 +45,19 @@ def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float],
     return out
 
 
-def _order_statistics(df, counts, wanted, direct_limit, sample_size):
+def _order_statistics(df, counts, wanted, sort_limit, sketch_size):
     """{(column, rank): value} for zero-based ranks among a column's non-null values."""
     values: dict = {}
     # Open intervals still holding wanted ranks: (column, low, high) -> (ranks, before, inside).
     spans = {(c, *EVERYTHING): (sorted(ranks), 0, counts[c]) for c, ranks in wanted.items() if ranks}
     while spans:
-        small = {k: s for k, s in spans.items() if s[2] <= direct_limit}
-        large = {k: s for k, s in spans.items() if s[2] > direct_limit}
+        small = {k: s for k, s in spans.items() if s[2] <= sort_limit}
+        large = {k: s for k, s in spans.items() if s[2] > sort_limit}
         if small:
             values.update(_sort_inside(df, small))
         spans = {}
         if large:
-            found, spans = _close_in(df, large, sample_size)
+            found, spans = _close_in(df, large, sketch_size)
             values.update(found)
     return values
 
@@ -78,8 +71,8 @@ def _within(x, low, high):
     return test
 
 
-def _close_in(df, spans, sample_size):
-    edges = _sampled_edges(df, spans, sample_size)
+def _close_in(df, spans, sketch_size):
+    edges = _sketched_edges(df, spans, sketch_size)
     placed = _count_places(df, edges)
     values, rest = {}, {}
     for (c, low, high), (ranks, _, _) in spans.items():
@@ -98,37 +91,29 @@ def _close_in(df, spans, sample_size):
     return values, rest
 
 
-def _sampled_edges(df, spans, sample_size):
+def _sketched_edges(df, spans, sketch_size):
     """{column: ascending distinct edges} around the wanted ranks, old interval ends included."""
     keys = list(spans)
-    most = max(inside for _, _, inside in spans.values())
-    aggs = []
-    for i, key in enumerate(keys):
-        ranks, before, inside = spans[key]
-        # Six standard errors of a sample quantile on either side of the rank.
-        slack = 6 * math.sqrt(0.25 / max(sample_size * inside / most, 1.0))
-        cuts = []
+    slack = 3 * 2.296 / sketch_size ** 0.9021  # three times the sketch's stated rank error
+    sketches, cuts = [], []
+    for i, (c, low, high) in enumerate(keys):
+        ranks, before, inside = spans[c, low, high]
+        pairs: list = []
         for r in ranks:
             middle = (r - before + 0.5) / inside
-            if cuts and middle - slack - cuts[-1][0] < slack / 50:  # next rank of the same pair
-                cuts[-1] = (cuts[-1][0], middle + slack)
+            if pairs and middle - slack - pairs[-1][0] < slack / 50:  # next rank of the same pair
+                pairs[-1] = (pairs[-1][0], middle + slack)
             else:
-                cuts.append((middle - slack, middle + slack))
-        cuts = sorted({min(max(p, 0.0), 1.0) for pair in cuts for p in pair})
-        c, low, high = key
+                pairs.append((middle - slack, middle + slack))
+        cuts.append(sorted({min(max(p, 0.0), 1.0) for pair in pairs for p in pair}))
         inner = F.when(_within(ref(c), low, high), ref(c))
-        aggs.append(F.percentile(inner, F.array(*[F.lit(p) for p in cuts])).alias(f"e{i}"))
-    rate = min(1.0, sample_size / most)
-    drawn = df.where(F.rand(17) < F.lit(rate)).agg(*aggs).first()
+        sketches.append(F.kll_sketch_agg_double(inner, F.lit(sketch_size)).alias(f"s{i}"))
+    found = df.agg(*sketches).select(*[
+        F.kll_sketch_get_quantile_double(f"s{i}", F.array(*map(F.lit, cut))).alias(f"e{i}")
+        for i, cut in enumerate(cuts)]).first()
     edges: dict = {}
     for i, (c, low, high) in enumerate(keys):
-        marks = edges.setdefault(c, set())
-        marks.update(e for e in (low, high) if e is not None)
-        if drawn[i] is None:  # nothing sampled from a thin interval: take its ends
-            inner = df.where(_within(ref(c), low, high)).agg(F.min(ref(c)), F.max(ref(c))).first()
-            marks.update(inner)
-        else:
-            marks.update(drawn[i])
+        edges.setdefault(c, set()).update([*found[i], *(e for e in (low, high) if e is not None)])
     return {c: sorted(marks) for c, marks in edges.items()}
 
 

@@ -70,11 +70,11 @@ def few_distinct(table: Table, columns, bound: int) -> dict[str, int]:
 def few_candidates(table: Table, columns, bound: int) -> list[str]:
     """Columns that may have at most ``bound`` values.
 
-    On large tables a sketch drops columns that cannot: with d distinct values at most d
-    registers of the sketch are set, so its estimate stays near d for small d.
+    A sketch drops columns that cannot: with d distinct values at most d registers of the
+    sketch are set, so its estimate stays near d for small d.
     """
     columns = list(columns)
-    if columns and table.rows > table.direct_limit:
+    if columns:
         seen = table.aggregate({c: F.approx_count_distinct(ref(c)) for c in columns})
         columns = [c for c in columns if seen[c] <= 2 * bound + 20]
     return columns

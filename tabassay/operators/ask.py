@@ -8,10 +8,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.histogram import histograms
+from ..functions.ordered import first_passing
 from ..functions.values import value_counts
 from ..functions.wording import SCHEMA
 from ..sources.table import Table, ref
@@ -20,7 +21,6 @@ from .types import column_types, of_type
 
 SAMPLES = 5
 PREVIEW_ROWS = 50
-HEAD_SHARE = 0.001
 
 
 # -- schema context -------------------------------------------------------------------
@@ -28,30 +28,18 @@ HEAD_SHARE = 0.001
 def first_values(table: Table, k: int = SAMPLES) -> DataFrame:
     """(column, rank, value): the first non-null values of each column in row order.
 
-    On large tables the head of the row order is searched first; only columns too sparse
-    there go through the whole table.
+    Their row ids come first, from null marks alone; then just those rows are read, k per column.
     """
     columns = [c for c in table.columns if table.count(c) and not table.is_nested(c)]
     if not columns:
         return table.frame([], "column string, rank bigint, value string")
-    if table.rows <= table.direct_limit:
-        return _first_values(table, table.df, columns, k)
     at = ref(table.row_id)
-    edge = table.df.agg(F.percentile_approx(at, HEAD_SHARE, 10_000)).first()[0]
-    head = table.df.where(at <= F.lit(edge))
-    present = table.aggregate({c: F.count(ref(c)) for c in columns}, head)
-    dense = [c for c in columns if present[c] >= min(k, table.count(c))]
-    sparse = [c for c in columns if c not in dense]
-    parts = [_first_values(table, df, cs, k) for df, cs in ((head, dense), (table.df, sparse)) if cs]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _first_values(table, df, columns, k):
-    cells = df.select(ref(table.row_id).alias("at"), *[_shown(table, c).alias(c) for c in columns])
+    found = first_passing(table.df, at, {c: ref(c).isNotNull() for c in columns}, k).collect()
+    rows = table.df.where(at.isin(sorted({r["at"] for r in found})))
+    cells = rows.select(at.alias("at"), *[_shown(table, c).alias(c) for c in columns])
     pairs = cells.unpivot(["at"], [ref(c) for c in columns], "column", "value")
-    order = Window.partitionBy("column").orderBy("at")
-    return (pairs.where("value IS NOT NULL").withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= k).select("column", "rank", "value"))
+    wanted = table.frame([(r["column"], r["at"], r["rank"]) for r in found], "column string, at bigint, rank int")
+    return pairs.join(F.broadcast(wanted), ["column", "at"]).select("column", "rank", "value")
 
 
 def _shown(table, c):

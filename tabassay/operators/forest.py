@@ -191,7 +191,7 @@ def forest_records(table: Table, contamination: float = 0.05) -> DataFrame:
         return table.frame([], ddl)
     columns = forest_columns(table)
     cut = exact_quantiles(scored.select("score"), {"score": table.rows}, [1 - contamination],
-                          table.direct_limit)["score"][0]
+                          table.sort_limit)["score"][0]
     flagged = F.col("score") > F.lit(cut)
     aggs = [F.min("score").alias("low"), F.max("score").alias("high"),
             F.count_if(flagged).alias("n")]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.histogram import histograms
-from ..functions.moments import correlations, number_moments
+from ..functions.moments import correlation_frame, number_moments
 from ..functions.ordered import gap_moments
 from ..functions.text import rounded, share
 from ..functions.wording import FINDING
@@ -48,10 +48,12 @@ def skew_findings(table: Table) -> list:
 
 
 def correlation_findings(table: Table) -> list:
-    return [_finding([a, b], "high_correlation", FINDING["correlation"].format(x=r), abs(r) > 0.95,
-                     column_a=a, column_b=b, pearson_r=rounded(r, 2),
+    names = table.number_columns
+    strong = correlation_frame(table).where(F.abs("r") > 0.85).orderBy("a", "b").collect()
+    return [_finding([names[a], names[b]], "high_correlation", FINDING["correlation"].format(x=r), abs(r) > 0.95,
+                     column_a=names[a], column_b=names[b], pearson_r=rounded(r, 2),
                      direction="positive" if r > 0 else "negative")
-            for (a, b), r in correlations(table).items() if r is not None and abs(r) > 0.85]
+            for a, b, r in strong]
 
 
 def outlier_findings(table: Table) -> list:
@@ -196,19 +198,19 @@ def explain_findings(found: DataFrame, explanations: DataFrame | None = None) ->
 
 def correlation_matrix(table: Table) -> DataFrame:
     """(column_a, column_b, r) over all ordered pairs, two decimals; empty below two columns."""
-    columns = table.number_columns
-    known = correlations(table)
-    facts = table.facts()
-    rows = []
-    for a in columns if len(columns) > 1 else []:
-        for b in columns:
-            if a == b:
-                spread = table.count(a) > 1 and facts["min", a] != facts["max", a]
-                rows.append((a, b, 1.0 if spread else None))
-            else:
-                r = known.get((a, b), known.get((b, a)))
-                rows.append((a, b, rounded(r, 2)))
-    return table.frame(rows, "column_a string, column_b string, r double")
+    columns, facts = table.number_columns, table.facts()
+    if len(columns) < 2:
+        return table.frame([], "column_a string, column_b string, r double")
+    spread = [table.count(c) > 1 and facts["min", c] != facts["max", c] for c in columns]
+    own = table.frame([(i, i, 1.0 if varied else None) for i, varied in enumerate(spread)], "a int, b int, r double")
+    known = correlation_frame(table)
+    empty = [i for i, c in enumerate(columns) if not table.count(c)]  # columns without values have no sums
+    none = table.frame([(min(i, j), max(i, j), None) for i in empty for j in range(len(columns)) if i != j and (j not in empty or i < j)],
+                       "a int, b int, r double")
+    half = known.unionByName(none)
+    name = lambda at: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(at) + 1)
+    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")).unionByName(own)
+    return both.orderBy("a", "b").select(name("a").alias("column_a"), name("b").alias("column_b"), F.round("r", 2).alias("r"))
 
 
 def flagged_columns(table: Table) -> list[str]:

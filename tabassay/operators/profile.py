@@ -23,7 +23,7 @@ def quartiles(table: Table, columns) -> dict[str, list]:
     if todo:
         narrow = table.df.select(*[table.number(c).alias(c) for c in todo])
         known.update(exact_quantiles(narrow, {c: table.count(c) for c in todo},
-                                     [0.25, 0.5, 0.75], table.direct_limit))
+                                     [0.25, 0.5, 0.75], table.sort_limit))
     return {c: known[c] for c in columns}
 
 

@@ -47,7 +47,7 @@ def _missing_facts(table):
     runs = {}
     if gappy:
         tests = {c: F.isnull(ref(c)) for c in gappy}
-        found = longest_null_runs(table.df, ref(table.row_id), tests)
+        found = longest_null_runs(table.df, ref(table.row_id), tests, table.stage)
         runs = {r["column"]: r["longest_run"] for r in found.collect()}
     out = {}
     for c in table.columns:

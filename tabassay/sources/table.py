@@ -74,11 +74,12 @@ def delete(spark: SparkSession, path: str) -> None:
 class Table:
     def __init__(self, df: DataFrame, name: str = "table", row_id: str | None = None,
                  datetime_formats: dict[str, str] | None = None,
-                 direct_limit: int = 100_000):
+                 sort_limit: int = 100_000):
         """``row_id`` names a technical key column; it is never profiled or counted.
 
         Without one, ids are assigned once and the table is staged, because
-        recomputing generated ids could change them.
+        recomputing generated ids could change them. Quantiles sort at most ``sort_limit``
+        values of an interval in one buffer.
         """
         self._staged: list[str] = []
         if row_id is None:
@@ -90,7 +91,7 @@ class Table:
         self.row_id = row_id
         self.raw = df
         self.formats = datetime_formats or {}
-        self.direct_limit = direct_limit
+        self.sort_limit = sort_limit
         self.schema = {f.name: f.dataType for f in df.schema.fields if f.name != row_id}
         self.columns = list(self.schema)
         self.df = df.select(ref(row_id), *[self._clean(c) for c in self.columns])
@@ -107,7 +108,7 @@ class Table:
         if self.raw.rdd.getNumPartitions() >= cores:
             return self
         kept = self.raw.repartition(cores, ref(self.row_id)).persist()
-        return Table(kept, self.name, self.row_id, self.formats, self.direct_limit)
+        return Table(kept, self.name, self.row_id, self.formats, self.sort_limit)
 
     def stage(self, df: DataFrame, label: str) -> DataFrame:
         """Write an intermediate result once; ``release`` removes it."""

@@ -7,13 +7,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabassay import Table
+from tabassay import Table, read_parquet
 from tabassay.functions import moments
-from tabassay.functions.moments import correlations
 from tabassay.functions.ordered import gap_moments, longest_null_runs
 from tabassay.functions.quantiles import exact_quantiles
 from tabassay.functions.values import few_distinct
-from tabassay.operators import ask, quality
+from tabassay.operators import ask, insights, quality
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -31,15 +30,15 @@ def columns_of(n):
     }
 
 
-@pytest.mark.parametrize("limit,sample", [(10, 200), (50, 40), (400, 1000)])
-def test_quantiles_by_narrowing(spark, limit, sample):
+@pytest.mark.parametrize("limit,sketch", [(10, 200), (50, 40), (400, 1000), (100_000, 4096)])
+def test_quantiles_by_narrowing(spark, limit, sketch):
     n = 6000
     data = pd.DataFrame(columns_of(n))
     data.loc[data.index % 7 == 0, "smooth"] = np.nan
     df = spark.createDataFrame(data).select(
         *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in data.columns]).repartition(5)
     counts = {c: int(data[c].notna().sum()) for c in data.columns}
-    got = exact_quantiles(df, counts, PROBS, direct_limit=limit, sample_size=sample)
+    got = exact_quantiles(df, counts, PROBS, sort_limit=limit, sketch_size=sketch)
     for c in data.columns:
         want = data[c].dropna().quantile(PROBS).to_list()
         assert got[c] == pytest.approx(want, rel=1e-12, abs=1e-12), c
@@ -48,7 +47,7 @@ def test_quantiles_by_narrowing(spark, limit, sample):
 def test_quantiles_direct_equal_narrowed(spark):
     df = spark.range(5000).select(F.pow(F.col("id") % 977, F.lit(2.0)).alias("x"))
     direct = exact_quantiles(df, {"x": 5000}, PROBS)
-    narrowed = exact_quantiles(df, {"x": 5000}, PROBS, direct_limit=20, sample_size=100)
+    narrowed = exact_quantiles(df, {"x": 5000}, PROBS, sort_limit=20, sketch_size=100)
     assert narrowed["x"] == pytest.approx(direct["x"], rel=1e-12)
 
 
@@ -73,6 +72,27 @@ def test_longest_null_runs(spark, seed):
         assert found[f"c{c}"] == best
 
 
+def test_null_runs_move_no_rows_read_in_order(spark, tmp_path):
+    """Several files, runs across their borders: splits are summarised where they are read."""
+    rng = random.Random(7)
+    flags = [(rng.random() < 0.3, 200 <= i < 420, i >= 550, True, False) for i in range(600)]
+    for part in range(6):
+        spark.createDataFrame([tuple(None if f else 1 for f in x) for x in flags[part * 100:part * 100 + 100]], ", ".join(f"c{i} int" for i in range(5))
+                              ).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t/part={part}")
+    t = read_parquet(spark, f"{tmp_path}/t")
+    found = longest_null_runs(t.df, F.col("row_id"), {f"c{i}": F.col(f"c{i}").isNull() for i in range(5)})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "mapInPandas" not in plan.replace("MapInPandas", "mapInPandas")  # the staged pieces are read
+    got = {r["column"]: r["longest_run"] for r in found.collect()}
+    rows = sorted((r.row_id, *(r[f"c{i}"] is None for i in range(5))) for r in t.df.collect())
+    for c in range(5):
+        best = run = 0
+        for r in rows:
+            run = run + 1 if r[c + 1] else 0
+            best = max(best, run)
+        assert got[f"c{c}"] == best, c
+
+
 def test_gap_moments_with_a_hot_moment(spark):
     rng = np.random.default_rng(5)
     base = pd.Timestamp("2024-01-01")
@@ -114,7 +134,7 @@ def test_few_distinct_screen(spark):
     df = spark.range(4000).select(F.col("id").alias("row_id"), (F.col("id") % 9).alias("nine"),
                                   (F.col("id") % 10).alias("ten"), F.col("id").alias("many"))
     direct = Table(df, "t", "row_id")
-    screened = Table(df, "t", "row_id", direct_limit=100)
+    screened = Table(df, "t", "row_id", sort_limit=100)
     for t in (direct, screened):
         assert few_distinct(t, ["nine", "ten", "many"], 9) == {"nine": 9}
 
@@ -124,7 +144,7 @@ def test_first_values_sparse_column(spark):
     df = spark.range(n).select(
         F.col("id").alias("row_id"), F.col("id").alias("dense"),
         F.when(F.col("id") % 1500 == 1499, F.col("id")).alias("sparse"))
-    t = Table(df, "t", "row_id", direct_limit=100)
+    t = Table(df, "t", "row_id", sort_limit=100)
     got = {}
     for r in ask.first_values(t).collect():
         got.setdefault(r["column"], {})[r["rank"]] = r["value"]
@@ -144,8 +164,11 @@ def test_results_do_not_depend_on_partitions(spark):
     assert results[0] == results[1]
 
 
-def test_correlations_of_many_columns(spark):
-    """Wide tables multiply blocks of rows; the result equals pairwise-complete Pearson."""
+@pytest.mark.parametrize("tile, pairs", [(64, 192), (4, 3), (1, 7)])
+def test_correlations_by_tiles(spark, monkeypatch, tile, pairs):
+    """Tiles and scans of any size give pairwise-complete Pearson."""
+    monkeypatch.setattr(moments, "TILE", tile)
+    monkeypatch.setattr(moments, "TILE_PAIRS", pairs)
     rng = np.random.default_rng(11)
     n, width = 800, 20
     data = pd.DataFrame(rng.normal(size=(n, width)) @ rng.normal(size=(width, width)) + 1e6,
@@ -153,27 +176,35 @@ def test_correlations_of_many_columns(spark):
     for i in range(0, width, 3):
         data.loc[rng.random(n) < 0.3, f"v{i}"] = np.nan
     data["v1"] = 0.1  # constant
+    data["v4"] = np.nan  # no value
     data.insert(0, "row_id", range(n))
     t = Table(spark.createDataFrame(data).repartition(5), "wide", "row_id")
-    got, want = correlations(t), data.drop(columns="row_id").corr()
-    assert len(got) == width * (width - 1) // 2
+    want = data.drop(columns="row_id").corr()
+    got = {(f"v{r.a}", f"v{r.b}"): r.r for r in moments.correlation_frame(t).collect()}
+    assert len(got) == (width - 1) * (width - 2) // 2
     for (a, b), r in got.items():
         if "v1" in (a, b):
             assert r is None
         else:
             assert r == pytest.approx(want.loc[a, b], abs=1e-9)
-
-
-def test_pair_sums_agree(spark):
-    df = spark.range(500).select(
-        F.col("id").alias("row_id"), F.sin("id").alias("a"), (F.sin("id") + F.cos("id")).alias("b"),
-        F.when(F.col("id") % 3 > 0, F.cos(F.col("id") * 2)).alias("c"))
-    t = Table(df, "t", "row_id")
-    shape = moments.number_moments(t, t.columns)
-    one = moments._pair_sums(t, ["a", "b", "c"], {"c"}, shape)
-    two = moments._pair_sums_by_block(t, ["a", "b", "c"], {"c"}, shape)
-    for pair in one:
-        assert one[pair] == pytest.approx(two[pair], abs=1e-9)
+    matrix = {(r.column_a, r.column_b): r.r for r in insights.correlation_matrix(t).collect()}
+    assert len(matrix) == width * width and matrix["v0", "v0"] == 1.0
+    assert all(matrix[a, b] == matrix[b, a] for a, b in matrix)
+    assert all((r is None) == (a in ("v1", "v4") or b in ("v1", "v4")) for (a, b), r in matrix.items())
+
+
+def test_tile_sums_of_many_columns(spark, monkeypatch):
+    """More columns than a scan's tiles hold, so several scans."""
+    monkeypatch.setattr(moments, "TILE", 8)
+    width = 8 * 21
+    df = spark.range(200).select(F.col("id").alias("row_id"), *[((F.col("id") * (i % 17 + 1) + i) % 101).cast("double").alias(f"v{i}") for i in range(width)])
+    t = Table(df, "wide", "row_id")
+    live = [f"v{i}" for i in range(width)]
+    sums = moments.pair_sums(t, live, dict.fromkeys(live, 50.0))
+    x = np.array([[(k * (i % 17 + 1) + i) % 101 - 50.0 for i in range(width)] for k in range(200)])
+    some = sums.where("b = a + 70").select("a", "b", "xy", "n").collect()
+    assert len(some) == width - 70 and sums.count() == width * (width - 1) // 2
+    assert all(r.n == 200 and r.xy == pytest.approx(x[:, r.a] @ x[:, r.b]) for r in some)
 
 
 def test_spread_keeps_rows(spark):
