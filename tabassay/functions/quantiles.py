@@ -26,18 +26,18 @@ EVERYTHING = (None, None)
 
 
 def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float],
-                    sort_limit: int = SORT_LIMIT, sketch_size: int = SKETCH_SIZE) -> dict:
+                    sort_limit: int = SORT_LIMIT, sketch_size: int = SKETCH_SIZE, first_edges=None) -> dict:
     """{column: [quantile per prob]} with linear interpolation; ``df`` holds DOUBLE columns.
 
-    ``counts`` are the non-null counts, known from an earlier aggregate.
+    ``counts`` are the non-null counts, known from an earlier aggregate. ``first_edges`` evaluates
+    the first ``edge_requests`` (with other aggregates of the same scan, say).
     """
     columns = [c for c, n in counts.items() if n > 0]
     out = {c: [None] * len(probs) for c in counts}
     if not columns:
         return out
     positions = {c: [(counts[c] - 1) * p for p in probs] for c in columns}
-    wanted = {c: {k for at in positions[c] for k in (math.floor(at), math.ceil(at))} for c in columns}
-    values = _order_statistics(df, counts, wanted, sort_limit, sketch_size)
+    values = _order_statistics(df, _first_spans(counts, probs), sort_limit, sketch_size, first_edges)
     for c in columns:
         for i, at in enumerate(positions[c]):
             a, b = values[c, math.floor(at)], values[c, math.ceil(at)]
@@ -45,11 +45,22 @@ def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float],
     return out
 
 
-def _order_statistics(df, counts, wanted, sort_limit, sketch_size):
+def _first_spans(counts, probs):
+    """Open intervals holding wanted ranks: (column, low, high) -> (ranks, before, inside)."""
+    wanted = {c: {k for p in probs for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))} for c, n in counts.items() if n > 0}
+    return {(c, *EVERYTHING): (sorted(ranks), 0, counts[c]) for c, ranks in wanted.items()}
+
+
+def edge_requests(counts: dict[str, int], probs: list[float], column, sort_limit: int = SORT_LIMIT,
+                  sketch_size: int = SKETCH_SIZE) -> dict:
+    """Aggregates of the first round, for columns that need one; ``column`` gives a column's values."""
+    large = {k: s for k, s in _first_spans(counts, probs).items() if s[2] > sort_limit}
+    return _edge_requests(large, sketch_size, column)
+
+
+def _order_statistics(df, spans, sort_limit, sketch_size, first_edges):
     """{(column, rank): value} for zero-based ranks among a column's non-null values."""
     values: dict = {}
-    # Open intervals still holding wanted ranks: (column, low, high) -> (ranks, before, inside).
-    spans = {(c, *EVERYTHING): (sorted(ranks), 0, counts[c]) for c, ranks in wanted.items() if ranks}
     while spans:
         small = {k: s for k, s in spans.items() if s[2] <= sort_limit}
         large = {k: s for k, s in spans.items() if s[2] > sort_limit}
@@ -57,8 +68,9 @@ def _order_statistics(df, counts, wanted, sort_limit, sketch_size):
             values.update(_sort_inside(df, small))
         spans = {}
         if large:
-            found, spans = _close_in(df, large, sketch_size)
+            found, spans = _close_in(df, large, sketch_size, first_edges)
             values.update(found)
+        first_edges = None
     return values
 
 
@@ -71,8 +83,8 @@ def _within(x, low, high):
     return test
 
 
-def _close_in(df, spans, sketch_size):
-    edges = _sketched_edges(df, spans, sketch_size)
+def _close_in(df, spans, sketch_size, first_edges):
+    edges = _sketched_edges(df, spans, sketch_size, first_edges)
     placed = _count_places(df, edges)
     values, rest = {}, {}
     for (c, low, high), (ranks, _, _) in spans.items():
@@ -91,13 +103,11 @@ def _close_in(df, spans, sketch_size):
     return values, rest
 
 
-def _sketched_edges(df, spans, sketch_size):
-    """{column: ascending distinct edges} around the wanted ranks, old interval ends included."""
-    keys = list(spans)
+def _edge_requests(spans, sketch_size, column=ref):
+    """{key: array of values a bit below and above the wanted ranks} for each interval."""
     slack = 3 * 2.296 / sketch_size ** 0.9021  # three times the sketch's stated rank error
-    sketches, cuts = [], []
-    for i, (c, low, high) in enumerate(keys):
-        ranks, before, inside = spans[c, low, high]
+    made = {}
+    for (c, low, high), (ranks, before, inside) in spans.items():
         pairs: list = []
         for r in ranks:
             middle = (r - before + 0.5) / inside
@@ -105,15 +115,24 @@ def _sketched_edges(df, spans, sketch_size):
                 pairs[-1] = (pairs[-1][0], middle + slack)
             else:
                 pairs.append((middle - slack, middle + slack))
-        cuts.append(sorted({min(max(p, 0.0), 1.0) for pair in pairs for p in pair}))
-        inner = F.when(_within(ref(c), low, high), ref(c))
-        sketches.append(F.kll_sketch_agg_double(inner, F.lit(sketch_size)).alias(f"s{i}"))
-    found = df.agg(*sketches).select(*[
-        F.kll_sketch_get_quantile_double(f"s{i}", F.array(*map(F.lit, cut))).alias(f"e{i}")
-        for i, cut in enumerate(cuts)]).first()
+        cuts = sorted({min(max(p, 0.0), 1.0) for pair in pairs for p in pair})
+        x = column(c)
+        sketch = F.kll_sketch_agg_double(F.when(_within(x, low, high), x), F.lit(sketch_size))
+        made["edges", c, low, high, *cuts] = F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, cuts)))
+    return made
+
+
+def _sketched_edges(df, spans, sketch_size, first_edges):
+    """{column: ascending distinct edges} around the wanted ranks, old interval ends included."""
+    asked = _edge_requests(spans, sketch_size)
+    if first_edges is None:
+        row = df.agg(*[e.alias(f"e{i}") for i, e in enumerate(asked.values())]).first()
+        found = dict(zip(asked, row))
+    else:
+        found = first_edges(asked)
     edges: dict = {}
-    for i, (c, low, high) in enumerate(keys):
-        edges.setdefault(c, set()).update([*found[i], *(e for e in (low, high) if e is not None)])
+    for (_, c, low, high, *_), marks in found.items():
+        edges.setdefault(c, set()).update([*marks, *(e for e in (low, high) if e is not None)])
     return {c: sorted(marks) for c, marks in edges.items()}
 
 

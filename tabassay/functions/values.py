@@ -73,11 +73,12 @@ def few_candidates(table: Table, columns, bound: int) -> list[str]:
     A sketch drops columns that cannot: with d distinct values at most d registers of the
     sketch are set, so its estimate stays near d for small d.
     """
-    columns = list(columns)
-    if columns:
-        seen = table.aggregate({c: F.approx_count_distinct(ref(c)) for c in columns})
-        columns = [c for c in columns if seen[c] <= 2 * bound + 20]
-    return columns
+    seen = table.aggregate(few_requests(columns))
+    return [c for c in columns if seen["about", c] <= 2 * bound + 20]
+
+
+def few_requests(columns) -> dict:
+    return {("about", c): F.approx_count_distinct(ref(c)) for c in columns}
 
 
 def row_key(table: Table, columns, alias: str = "key") -> Column:

@@ -42,8 +42,8 @@ def single_valued(table: Table) -> list[str]:
         elif not table.is_string(c) or facts["min_chars", c] == facts["max_chars", c]:
             texts.append(c)
     if texts:
-        seen = table.aggregate({c: F.min(ref(c)) == F.max(ref(c)) for c in texts})
-        out.update(c for c in texts if seen[c])
+        seen = table.aggregate({("one", c): F.min(ref(c)) == F.max(ref(c)) for c in texts})
+        out.update(c for c in texts if seen["one", c])
     return [c for c in table.columns if c in out]
 
 
@@ -73,9 +73,9 @@ def outlier_counts(table: Table) -> DataFrame:
     want = {}
     for c, (q1, _, q3) in quartiles(table, columns).items():
         x, reach = table.number(c), 1.5 * (q3 - q1)
-        want[c] = F.count_if((x < F.lit(q1 - reach)) | (x > F.lit(q3 + reach)))
+        want["beyond", c] = F.count_if((x < F.lit(q1 - reach)) | (x > F.lit(q3 + reach)))
     found = table.aggregate(want) if want else {}
-    return table.frame([(c, n) for c, n in found.items() if n], "column string, outliers bigint")
+    return table.frame([(c, n) for (_, c), n in found.items() if n], "column string, outliers bigint")
 
 
 def missing_chart(table: Table) -> DataFrame:
@@ -92,9 +92,9 @@ def number_histograms(table: Table) -> DataFrame:
     columns = chart_columns(table)
     whole = {}
     if columns:
-        whole = table.aggregate({c: F.bool_and(table.number(c) == F.floor(table.number(c)))
+        whole = table.aggregate({("whole", c): F.bool_and(table.number(c) == F.floor(table.number(c)))
                                  for c in columns})
-    marks = table.frame([(c, whole[c]) for c in columns], "column string, whole_numbers boolean")
+    marks = table.frame([(c, whole["whole", c]) for c in columns], "column string, whole_numbers boolean")
     return histograms(table, columns, CHART_BINS).join(F.broadcast(marks), "column", "left")
 
 
@@ -103,8 +103,8 @@ def date_like(table: Table, columns=None) -> dict[str, bool]:
     columns = table.string_columns if columns is None else columns
     if not columns:
         return {}
-    seen = table.aggregate({c: F.count(table.stamp(c)) for c in columns})
-    return {c: seen[c] == table.count(c) for c in columns}
+    seen = table.aggregate({("stamps", c): F.count(table.stamp(c)) for c in columns})
+    return {c: seen["stamps", c] == table.count(c) for c in columns}
 
 
 def date_like_frame(table: Table) -> DataFrame:

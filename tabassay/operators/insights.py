@@ -49,7 +49,7 @@ def skew_findings(table: Table) -> list:
 
 def correlation_findings(table: Table) -> list:
     names = table.number_columns
-    strong = correlation_frame(table).where(F.abs("r") > 0.85).orderBy("a", "b").collect()
+    strong = sorted(tuple(r) for r in correlation_frame(table).where(F.abs("r") > 0.85).collect())
     return [_finding([names[a], names[b]], "high_correlation", FINDING["correlation"].format(x=r), abs(r) > 0.95,
                      column_a=names[a], column_b=names[b], pearson_r=rounded(r, 2),
                      direction="positive" if r > 0 else "negative")
@@ -59,8 +59,9 @@ def correlation_findings(table: Table) -> list:
 def outlier_findings(table: Table) -> list:
     wide = {c: p for c, p in number_profiles(table).items()
             if p["count"] >= MIN_VALUES and p["std"]}
-    far = table.aggregate({c: F.count_if(F.abs(table.number(c) - F.lit(p["mean"])) > 3 * p["std"])
-                           for c, p in wide.items()}) if wide else {}
+    got = table.aggregate({("far", c, p["mean"], p["std"]): F.count_if(F.abs(table.number(c) - F.lit(p["mean"])) > 3 * p["std"])
+                           for c, p in wide.items()})
+    far = {key[1]: n for key, n in got.items()}
     out = []
     for c, p in wide.items():
         pct = far[c] / p["count"] * 100
@@ -133,14 +134,18 @@ def ordered_pairs(table: Table) -> list[tuple[str, str]]:
     return [(a, b) for a, b in found if a and b and a != b]
 
 
-def contradiction_findings(table: Table) -> list:
-    pairs = ordered_pairs(table)
+def pair_requests(table: Table) -> dict:
     want = {}
-    for a, b in set(pairs):
+    for a, b in set(ordered_pairs(table)):
         x, y = ref(a), ref(b)
         want["over", a, b] = F.count_if(x > y)
         want["both", a, b] = F.count_if(x.isNotNull() & y.isNotNull())
-    got = table.aggregate(want) if want else {}
+    return want
+
+
+def contradiction_findings(table: Table) -> list:
+    pairs = ordered_pairs(table)
+    got = table.aggregate(pair_requests(table))
     out = []
     for a, b in pairs:
         n = got["over", a, b]
@@ -159,7 +164,10 @@ DETECTORS = [skew_findings, correlation_findings, outlier_findings,
 
 
 def finding_rows(table: Table) -> list:
-    return table.once("findings", lambda: [f for detect in DETECTORS for f in detect(table)])
+    def detect_all():
+        table.declare(table.layout_requests() | pair_requests(table))  # with the facts, in one scan
+        return [f for detect in DETECTORS for f in detect(table)]
+    return table.once("findings", detect_all)
 
 
 def finding_frame(table: Table, rows) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.moments import number_moments
-from ..functions.quantiles import exact_quantiles
-from ..functions.text import rounded
+from ..functions.quantiles import edge_requests, exact_quantiles
+from ..functions.text import rounded, share
 from ..functions.values import distinct_counts, top_values, value_counts
 from ..sources.table import Table, ref
 from .quality import duplicate_facts, missing_total
@@ -16,14 +16,23 @@ from .types import column_types, of_type, type_count_rows
 TOP_VALUES = 5
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def quartile_requests(table: Table, columns) -> dict:
+    """Aggregates that the quartiles begin with, to be declared before another scan of the numbers."""
+    return edge_requests({c: table.count(c) for c in columns}, QUARTILES, table.number, table.sort_limit)
+
+
 def quartiles(table: Table, columns) -> dict[str, list]:
     """{column: [p25, median, p75]}, exact."""
     known = table.once("quartiles", dict)
     todo = [c for c in columns if c not in known]
     if todo:
         narrow = table.df.select(*[table.number(c).alias(c) for c in todo])
-        known.update(exact_quantiles(narrow, {c: table.count(c) for c in todo},
-                                     [0.25, 0.5, 0.75], table.sort_limit))
+        requests = quartile_requests(table, todo)
+        known.update(exact_quantiles(narrow, {c: table.count(c) for c in todo}, QUARTILES, table.sort_limit,
+                                     first_edges=lambda asked: table.aggregate({k: requests[k] for k in asked})))
     return {c: known[c] for c in columns}
 
 
@@ -35,6 +44,7 @@ def number_profiles(table: Table) -> dict[str, dict]:
 def _number_profiles(table):
     columns = of_type(table, "numeric")
     facts = table.facts()
+    table.declare(quartile_requests(table, columns))  # in the scan of the moments
     shape = number_moments(table, columns)
     cuts = quartiles(table, columns)
     out = {}
@@ -89,9 +99,26 @@ _CATEGORICAL = """column string, count bigint, null_count bigint, unique_count b
 
 
 def categorical_facts(table: Table) -> dict:
-    """{column: row of profile_categorical}; five values per column."""
-    return table.once("categorical", lambda: {
-        r["column"]: r for r in profile_categorical(table).collect()})
+    """{column: {unique_count, top_values}}; five values per column."""
+    return table.once("categorical", lambda: _categorical_facts(table))
+
+
+def _categorical_facts(table):
+    columns = of_type(table, "categorical")
+    if not columns:
+        return {}
+    counts = value_counts(table, columns)
+    unique = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("n"))  # reads n: one shuffle for both
+    rows = (top_values(counts, TOP_VALUES).select("column", "rank", "value", "n")
+            .unionByName(unique.select("column", F.lit(0).cast("bigint").alias("rank"), F.lit(None).cast("string").alias("value"), "n"))).collect()
+    out = {c: {"unique_count": 0, "top_values": []} for c in columns}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        if r["rank"]:
+            out[r["column"]]["top_values"].append(
+                {"value": r["value"], "count": r["n"], "pct": share(r["n"], table.count(r["column"]))})
+        else:
+            out[r["column"]]["unique_count"] = r["n"]
+    return out
 
 
 def profile_datetime(table: Table, columns=None) -> DataFrame:

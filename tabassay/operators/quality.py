@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import longest_null_runs
 from ..functions.text import WHITESPACE, rounded, share
-from ..functions.values import LONG_TEXT, distinct_counts, few_candidates, row_key
+from ..functions.values import LONG_TEXT, distinct_counts, few_candidates, few_requests, row_key
 from ..functions.wording import ISSUE
 from ..sources.table import Table, ref
-from .types import column_types, of_type
+from .types import column_types, is_id_name, of_type
 
 # Name parts of quantities that should not be negative.
 NON_NEGATIVE_PARTS = [
@@ -291,8 +291,15 @@ def health_label(score: float) -> str:
     return "Good" if score > 80 else "Fair" if score >= 50 else "Poor"
 
 
+def check_requests(table: Table) -> dict:
+    """Aggregates of the checks that no other fact precedes, for the scan of the facts."""
+    numbers = [c for c in table.columns if (table.is_number(c) or table.is_boolean(c)) and not is_id_name(c)]
+    return table.layout_requests() | few_requests(numbers)
+
+
 def health_score(table: Table) -> float:
     """0-100: 30 % completeness, 20 % uniqueness, 20 % valid types, 30 % other checks."""
+    table.declare(check_requests(table))
     parts = [
         (0.30, max(0.0, 100 - 3 * missing_total(table)[1])),
         (0.20, max(0.0, 100 - 5 * duplicate_facts(table)["exact_pct"])),
@@ -312,6 +319,7 @@ def health(table: Table) -> DataFrame:
 
 def issue_rows(table: Table) -> list[tuple]:
     """(column, issue type, severity, detail)."""
+    table.declare(check_requests(table))
     rows = []
     for c, (n, pct, _, pattern) in missing_facts(table).items():
         if n:

@@ -69,7 +69,8 @@ def finding_headline(table: Table) -> str:
 
 
 def anomaly_facts(table: Table, records: DataFrame) -> dict:
-    """Panel, per-method counts and top anomaly: one row each."""
+    """Panel, per-method counts and top anomaly: one row each. The records are evaluated once."""
+    records = table.stage(records, "records")
     summary = {r["method_used"]: r["records"] for r in anomalies.method_summary(records).collect()}
     return {"panel": anomalies.anomaly_panel(table, records).first(),
             "methods": {m: summary[m] for m in anomalies.METHOD_LABELS if m in summary},
@@ -120,6 +121,7 @@ def at_a_glance(table: Table, records: DataFrame, facts: dict | None = None) ->
 
 
 def report_text(table: Table, records: DataFrame, explanations: dict[int, str] | None = None) -> str:
+    table.declare(quality.check_requests(table) | insights.pair_requests(table))  # one scan with the facts
     heading = REPORT["heading"].format(name=table.name, rows=table.rows, columns=len(table.columns),
                                        mb=memory_mb(table), types=types_line(table))
     parts = {"quality": quality_lines(table), "insights": insight_lines(table, explanations),

@@ -96,6 +96,8 @@ class Table:
         self.columns = list(self.schema)
         self.df = df.select(ref(row_id), *[self._clean(c) for c in self.columns])
         self._memo: dict = {}
+        self._known: dict = {}
+        self._wanted: dict = {}
 
     def spread(self) -> Table:
         """A copy cut into one part per core and kept in memory or on disk, if the source has
@@ -184,10 +186,13 @@ class Table:
         """Date layout of a text column's first date by row id; None for ISO dates and others."""
         return self.once("layouts", self._layouts).get(c)
 
-    def _layouts(self):
+    def layout_requests(self) -> dict:
         at = ref(self.row_id)
-        first = self.aggregate({c: F.min_by(ref(c), F.when(ref(c).rlike(DATE_LIKE), at)) for c in self.string_columns})
-        return {c: date_layout(v) for c, v in first.items() if v is not None}
+        return {("layout", c): F.min_by(ref(c), F.when(ref(c).rlike(DATE_LIKE), at)) for c in self.string_columns}
+
+    def _layouts(self):
+        first = self.aggregate(self.layout_requests())
+        return {c: date_layout(v) for (_, c), v in first.items() if v is not None}
 
     def text(self, c) -> Column:
         """The column as text; -0.0 is 0.0."""
@@ -201,16 +206,22 @@ class Table:
             self._memo[key] = compute()
         return self._memo[key]
 
-    def aggregate(self, named: dict, df: DataFrame | None = None) -> dict:
-        """Evaluate named global aggregates in as few scans as code size allows."""
-        df = self.df if df is None else df
-        items = list(named.items())
-        out: dict = {}
-        for start in range(0, len(items), AGGREGATES_PER_PASS):
-            part = items[start:start + AGGREGATES_PER_PASS]
-            row = df.agg(*[e.alias(f"a{i}") for i, (_, e) in enumerate(part)]).first()
-            out.update({key: row[i] for i, (key, _) in enumerate(part)})
-        return out
+    def declare(self, named: dict) -> None:
+        """Named aggregates that a later check asks for: they share the next scan."""
+        self._wanted.update({key: e for key, e in named.items() if key not in self._known})
+
+    def aggregate(self, named: dict) -> dict:
+        """Values of named global aggregates over the table. Those not known yet are evaluated
+        together with all that were declared, in as few scans as code size allows."""
+        missing = {key: e for key, e in named.items() if key not in self._known}
+        if missing:
+            items = list((self._wanted | missing).items())
+            self._wanted = {}
+            for start in range(0, len(items), AGGREGATES_PER_PASS):
+                part = items[start:start + AGGREGATES_PER_PASS]
+                row = self.df.agg(*[e.alias(f"a{i}") for i, (_, e) in enumerate(part)]).first()
+                self._known.update({key: row[i] for i, (key, _) in enumerate(part)})
+        return {key: self._known[key] for key in named}
 
     def facts(self) -> dict:
         """One scan: row count, and per column counts, sums and extremes."""

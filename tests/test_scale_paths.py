@@ -108,6 +108,25 @@ def test_gap_moments_with_a_hot_moment(spark):
         assert got[c]["std_gap"] == pytest.approx(gaps.std(), rel=1e-9)
 
 
+def test_declared_aggregates_share_a_scan(spark):
+    """What checks declare is evaluated with the facts: asking for it later runs no job."""
+    df = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 7).alias("low_price"), (F.col("id") % 11).alias("high_price"),
+                                 F.concat(F.lit("0"), F.col("id") % 9 + 1, F.lit("/12/2024")).alias("ship_date"))
+    t = Table(df, "t", "row_id")
+    sc = spark.sparkContext
+    sc.setJobGroup("declared", "declared")
+    jobs = lambda: len(sc.statusTracker().getJobIdsForGroup("declared"))
+    t.declare(quality.check_requests(t) | insights.pair_requests(t))
+    t.facts()
+    once = jobs()
+    assert t.layout("ship_date") == "M/d/yyyy" and insights.contradiction_findings(t) and t.rows == 300
+    assert jobs() == once and once <= 2
+    t = Table(df, "t", "row_id")
+    insights.findings(t).collect()
+    assert jobs() - once <= 30
+    assert t.aggregate(insights.pair_requests(t))["over", "low_price", "high_price"] == sum(i % 7 > i % 11 for i in range(300))
+
+
 def test_near_duplicates_with_a_hot_group(spark):
     rows = []
     for i in range(3000):
