@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +98,9 @@ class Answer:
 def ask(table: Table, sql: str, on_error: Callable[[str, str], str] | None = None) -> Answer:
     """Run a query over the table, visible as ``df``; at most one correction by the caller.
 
-    Only queries run: a command is an error. A view of the session named ``df`` is left alone.
+    Only queries run: a command is an error, and so is reading any other table, view or file: the
+    analysed plan may hold no leaves but the table's own, literal rows and ranges. A view of the
+    session named ``df`` is left alone.
     """
     answer = _attempt(table, sql)
     if not answer.success and on_error is not None:
@@ -114,6 +116,9 @@ def _attempt(table, sql):
     try:
         query = sql.strip().rstrip(";")
         result = table.spark.sql(f"WITH df AS (SELECT * FROM {view}) SELECT * FROM (\n{query}\n)")
+        other = foreign_relation(result, table.df)
+        if other:
+            raise AnalysisException(f"the question reads {other}, which is not the table")
         preview, note = preview_rows(result)
     except PySparkException as failure:
         result, error = None, str(failure)
@@ -123,6 +128,29 @@ def _attempt(table, sql):
     return Answer(sql, result, preview, note, not error, error, elapsed)
 
 
+OWN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef"}  # literal rows, ranges, parts of the query
+
+
+def foreign_relation(result: DataFrame, source: DataFrame) -> str | None:
+    """First leaf of the analysed plan, subqueries included, that ``source`` does not read."""
+    known = _leaves(source._jdf.queryExecution().analyzed())
+    for leaf in _leaves(result._jdf.queryExecution().analyzed()):
+        if leaf.nodeName() not in OWN_LEAVES and not any(leaf.sameResult(own) for own in known):
+            return leaf.simpleString(25)
+    return None
+
+
+def _leaves(plan) -> list:
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        below = [seq.apply(i) for seq in (node.children(), node.subqueries()) for i in range(seq.size())]
+        if not node.children().size():
+            found.append(node)
+        todo += below
+    return found
+
+
 def preview_rows(result: DataFrame, rows: int = PREVIEW_ROWS):
     """First rows, and the total when there are more; counted only then."""
     shown = result.limit(rows + 1).collect()

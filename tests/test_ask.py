@@ -33,6 +33,21 @@ def test_one_correction(orders):
     assert not b.success and "nope" in b.error and b.result is None
 
 
+def test_other_relations_are_refused(spark, orders, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/other")
+    spark.range(5).selectExpr("id * 2 AS k").createOrReplaceTempView("other_view")
+    spark.read.parquet(f"{tmp_path}/other").createOrReplaceTempView("other_file")
+    path = f"parquet.`{tmp_path}/other`"
+    for sql in (f"SELECT count(*) AS n FROM {path}", "SELECT * FROM other_file", f"SELECT * FROM df WHERE order_id IN (SELECT id FROM {path})",
+                f"SELECT (SELECT max(id) FROM {path}) AS m FROM df", f"WITH x AS (SELECT * FROM {path}) SELECT * FROM df JOIN x ON id = order_id"):
+        a = ask.ask(orders, sql)
+        assert not a.success and "not the table" in a.error and a.result is None, sql
+    for sql in ("SELECT a.order_id FROM df a JOIN df b ON a.order_id = b.order_id + 1", "SELECT * FROM VALUES (1), (2)", "SELECT * FROM range(3)",
+                "WITH x AS (SELECT * FROM df) SELECT count(*) FROM x WHERE amount > (SELECT avg(amount) FROM df)", "SELECT 1"):
+        a = ask.ask(orders, sql)
+        assert a.success, (sql, a.error)
+
+
 def test_runtime_errors_are_reported(orders):
     a = ask.ask(orders, "SELECT 1 / (amount - amount) FROM df")
     assert not a.success and "DIVIDE_BY_ZERO" in a.error
