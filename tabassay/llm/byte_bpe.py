@@ -52,15 +52,18 @@ FROM vocab a CROSS JOIN (SELECT id, piece FROM vocab WHERE length(piece) = 2 UNI
 LEFT JOIN merges m ON m.pair = a.id::BIGINT * 16777216 + b.id
 WHERE length(a.piece) = 2"""
 
+# One thread aggregates sorted rows in their order, here and below.
 # Each word starts with a sentinel, so a pair always has a position before it. A word that is itself in the
 # vocabulary is one token.
 CONTRACT = """
 WITH RECURSIVE words(w, ats, best) AS (
-  SELECT w, [{NONE} * 16777216 + 16777215] || list(here ORDER BY p), nullif(min(here) >> 24, {NONE})
-  FROM (SELECT w, p, piece[2 * p + 1:2 * p + 4] AS two
-        FROM (SELECT w, f.piece, unnest(range(length(f.piece) // 2)) AS p
-              FROM fresh f LEFT JOIN vocab v ON v.piece = f.piece WHERE v.id IS NULL))
-  JOIN openers USING (two) GROUP BY w
+  SELECT w, [{NONE} * 16777216 + 16777215] || list(here), nullif(min(here) >> 24, {NONE})
+  FROM (SELECT w, here
+        FROM (SELECT w, p, piece[2 * p + 1:2 * p + 4] AS two
+              FROM (SELECT w, f.piece, unnest(range(length(f.piece) // 2)) AS p
+                    FROM fresh f LEFT JOIN vocab v ON v.piece = f.piece WHERE v.id IS NULL))
+        JOIN openers USING (two) ORDER BY w, p)
+  GROUP BY w
   UNION ALL
   SELECT w, ats, nullif(list_min(ats) >> 24, {NONE})
   FROM (SELECT w, ats[:(i - 2)] || [coalesce(l.rank, {NONE}) * 16777216 + before, coalesce(r.rank, {NONE}) * 16777216 + best]
@@ -77,11 +80,11 @@ SELECT w, [v.id] FROM fresh f JOIN vocab v ON v.piece = f.piece"""
 LEARN = """
 INSERT INTO known
 SELECT w, toks, bytes FROM made JOIN (
-  SELECT w, decode(from_hex(string_agg(v.piece, '' ORDER BY p))) AS bytes
-  FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS p FROM made) JOIN vocab v ON v.id = tok
+  SELECT w, decode(from_hex(string_agg(piece, ''))) AS bytes
+  FROM (SELECT w, piece FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS p FROM made)
+        JOIN vocab ON id = tok ORDER BY w, p)
   GROUP BY w) USING (w)"""
 
-# One thread aggregates the sorted rows in their order.
 ASSEMBLE = """
 SELECT d, flatten(list(toks)) AS ids, encode(string_agg(bytes, '')) AS decoded
 FROM (SELECT d, toks, bytes FROM placed JOIN known USING (w) ORDER BY d, k) GROUP BY d"""
