@@ -130,7 +130,7 @@ def _with_frequent(lines: DataFrame, frequent: DataFrame, how: str, row: str = "
     if hot.count() <= HOT_BROADCAST:
         return lines.join(F.broadcast(hot), keys, how)
     salt = F.pmod(F.xxhash64(row), F.lit(SALTS)).alias("salt")
-    every = hot.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    every = hot.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     return lines.select("*", salt).join(every, [*keys, "salt"], how).drop("salt")
 
 
