@@ -40,7 +40,7 @@ def top_value_rows(table, columns=None):
 
 
 def univariate(table):
-    return anomalies.anomaly_records(table, methods=UNIVARIATE)
+    return anomalies.flagged_rows(table, methods=UNIVARIATE)
 
 
 def lineitem(spark, sf):
@@ -244,10 +244,10 @@ def queries() -> dict:
     add("forest_records", dq_orders, forest.forest_records)
     add("anomalies_all", dq_orders, anomalies.anomaly_records)
     add("forest_scores_lineitem", lineitem, forest_rows)
-    add("composite_all", dq_orders, lambda t: anomalies.composite_scores(anomalies.anomaly_records(t)))
-    add("anomaly_panel_all", dq_orders, lambda t: anomalies.anomaly_panel(t, anomalies.anomaly_records(t)))
-    add("anomaly_table_all", dq_orders, lambda t: anomalies.anomaly_table(anomalies.anomaly_records(t)))
-    add("labelled_rows_all", dq_orders, lambda t: anomalies.labelled_rows(t, anomalies.anomaly_records(t), "amount", "gauss"))
+    add("composite_all", dq_orders, lambda t: anomalies.composite_scores(anomalies.flagged_rows(t)))
+    add("anomaly_panel_all", dq_orders, lambda t: anomalies.anomaly_panel(t, anomalies.flagged_rows(t)))
+    add("anomaly_table_all", dq_orders, lambda t: anomalies.anomaly_table(anomalies.flagged_rows(t)))
+    add("labelled_rows_all", dq_orders, lambda t: anomalies.labelled_rows(t, anomalies.flagged_rows(t), "amount", "gauss"))
     # plain profile
     add("basic_profile", dq_orders, lambda t: basic.basic_profile(t).drop("dtype"))
     add("basic_profile_types", dq_orders, lambda t: basic.basic_profile(t).select("column", "dtype"))
@@ -281,8 +281,8 @@ def queries() -> dict:
     add("anomaly_bullets", dq_orders, lines(lambda t: report.anomaly_lines(t, univariate(t))))
     add("types_line", dq_orders, lines(lambda t: [report.types_line(t)]))
     add("at_a_glance", dq_orders, lambda t: report.at_a_glance(t, univariate(t)))
-    add("anomaly_bullets_all", dq_orders, lines(lambda t: report.anomaly_lines(t, anomalies.anomaly_records(t))))
-    add("at_a_glance_all", dq_orders, lambda t: report.at_a_glance(t, anomalies.anomaly_records(t)))
-    add("report_text_all", dq_orders, lines(lambda t: report.report_text(t, anomalies.anomaly_records(t)).split("\n")))
+    add("anomaly_bullets_all", dq_orders, lines(lambda t: report.anomaly_lines(t, anomalies.flagged_rows(t))))
+    add("at_a_glance_all", dq_orders, lambda t: report.at_a_glance(t, anomalies.flagged_rows(t)))
+    add("report_text_all", dq_orders, lines(lambda t: report.report_text(t, anomalies.flagged_rows(t)).split("\n")))
     add("report_text", dq_orders, lines(lambda t: report.report_text(t, univariate(t)).split("\n")))
     return made

@@ -22,12 +22,11 @@ METHOD_LABELS = {"iqr": "IQR", "zscore": "Z-Score", "isolation_forest": "Isolati
 SEVERITIES = ["high", "moderate", "low"]
 TABLE_ROWS = 500
 
-RECORD = """row_id bigint, column string, method_used string, anomaly_score double,
-    severity string, raw_value double, lower double, upper double, expected_range string,
-    primary_driver_feature string"""
-_BOUND = """column string, method_used string, lower double, upper double, from_low double,
-    from_high double, scale double, start double, span double, moderate_at double,
-    high_at double, expected_range string"""
+FLAGGED = """row_id bigint, records array<struct<column:string,method_used:string,anomaly_score:double,
+    severity:string,raw_value:double,lower:double,upper:double,expected_range:string,
+    primary_driver_feature:string>>"""
+BOUND = ["column", "method_used", "lower", "upper", "from_low", "from_high", "scale", "start", "span",
+         "moderate_at", "high_at", "expected_range"]
 
 
 # -- univariate methods ---------------------------------------------------------------
@@ -47,7 +46,7 @@ def iqr_bounds(table: Table) -> list[tuple]:
 
 def iqr_records(table: Table) -> DataFrame:
     """Values strictly outside the quartile fences."""
-    return _records(table, iqr_bounds(table))
+    return flat(_flagged_cells(table, iqr_bounds(table)))
 
 
 def normality_facts(table: Table) -> dict[str, tuple]:
@@ -77,39 +76,49 @@ def zscore_bounds(table: Table, threshold: float) -> list[tuple]:
 
 def zscore_records(table: Table, threshold: float = 3.0) -> DataFrame:
     """Values more than ``threshold`` standard deviations out, in normally distributed columns."""
-    return _records(table, zscore_bounds(table, threshold))
+    return flat(_flagged_cells(table, zscore_bounds(table, threshold)))
 
 
-def _records(table: Table, bounds: list[tuple]) -> DataFrame:
-    """One record per cell and bound it breaks, from one scan for all columns and methods.
+def _flagged_cells(table: Table, bounds: list[tuple]) -> DataFrame:
+    """(row_id, records) of rows that break a bound, from one scan for all columns and methods.
 
-    Rows without any such cell are dropped before the columns are spread into rows, by a
-    predicate that parquet can use to skip row groups. There are at most two bounds per
-    column, so they are broadcast.
+    Rows without any such cell are dropped first, by a predicate that parquet can use to skip row
+    groups. The records of a row are an array made where the row is read: the values beside their
+    bounds, at most two per column, which are a literal of the plan. No row moves.
     """
-    known = table.frame(bounds, _BOUND)
-    names = list(dict.fromkeys(b[0] for b in bounds))
-    if not names:
-        return table.frame([], RECORD)
+    if not bounds:
+        return table.frame([], FLAGGED)
     # On the uncleaned rows, so that it reaches the scan; NaN passes here and is cleaned later.
     hit = reduce(lambda a, b: a | b, [_beyond(_plain(table, b[0]), *b[2:4]) for b in bounds])
+    names = list(dict.fromkeys(b[0] for b in bounds))
     cleaned = table.raw.where(hit).select(
         ref(table.row_id).alias("row_id"), *[table._clean(c) for c in names])
-    cells = (cleaned.select("row_id", *[table.number(c).alias(c) for c in names])
-             .unpivot(["row_id"], [ref(c) for c in names], "column", "value"))
-    x = F.col("value")
-    distance = F.greatest(F.col("from_low") - x, x - F.col("from_high")) / F.col("scale")
-    measured = cells.where("value IS NOT NULL").join(F.broadcast(known), "column").withColumn("k", distance)
-    broken = F.when(F.col("method_used") == "iqr", (x < F.col("lower")) | (x > F.col("upper"))
-                    ).otherwise(F.col("k") > F.col("start"))
-    k = F.col("k")
-    return measured.where(broken).select(
-        "row_id", "column", "method_used",
-        F.least(F.lit(1.0), (k - F.col("start")) / F.col("span")).alias("anomaly_score"),
-        F.when(k >= F.col("high_at"), "high").when(k >= F.col("moderate_at"), "moderate")
-        .otherwise("low").alias("severity"),
-        x.alias("raw_value"), "lower", "upper", "expected_range",
-        F.col("column").alias("primary_driver_feature"))
+    known = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(BOUND, b)]) for b in bounds])
+    measured = F.zip_with(F.array(*[table.number(b[0]) for b in bounds]), known, _measure)
+    records = F.transform(F.filter(measured, _broken), _record).alias("records")
+    return cleaned.select(F.col("row_id").cast("bigint").alias("row_id"), records).where(F.size("records") > 0)
+
+
+def _measure(x, bound):
+    distance = F.greatest(bound["from_low"] - x, x - bound["from_high"]) / bound["scale"]
+    return F.struct(x.alias("x"), distance.alias("k"), bound.alias("bound"))
+
+
+def _broken(cell):
+    x, bound = cell["x"], cell["bound"]
+    return F.when(bound["method_used"] == "iqr", (x < bound["lower"]) | (x > bound["upper"])
+                  ).otherwise(cell["k"] > bound["start"])
+
+
+def _record(cell):
+    k, bound = cell["k"], cell["bound"]
+    severity = F.when(k >= bound["high_at"], "high").when(k >= bound["moderate_at"], "moderate").otherwise("low")
+    return F.struct(
+        bound["column"].alias("column"), bound["method_used"].alias("method_used"),
+        F.least(F.lit(1.0), (k - bound["start"]) / bound["span"]).alias("anomaly_score"),
+        severity.alias("severity"), cell["x"].alias("raw_value"), bound["lower"].alias("lower"),
+        bound["upper"].alias("upper"), bound["expected_range"].alias("expected_range"),
+        bound["column"].alias("primary_driver_feature"))
 
 
 def _beyond(x, low, high):
@@ -123,58 +132,77 @@ def _plain(table, c):
 
 
 # -- combination ----------------------------------------------------------------------
+#
+# Records come in two forms: one row per record, or flagged rows (row_id, records), whose composite
+# needs no shuffle. The functions below take either; flagged rows are what the scan gives.
+
+def flagged_rows(table: Table, contamination: float = 0.05, zscore_threshold: float = 3.0,
+                 methods=tuple(METHOD_LABELS)) -> DataFrame:
+    """(row_id, records): every flagged row with an array of its records, one per method and column.
+
+    The forest's rows, one record each, are joined to the others once.
+    """
+    bounds = (iqr_bounds(table) if "iqr" in methods else []) + (
+        zscore_bounds(table, zscore_threshold) if "zscore" in methods else [])
+    cells = _flagged_cells(table, bounds)
+    if "isolation_forest" not in methods:
+        return cells
+    found = forest_records(table, contamination)
+    fields = [c for c in found.columns if c != "row_id"]
+    drawn = found.select(F.col("row_id").cast("bigint").alias("row_id"), F.array(F.struct(*fields)).alias("drawn"))
+    none = F.array().cast(cells.schema["records"].dataType)
+    return cells.join(drawn, "row_id", "full").select(
+        "row_id", F.concat(F.coalesce("records", none), F.coalesce("drawn", none)).alias("records"))
+
 
 def anomaly_records(table: Table, contamination: float = 0.05, zscore_threshold: float = 3.0,
                     methods=tuple(METHOD_LABELS)) -> DataFrame:
     """All records, one per row, method and column."""
-    bounds = (iqr_bounds(table) if "iqr" in methods else []) + (
-        zscore_bounds(table, zscore_threshold) if "zscore" in methods else [])
-    records = _records(table, bounds)
-    if "isolation_forest" in methods:
-        records = records.unionByName(forest_records(table, contamination))
-    return records
+    return flat(flagged_rows(table, contamination, zscore_threshold, methods))
+
 
+def flat(records: DataFrame) -> DataFrame:
+    """One row per record."""
+    return records.select("row_id", F.inline("records")) if "records" in records.columns else records
 
-def _method_count(over=None):
-    def largest(x):
-        return F.max(x) if over is None else F.max(x).over(over)
-    return reduce(lambda a, b: a + b,
-                  [largest((F.col("method_used") == m).cast("int")) for m in METHOD_LABELS])
 
+def by_row(records: DataFrame) -> DataFrame:
+    """Flagged rows; single records are put together, at most one per column and method in a row."""
+    if "records" in records.columns:
+        return records
+    fields = [c for c in records.columns if c != "row_id"]
+    return records.groupBy("row_id").agg(F.collect_list(F.struct(*fields)).alias("records"))
 
-def _composite(best, methods):
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), best) + CONSENSUS_BONUS * (methods - 1))
+
+def _method_count():
+    return F.size(F.array_distinct(F.transform("records", lambda r: r["method_used"])))
+
+
+def _composite():
+    best = F.array_max(F.transform("records", lambda r: r["anomaly_score"]))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), best) + CONSENSUS_BONUS * (_method_count() - 1))
 
 
 def composite_scores(records: DataFrame) -> DataFrame:
     """Best score of each flagged row plus a bonus per further method, at most 1."""
-    methods = _method_count()
-    return records.groupBy("row_id").agg(
-        _composite(F.max("anomaly_score"), methods).alias("composite_score"),
-        methods.alias("methods"))
+    return by_row(records).select(
+        "row_id", _composite().alias("composite_score"), _method_count().alias("methods"))
 
 
 def with_composite(records: DataFrame) -> DataFrame:
-    """Records with their row's composite score, without scanning twice.
-
-    A row has at most a record per column and method, so these windows stay tiny.
-    """
-    row = Window.partitionBy("row_id")
-    best = F.max("anomaly_score").over(row)
-    return records.withColumn("composite_score", _composite(best, _method_count(row)))
+    """Records with their row's composite score: computed inside the row, which is spread last."""
+    return by_row(records).select("row_id", _composite().alias("composite_score"), F.inline("records"))
 
 
 def method_summary(records: DataFrame) -> DataFrame:
-    return records.groupBy("method_used").agg(F.count(F.lit(1)).alias("records"))
+    return flat(records).groupBy("method_used").agg(F.count(F.lit(1)).alias("records"))
 
 
 def anomaly_panel(table: Table, records: DataFrame) -> DataFrame:
-    per_row = records.groupBy("row_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("method_used").alias("a"), F.max("method_used").alias("b"))
     pct = F.round(F.count(F.lit(1)) / F.lit(max(table.rows, 1)) * 100, 1)
-    return per_row.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("rows_flagged"),
-        F.count_if(F.col("a") != F.col("b")).alias("multi_method_rows"), pct.alias("flagged_pct"))
+    return by_row(records).select(F.size("records").alias("n"), _method_count().alias("methods")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("records"), F.count(F.lit(1)).alias("rows_flagged"),
+        F.count_if(F.col("methods") > 1).alias("multi_method_rows"), pct.alias("flagged_pct"))
 
 
 def method_label() -> Column:
@@ -201,7 +229,7 @@ def anomaly_table(records: DataFrame, methods=None, severities=None, sort_by: st
 
 def anomaly_columns(records: DataFrame) -> DataFrame:
     """Records and method labels per column, most records first."""
-    labelled = records.select("column", method_label().alias("method"))
+    labelled = flat(records).select("column", method_label().alias("method"))
     counted = labelled.groupBy("column").agg(
         F.count(F.lit(1)).alias("records"), F.collect_set("method").alias("labels"))
     return counted.select("column", "records",
@@ -224,7 +252,7 @@ def driver_features(records: DataFrame, columns: list[str]) -> DataFrame:
     then by the column's place in the table."""
     method = F.array_position(F.array(*[F.lit(m) for m in METHOD_LABELS]), F.col("method_used"))
     place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("primary_driver_feature"))
-    first = records.groupBy("primary_driver_feature").agg(F.min(F.struct(method, place)).alias("at"))
+    first = flat(records).groupBy("primary_driver_feature").agg(F.min(F.struct(method, place)).alias("at"))
     order = Window.orderBy("at")  # one row per column
     return first.select((F.row_number().over(order) - 1).alias("ordinal"), "primary_driver_feature")
 

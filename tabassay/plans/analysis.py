@@ -36,18 +36,21 @@ class Analysis:
 
     # anomalies
     @cached_property
-    def records(self) -> DataFrame:
-        """Anomaly records, staged once because several tables are built from them."""
-        found = anomalies.anomaly_records(self.table, self.contamination, self.zscore_threshold)
+    def flagged(self) -> DataFrame:
+        """Flagged rows with their records, staged once because several tables are built from them."""
+        found = anomalies.flagged_rows(self.table, self.contamination, self.zscore_threshold)
         return self.table.stage(found, "records")
 
-    def composite(self) -> DataFrame: return anomalies.composite_scores(self.records)
-    def anomaly_table(self, **options) -> DataFrame: return anomalies.anomaly_table(self.records, **options)
-    def anomaly_columns(self) -> DataFrame: return anomalies.anomaly_columns(self.records)
+    @property
+    def records(self) -> DataFrame: return anomalies.flat(self.flagged)
+
+    def composite(self) -> DataFrame: return anomalies.composite_scores(self.flagged)
+    def anomaly_table(self, **options) -> DataFrame: return anomalies.anomaly_table(self.flagged, **options)
+    def anomaly_columns(self) -> DataFrame: return anomalies.anomaly_columns(self.flagged)
 
     # questions and reports
     def ask(self, sql: str, on_error=None) -> ask.Answer: return ask.ask(self.table, sql, on_error)
     def schema_context(self) -> DataFrame: return ask.schema_context(self.table)
     def warnings(self) -> DataFrame: return basic.warnings(self.table)
-    def at_a_glance(self) -> DataFrame: return report.at_a_glance(self.table, self.records)
-    def report_text(self) -> str: return report.report_text(self.table, self.records)
+    def at_a_glance(self) -> DataFrame: return report.at_a_glance(self.table, self.flagged)
+    def report_text(self) -> str: return report.report_text(self.table, self.flagged)

@@ -12,7 +12,7 @@ from tabassay.functions import moments
 from tabassay.functions.ordered import gap_moments, longest_null_runs
 from tabassay.functions.quantiles import exact_quantiles
 from tabassay.functions.values import few_distinct
-from tabassay.operators import ask, insights, quality
+from tabassay.operators import anomalies, ask, insights, quality
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -239,3 +239,31 @@ def test_spread_keeps_rows(spark):
 def test_row_id_must_be_a_whole_number(spark):
     with pytest.raises(ValueError):
         Table(spark.createDataFrame([("a", 1)], "k string, x int"), "t", "k")
+
+
+def test_composite_moves_no_row(spark, tmp_path):
+    """Scores, table and panel of the fences and z-scores come from the scan; grouped records agree."""
+    rng = np.random.default_rng(11)
+    data = pd.DataFrame({"a": rng.normal(size=4000), "b": rng.normal(size=4000), "c": rng.exponential(size=4000)})
+    data.loc[::97, ["a", "b"]] *= 6
+    data.loc[5::131, "a"] = np.nan
+    spark.createDataFrame(data).write.parquet(f"{tmp_path}/t")
+    t = read_parquet(spark, f"{tmp_path}/t")
+    rows = anomalies.flagged_rows(t, methods=("iqr", "zscore"))
+    for df in (anomalies.composite_scores(rows), anomalies.with_composite(rows)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.replace("BroadcastExchange", "")  # offsets of the files
+    records = anomalies.anomaly_records(t)
+    every = anomalies.flagged_rows(t)
+    got = {tuple(r) for r in anomalies.composite_scores(every).collect()}
+    assert got == {tuple(r) for r in anomalies.composite_scores(records).collect()}
+    plain = {}
+    for r in records.collect():
+        plain.setdefault(r.row_id, []).append(r)
+    assert {len({r.method_used for r in found}) for found in plain.values()} >= {1, 2}
+    for row, score, n in got:
+        found = plain[row]
+        assert n == len({r.method_used for r in found})
+        assert score == pytest.approx(min(1.0, max(r.anomaly_score for r in found) + 0.15 * (n - 1)))
+    panel = anomalies.anomaly_panel(t, every).first()
+    assert (panel["records"], panel["rows_flagged"]) == (sum(map(len, plain.values())), len(plain))
