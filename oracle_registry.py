@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sample_views import DQ_ORDERS, US_ORDERS
+from tabassay.sources.csv import MISSING_TOKENS
 
 NUM = ["amount", "amount_tax", "price_low", "price_high", "skewed", "spiky", "tier", "gauss"]
 CAT = ["status", "priority", "ref_code", "middle_name"]
@@ -558,6 +559,9 @@ def oracle_sql() -> dict[str, str]:
     q["preview"] = dq(f"SELECT row_id, order_id, {rounded(*[c for c in NUM if c != 'tier'])}, tier, {', '.join(STR)} "
                       "FROM dq ORDER BY row_id LIMIT 100")
     q["read_csv"] = dq(f"SELECT order_id, {rounded(*[c for c in NUM if c != 'tier'])}, tier, {', '.join(STR)} FROM dq")
+    tokens = ", ".join(f"'{x}'" for x in MISSING_TOKENS)
+    q["read_csv_breaks"] = "SELECT doc_id, " + ", ".join(
+        f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END AS {c}" for c in ("text", "source")) + " FROM documents"
     q["read_csv_types"] = dq('SELECT position, "column", col_type FROM kinds', DQ_SHAPES, KINDS)
     q["descriptor"] = dq("""SELECT 'dq_orders' AS name, max(rows) AS row_count, count(*) AS col_count,
       string_agg("column" || '=' || col_type, ', ' ORDER BY "column" || '=' || col_type) AS column_types FROM kinds""",

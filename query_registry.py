@@ -75,6 +75,14 @@ def dq_csv(spark, sf):
     return read_csv(spark, path, "dq_orders", multiline=False)
 
 
+def breaks_csv(spark, sf):
+    """Documents as CSV, whose texts hold line breaks, read back by the reader's own search for them."""
+    path = scratch_path(spark, "csv")
+    spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_csv(spark, path, "documents")
+
+
 def supplier(spark, sf):
     return given(spark, sf, "supplier", "s_suppkey")
 
@@ -148,6 +156,7 @@ def queries() -> dict:
     # sources, types, roles
     add("read_csv", dq_csv, lambda t: t.df.drop("row_id"))
     add("read_csv_types", dq_csv, types.type_frame)
+    add("read_csv_breaks", breaks_csv, lambda t: t.df.drop("row_id"))
     add("preview", dq_orders, lambda t: t.preview(100))
     add("descriptor", dq_orders, descriptor)
     add("column_types", dq_orders, types.type_frame)

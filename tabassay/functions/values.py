@@ -35,22 +35,26 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
 def distinct_counts(table: Table, columns) -> dict[str, int]:
     """Exact distinct non-null values per column.
 
-    Long texts are compared by SHA-256 so that the shuffle carries short keys; whole numbers
-    keep their own type.
+    Whole numbers are bits of 64-wide words, so that near ones share a row of the shuffle; a word
+    holds at least one value, so scattered ones take no more rows than they are. Long texts are
+    compared by SHA-256 so that the shuffle carries short keys.
     """
     known = table.once("distinct", dict)
     todo = [c for c in columns if c not in known]
     whole = [c for c in todo if isinstance(table.schema[c], T.IntegralType)]
     other = [c for c in todo if c not in whole]
-    groups = []
+    counted = []
     if whole:
-        groups.append(table.df.select(*[ref(c).cast("bigint").alias(c) for c in whole])
-                      .unpivot([], [ref(c) for c in whole], "column", "value"))
+        pairs = (table.df.select(*[ref(c).cast("bigint").alias(c) for c in whole])
+                 .unpivot([], [ref(c) for c in whole], "column", "value").where("value IS NOT NULL"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("value").bitwiseAND(63).cast("int"))
+        words = pairs.groupBy("column", F.shiftright("value", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+        counted.append(words.groupBy("column").agg(F.sum(F.bit_count("bits")).alias("n")))
     if other:
         short = [_short(table.text(c)).alias(c) for c in other]
-        groups.append(table.df.select(*short).unpivot([], [ref(c) for c in other], "column", "value"))
-    counted = [pairs.where("value IS NOT NULL").distinct()
-               .groupBy("column").agg(F.count(F.lit(1)).alias("n")) for pairs in groups]
+        pairs = table.df.select(*short).unpivot([], [ref(c) for c in other], "column", "value")
+        counted.append(pairs.where("value IS NOT NULL").distinct()
+                       .groupBy("column").agg(F.count(F.lit(1)).alias("n")))
     if counted:
         found = reduce(DataFrame.unionByName, counted).collect()
         known.update({r["column"]: r["n"] for r in found})

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .records import csv_records
 from .table import AGGREGATES_PER_PASS, Table, _stage, delete, number_rows, ref
 
 # Cell texts that mean "missing".
@@ -25,19 +26,24 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None,
              multiline: bool | None = None, **options) -> Table:
     """Read a CSV file into a Table; a row with more cells than the header is an error.
 
-    Files are split over tasks unless a cell holds a line break, which a first look at the lines
-    finds (an odd number of quotes); ``multiline`` says it beforehand. The typed rows are staged
-    as parquet, so later passes are columnar and row ids fixed.
+    Files are split over tasks. Where a cell holds a line break, which a first look at the lines
+    finds (an odd number of quotes) or ``multiline`` says beforehand, each split first learns whether
+    it starts inside quotes. The typed rows are staged as parquet, so later passes are columnar and
+    row ids fixed.
     """
     if multiline is None:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         multiline = bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
     names = spark.read.csv(path, header=True, escape='"', multiLine=multiline, encoding="UTF-8").columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, EXTRA)])
-    cells = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=multiline, encoding="UTF-8")
-    known = [F.when(~ref(c).isin(MISSING_TOKENS), ref(c)).alias(c) for c in names]
     texts: list = []
-    numbered = number_rows(cells.select(*known, ref(EXTRA)), texts)
+    if multiline:
+        cell = F.from_csv("text", schema.toDDL(), {"escape": '"', "multiLine": "true"})
+        cells = csv_records(spark, path, texts).select("row_id", cell.alias("c")).select("row_id", "c.*")
+    else:
+        cells = number_rows(spark.read.schema(schema).csv(path, header=True, escape='"', encoding="UTF-8"), texts)
+    known = [F.when(~ref(c).isin(MISSING_TOKENS), ref(c)).alias(c) for c in names]
+    numbered = cells.select("row_id", *known, ref(EXTRA))
 
     checks = [F.count(ref(EXTRA)).alias("extra")]
     for i, c in enumerate(names):

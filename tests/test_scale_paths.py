@@ -267,3 +267,14 @@ def test_composite_moves_no_row(spark, tmp_path):
         assert score == pytest.approx(min(1.0, max(r.anomaly_score for r in found) + 0.15 * (n - 1)))
     panel = anomalies.anomaly_panel(t, every).first()
     assert (panel["records"], panel["rows_flagged"]) == (sum(map(len, plain.values())), len(plain))
+
+
+def test_distinct_whole_numbers(table):
+    """Negative, extreme, scattered and dense values, nulls, and a column without values."""
+    from tabassay.functions.values import distinct_counts
+    rng = random.Random(2)
+    ends = [-2 ** 63, 2 ** 63 - 1, -1, 0, 63, 64, -64, -65]
+    rows = [(rng.choice([*ends, None]), rng.randrange(-2 ** 62, 2 ** 62), i // 3, rng.randrange(-128, 128), None) for i in range(900)]
+    t = table("ends bigint, far bigint, near int, tiny tinyint, none int", rows)
+    want = {c: len({r[i] for r in rows} - {None}) for i, c in enumerate(t.columns)}
+    assert distinct_counts(t, t.columns) == want

@@ -113,3 +113,37 @@ def test_parquet_row_ids_follow_files(spark, tmp_path):
     ids = sorted((r["row_id"], r["id"]) for r in t.df.collect())
     assert [i for i, _ in ids] == list(range(100))
     assert [v for _, v in ids] == list(range(100))
+
+
+@pytest.mark.parametrize("size", [400, 3001, 1 << 27])
+def test_line_breaks_over_many_splits(spark, tmp_path, size):
+    """Records across the borders of splits and of files equal those of one task per file."""
+    import csv as writer
+    import random
+    rng = random.Random(size)
+    bits = ["a", "b,", '"', "\n", "\r\n", 'x"y', " ", "é", "word ", "\n\n", '""', "long " * 120]
+    rows = [(i, "".join(rng.choices(bits, weights=[5] * 11 + [.1], k=rng.randrange(8))), rng.choice(["u", '5" pipe', "NA", ""])) for i in range(400)]
+    (tmp_path / "t").mkdir()
+    for part, end in enumerate(("\n", "\r\n", "\n", "\n")):  # the last file has a header only
+        with open(tmp_path / "t" / f"{part}.csv", "w", newline="", encoding="utf-8-sig" if part == 2 else "utf-8") as f:
+            out = writer.writer(f, lineterminator=end)
+            out.writerows([("i", "long\nname", "u"), *rows[part * 150:part * 150 + 150]])
+            f.write("\n" if part == 1 else "")
+    missing = {"", "NA"}
+    want = [(i, i, *(None if v in missing else v for v in cells)) for i, *cells in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        t = read_csv(spark, f"{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert t.columns == ["i", "long\nname", "u"]
+    assert [tuple(r) for r in t.preview(1000).collect()] == want
+
+
+def test_states_of_lines():
+    from tabassay.sources.records import ends_inside
+    for line, outside, inside in (("a,b", False, True), ('"a', True, False), ('a"b', False, False), ('"a""', True, False), ('x","y', True, True),
+                                  ('x,"y', True, False), ('"",""', False, True), ("", False, True), ('"a"b,"c', True, True)):
+        assert (ends_inside(line, False), ends_inside(line, True)) == (outside, inside), line
