@@ -29,7 +29,7 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None,
     Files are split over tasks. Where a cell holds a line break, which a first look at the lines
     finds (an odd number of quotes) or ``multiline`` says beforehand, each split first learns whether
     it starts inside quotes. The typed rows are staged as parquet, so later passes are columnar and
-    row ids fixed.
+    row ids fixed. Without line breaks that is the only copy: types are learned from the file itself.
     """
     if multiline is None:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
@@ -41,9 +41,10 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None,
         cell = F.from_csv("text", schema.toDDL(), {"escape": '"', "multiLine": "true"})
         cells = csv_records(spark, path, texts).select("row_id", cell.alias("c")).select("row_id", "c.*")
     else:
-        cells = number_rows(spark.read.schema(schema).csv(path, header=True, escape='"', encoding="UTF-8"), texts)
+        cells = spark.read.schema(schema).csv(path, header=True, escape='"', encoding="UTF-8")
+    ids = ["row_id"] if multiline else []
     known = [F.when(~ref(c).isin(MISSING_TOKENS), ref(c)).alias(c) for c in names]
-    numbered = cells.select("row_id", *known, ref(EXTRA))
+    marked = cells.select(*ids, *known, ref(EXTRA))
 
     checks = [F.count(ref(EXTRA)).alias("extra")]
     for i, c in enumerate(names):
@@ -57,12 +58,13 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None,
         ]
     seen: dict = {}
     for start in range(0, len(checks), AGGREGATES_PER_PASS):
-        seen.update(numbered.agg(*checks[start:start + AGGREGATES_PER_PASS]).first().asDict())
+        seen.update(marked.agg(*checks[start:start + AGGREGATES_PER_PASS]).first().asDict())
     if seen["extra"]:
-        delete(spark, texts[0])
+        for folder in texts:
+            delete(spark, folder)
         raise ValueError(f"{path}: {seen['extra']} rows have more cells than the header has names")
 
-    typed = [F.col("row_id")]
+    typed = [F.col(c) for c in ids]
     for i, c in enumerate(names):
         x, n = ref(c), seen[f"n{i}"]
         if n == 0:
@@ -77,8 +79,13 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None,
         else:
             e = x
         typed.append(e.alias(c))
-    made, folder = _stage(numbered.select(*typed), "csv")
-    delete(spark, texts[0])
+    staged: list = []
+    if multiline:
+        made, folder = _stage(marked.select(*typed), "csv")
+        staged.append(folder)
+        delete(spark, texts[0])
+    else:
+        made = number_rows(marked.select(*typed), staged)
     table = Table(made, name or path.rsplit("/", 1)[-1], "row_id", **options)
-    table._staged.append(folder)
+    table._staged += staged
     return table

@@ -302,7 +302,11 @@ def date_layout(text: str) -> str | None:
 
 
 def number_rows(df: DataFrame, paths: list | None = None) -> DataFrame:
-    """Add row_id = position in reading order, fixed by staging the rows; ``paths`` gets the folder."""
+    """Add row_id = position in reading order, fixed by staging the rows; ``paths`` gets the folder.
+
+    The parts' offsets meet the rows as in ``file_row_ids``: broadcast if they are at most
+    SMALL_FILES, so that no row is shuffled.
+    """
     staged, path = _stage(df.withColumn("_pos", F.monotonically_increasing_id()), "rows")
     if paths is not None:
         paths.append(path)
@@ -311,6 +315,9 @@ def number_rows(df: DataFrame, paths: list | None = None) -> DataFrame:
     # One row per input partition.
     before = F.sum("_size").over(_all_before("_part"))
     offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
+    few = [tuple(r) for r in offsets.limit(SMALL_FILES + 1).collect()]
+    if len(few) <= SMALL_FILES:
+        offsets = F.broadcast(small_frame(df.sparkSession, few, "_part bigint, _offset bigint"))
     numbered = staged.withColumn("_part", part).join(offsets, "_part")
     row_id = F.col("_offset") + F.col("_pos").bitwiseAND((1 << 33) - 1)
     return numbered.select(row_id.alias("row_id"), *[ref(c) for c in df.columns])

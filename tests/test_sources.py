@@ -147,3 +147,28 @@ def test_states_of_lines():
     for line, outside, inside in (("a,b", False, True), ('"a', True, False), ('a"b', False, False), ('"a""', True, False), ('x","y', True, True),
                                   ('x,"y', True, False), ('"",""', False, True), ("", False, True), ('"a"b,"c', True, True)):
         assert (ends_inside(line, False), ends_inside(line, True)) == (outside, inside), line
+
+
+def test_csv_rows_are_copied_once_and_not_shuffled(spark, tmp_path, monkeypatch):
+    """Types come from the file; numbering stages the typed rows and broadcasts the offsets of the parts."""
+    from tabassay.sources import table
+    made = []
+    real = table._stage
+    for module in (table, __import__("tabassay.sources.csv", fromlist=["csv"])):
+        monkeypatch.setattr(module, "_stage", lambda df, label: made.append(df.columns) or real(df, label))
+    folder = str(tmp_path / "many")
+    spark.range(0, 1000, 1, 5).selectExpr("id", "concat('t', id) AS word", "if(id % 7 = 0, 'NA', string(id / 2)) AS half").write.csv(folder, header=True)
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "4000"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        t = read_csv(spark, folder, multiline=False)
+        assert made == [["id", "word", "half", "_pos"]]
+        plan = t.df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        rows = t.df.orderBy("row_id").collect()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert [r["row_id"] for r in rows] == list(range(1000))
+    assert sorted((r["id"], r["word"], r["half"]) for r in rows) == [(i, f"t{i}", None if i % 7 == 0 else i / 2) for i in range(1000)]
