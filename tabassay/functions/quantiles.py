@@ -1,36 +1,38 @@
 """Exact quantiles of many columns at any size.
 
 One route for any table: a mergeable sketch (KLL) of every column gives edges around each wanted
-order statistic, wide enough for its rank error; an exact count of the values below, at and between
-the edges tells where the statistic lies. It is then an edge itself, or inside an interval that is
-small enough to sort in one buffer, or that is closed in again by a sketch of its own values. So three
-scans serve any number of columns up to some ten million rows, and each further factor of a hundred
-takes two more. The sketch only decides how fast this goes: the result is exact whatever it says, and a
-value repeated any number of times is one edge. A buffer holds a sketch of about 50 kB per column, or
-the values of the small intervals.
+order statistic, wide enough for its rank error. The next scan counts the values below, at and between
+the edges and keeps the distinct ones between a pair of edges, so that the statistic is an edge or is
+found among those in order. A sketch grows with its column until an interval holds few values; an
+interval that is still too large, or a statistic that a sketch misplaced, is closed in again by a sketch
+of its own values. So two scans serve any number of columns up to some fifty million rows, and each
+further factor of a hundred takes two more. The sketch only decides how fast this goes: the result is
+exact whatever it says, and a value repeated any number of times is one edge or one kept value. A buffer
+holds a sketch of about 100 kB per column, 800 kB at most; kept values are grouped and sorted by Spark.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.table import ref, small_frame
 
-SKETCH_SIZE = 4096
-SORT_LIMIT = 100_000  # values of an interval that are sorted in one buffer
+SKETCH_SIZE = 4096       # least and largest: about 24 bytes of a buffer for each
+LARGEST_SKETCH = 32_768
+SORT_LIMIT = 100_000  # values of an interval that are kept and sorted
 EVERYTHING = (None, None)
 
 
 def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float],
-                    sort_limit: int = SORT_LIMIT, sketch_size: int = SKETCH_SIZE, first_edges=None) -> dict:
+                    sort_limit: int = SORT_LIMIT, sketch_size: int | None = None, first_edges=None) -> dict:
     """{column: [quantile per prob]} with linear interpolation; ``df`` holds DOUBLE columns.
 
     ``counts`` are the non-null counts, known from an earlier aggregate. ``first_edges`` evaluates
-    the first ``edge_requests`` (with other aggregates of the same scan, say).
+    the first ``edge_requests`` (with other aggregates of the same scan, say). Without a
+    ``sketch_size`` it follows from the number of values.
     """
     columns = [c for c, n in counts.items() if n > 0]
     out = {c: [None] * len(probs) for c in counts}
@@ -52,7 +54,7 @@ def _first_spans(counts, probs):
 
 
 def edge_requests(counts: dict[str, int], probs: list[float], column, sort_limit: int = SORT_LIMIT,
-                  sketch_size: int = SKETCH_SIZE) -> dict:
+                  sketch_size: int | None = None) -> dict:
     """Aggregates of the first round, for columns that need one; ``column`` gives a column's values."""
     large = {k: s for k, s in _first_spans(counts, probs).items() if s[2] > sort_limit}
     return _edge_requests(large, sketch_size, column)
@@ -62,14 +64,10 @@ def _order_statistics(df, spans, sort_limit, sketch_size, first_edges):
     """{(column, rank): value} for zero-based ranks among a column's non-null values."""
     values: dict = {}
     while spans:
-        small = {k: s for k, s in spans.items() if s[2] <= sort_limit}
         large = {k: s for k, s in spans.items() if s[2] > sort_limit}
-        if small:
-            values.update(_sort_inside(df, small))
-        spans = {}
-        if large:
-            found, spans = _close_in(df, large, sketch_size, first_edges)
-            values.update(found)
+        edges, kept = _edges(df, spans, large, sort_limit, sketch_size, first_edges)
+        found, spans = _place(df, spans, edges, kept)
+        values.update(found)
         first_edges = None
     return values
 
@@ -83,31 +81,22 @@ def _within(x, low, high):
     return test
 
 
-def _close_in(df, spans, sketch_size, first_edges):
-    edges = _sketched_edges(df, spans, sketch_size, first_edges)
-    placed = _count_places(df, edges)
-    values, rest = {}, {}
-    for (c, low, high), (ranks, _, _) in spans.items():
-        marks, sizes = edges[c], placed[c]
-        before = [sum(sizes[:k]) for k in range(len(sizes) + 1)]
-        for rank in ranks:
-            place = bisect_right(before, rank) - 1  # even: between edges, odd: at an edge
-            if place % 2:
-                values[c, rank] = marks[place // 2]
-                continue
-            inner = (marks[place // 2 - 1] if place else None,
-                     marks[place // 2] if place // 2 < len(marks) else None)
-            key = (c, *inner)
-            known = rest.get(key, ([], before[place], sizes[place]))
-            rest[key] = ([*known[0], rank], *known[1:])
-    return values, rest
+def _rank_slack(sketch_size):
+    return 3 * 2.296 / sketch_size ** 0.9021  # three times the sketch's stated rank error
+
+
+def _fitting_size(inside):
+    """The sketch whose intervals hold a quarter of SORT_LIMIT of so many values, within bounds."""
+    wanted = (3 * 2.296 * 2 * 4 * inside / SORT_LIMIT) ** (1 / 0.9021)
+    return max(SKETCH_SIZE, min(LARGEST_SKETCH, math.ceil(wanted)))
 
 
 def _edge_requests(spans, sketch_size, column=ref):
     """{key: array of values a bit below and above the wanted ranks} for each interval."""
-    slack = 3 * 2.296 / sketch_size ** 0.9021  # three times the sketch's stated rank error
     made = {}
     for (c, low, high), (ranks, before, inside) in spans.items():
+        size = sketch_size or _fitting_size(inside)
+        slack = _rank_slack(size)
         pairs: list = []
         for r in ranks:
             middle = (r - before + 0.5) / inside
@@ -117,68 +106,79 @@ def _edge_requests(spans, sketch_size, column=ref):
                 pairs.append((middle - slack, middle + slack))
         cuts = sorted({min(max(p, 0.0), 1.0) for pair in pairs for p in pair})
         x = column(c)
-        sketch = F.kll_sketch_agg_double(F.when(_within(x, low, high), x), F.lit(sketch_size))
+        sketch = F.kll_sketch_agg_double(F.when(_within(x, low, high), x), F.lit(size))
         made["edges", c, low, high, *cuts] = F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, cuts)))
     return made
 
 
-def _sketched_edges(df, spans, sketch_size, first_edges):
-    """{column: ascending distinct edges} around the wanted ranks, old interval ends included."""
-    asked = _edge_requests(spans, sketch_size)
-    if first_edges is None:
+def _edges(df, spans, large, sort_limit, sketch_size, first_edges):
+    """{column: ascending distinct edges} around the wanted ranks, ends of intervals included, and
+    {column: intervals whose values are kept}: the small ones, and those between edges that are near
+    enough by the sketch."""
+    asked = _edge_requests(large, sketch_size)
+    if not asked:
+        found = {}
+    elif first_edges is None:
         row = df.agg(*[e.alias(f"e{i}") for i, e in enumerate(asked.values())]).first()
         found = dict(zip(asked, row))
     else:
         found = first_edges(asked)
-    edges: dict = {}
-    for (_, c, low, high, *_), marks in found.items():
-        edges.setdefault(c, set()).update([*marks, *(e for e in (low, high) if e is not None)])
-    return {c: sorted(marks) for c, marks in edges.items()}
-
-
-def _count_places(df, edges):
-    """{column: counts below the first edge, at it, up to the second, ...}.
-
-    A value's place is the number of edges it has reached plus the number it has passed.
-    The edges ride along as a broadcast row per column, so the generated code stays small
-    for any number of columns.
+    edges: dict = {c: set() for c, _, _ in spans}
+    kept: dict = {c: [] for c in edges}
+    for c, low, high in spans:
+        edges[c].update(e for e in (low, high) if e is not None)
+        if (c, low, high) not in large:
+            kept[c].append((low, high))
+    for (_, c, low, high, *cuts), marks in found.items():
+        edges[c].update(marks)
+        inside = large[c, low, high][2]
+        kept[c] += [(a, b) for a, b, p, q in zip(marks, marks[1:], cuts, cuts[1:]) if (q - p) * inside <= sort_limit]
+    return {c: sorted(marks) for c, marks in edges.items()}, kept
+
+
+def _place(df, spans, edges, kept):
+    """Values of the wanted ranks that are edges or kept, and the intervals that hold the others.
+
+    A value's place is the number of edges it has reached plus the number it has passed: even between
+    edges, odd at one. Values are counted by place, and by themselves where they are kept; running
+    sums in the order of places and values give their ranks. The edges ride along as a broadcast
+    row per column, so the generated code stays small for any number of columns.
     """
     width = max(len(marks) for marks in edges.values())
-    padded = [(c, *marks, *[None] * (width - len(marks))) for c, marks in edges.items()]
-    ddl = ", ".join(["column string", *[f"e{i} double" for i in range(width)]])
+    padded = []
+    for c, marks in edges.items():
+        gaps = zip([None, *marks], [*marks, None])
+        keep = [any(_covers(span, gap) for span in kept[c]) for gap in gaps]  # by place // 2
+        padded.append((c, keep, *marks, *[None] * (width - len(marks))))
+    ddl = ", ".join(["column string", "keep array<boolean>", *[f"e{i} double" for i in range(width)]])
     known = small_frame(df.sparkSession, padded, ddl)
     pairs = df.select(*[ref(c) for c in edges]).unpivot([], [ref(c) for c in edges], "column", "x")
-    x = F.col("x")
-    place = F.lit(0)
+    x, place = F.col("x"), F.lit(0)
     for i in range(width):
         e = F.col(f"e{i}")
         place = place + F.when(x > e, 2).when(x == e, 1).otherwise(0)
-    rows = (pairs.where("x IS NOT NULL").join(F.broadcast(known), "column")
-            .select("column", place.alias("place"))
-            .groupBy("column", "place").agg(F.count(F.lit(1)).alias("n")).collect())
-    out = {c: [0] * (2 * len(marks) + 1) for c, marks in edges.items()}
+    placed = pairs.where("x IS NOT NULL").join(F.broadcast(known), "column").select("column", "x", "keep", place.alias("place"))
+    between = (F.col("place") % 2 == 0) & F.get("keep", F.shiftright("place", 1))
+    counts = (placed.select("column", "place", F.when(between, x).alias("x"))
+              .groupBy("column", "place", "x").agg(F.count(F.lit(1)).alias("n")))
+    upto = Window.partitionBy("column").orderBy("place", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = small_frame(df.sparkSession, [(c, r) for (c, _, _), s in spans.items() for r in s[0]], "column string, rank bigint")
+    rows = (counts.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(ranks), "column")
+            .where("rank < upto AND rank >= upto - n").select("column", "rank", "place", "x", "n", "upto").collect())
+    values, rest = {}, {}
     for r in rows:
-        out[r["column"]][r["place"]] = r["n"]
-    return out
+        c, at, marks = r["column"], r["place"] // 2, edges[r["column"]]
+        if r["place"] % 2:
+            values[c, r["rank"]] = marks[at]
+        elif r["x"] is not None:
+            values[c, r["rank"]] = r["x"]
+        else:
+            key = (c, marks[at - 1] if at else None, marks[at] if at < len(marks) else None)
+            known_ranks = rest.get(key, ([],))[0]
+            rest[key] = (sorted([*known_ranks, r["rank"]]), r["upto"] - r["n"], r["n"])
+    return values, rest
 
 
-def _sort_inside(df, spans):
-    """Sort the few values inside each interval and pick the wanted ranks."""
-    keys = list(spans)
-    columns = list(dict.fromkeys(c for c, _, _ in keys))
-    tagged = []
-    for c in columns:
-        x = ref(c)
-        tag = F.lit(None).cast("int")
-        for i, (name, low, high) in enumerate(keys):
-            if name == c:
-                tag = F.when(_within(x, low, high), F.lit(i)).otherwise(tag)
-        tagged.append(F.when(tag.isNotNull(), F.struct(tag.alias("span"), x.alias("x"))).alias(c))
-    cells = (df.select(*tagged).unpivot([], [ref(c) for c in columns], "column", "cell")
-             .where("cell IS NOT NULL").select("cell.span", "cell.x"))
-    ordered = cells.groupBy("span").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    asked = [(i, r, r - spans[k][1] + 1) for i, k in enumerate(keys) for r in spans[k][0]]
-    picks = small_frame(df.sparkSession, asked, "span int, rank bigint, at int")
-    rows = ordered.join(F.broadcast(picks), "span").select(
-        "span", "rank", F.element_at("xs", F.col("at")).alias("x")).collect()
-    return {(keys[r["span"]][0], r["rank"]): r["x"] for r in rows}
+def _covers(span, gap):
+    (low, high), (a, b) = span, gap
+    return (low is None or (a is not None and a >= low)) and (high is None or (b is not None and b <= high))

@@ -12,7 +12,7 @@ from ..functions.text import WHITESPACE, rounded, share
 from ..functions.values import LONG_TEXT, distinct_counts, few_candidates, few_requests, row_key
 from ..functions.wording import ISSUE
 from ..sources.table import Table, ref
-from .types import column_types, is_id_name, of_type
+from .types import column_types, date_layout_requests, is_id_name, of_type
 
 # Name parts of quantities that should not be negative.
 NON_NEGATIVE_PARTS = [
@@ -294,7 +294,7 @@ def health_label(score: float) -> str:
 def check_requests(table: Table) -> dict:
     """Aggregates of the checks that no other fact precedes, for the scan of the facts."""
     numbers = [c for c in table.columns if (table.is_number(c) or table.is_boolean(c)) and not is_id_name(c)]
-    return table.layout_requests() | few_requests(numbers)
+    return date_layout_requests(table) | few_requests(numbers)
 
 
 def health_score(table: Table) -> float:

@@ -17,6 +17,10 @@ def is_id_name(name: str) -> bool:
     return "id" in (words[0], words[-1])
 
 
+def is_date_name(name: str) -> bool:
+    return not is_id_name(name) and any(word in name.lower() for word in ("date", "time"))
+
+
 def column_types(table: Table) -> dict[str, str]:
     return table.once("types", lambda: {c: _column_type(table, c) for c in table.columns})
 
@@ -30,11 +34,16 @@ def _column_type(table, c):
         return "datetime"
     if table.is_nested(c):
         return "nested"
-    if any(word in c.lower() for word in ("date", "time")):
+    if is_date_name(c):
         return "datetime"
     return "text" if table.mean_chars(c) > TEXT_MEAN_CHARS else "categorical"
 
 
+def date_layout_requests(table: Table) -> dict:
+    """First dates of the text columns that are typed as datetime, which their names alone decide."""
+    return table.layout_requests([c for c in table.string_columns if is_date_name(c)])
+
+
 def of_type(table: Table, kind: str) -> list[str]:
     return [c for c, t in column_types(table).items() if t == kind]
 

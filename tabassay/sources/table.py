@@ -25,6 +25,10 @@ ISO_ZONE = r":.*(Z|[+-]\d{2}:?\d{2})$"
 DATE_LIKE = (r"^\s*(\d{1,2}([-/.])\d{1,2}\2(\d{4}|\d{2})|\d{4}([-/.])\d{1,2}\4\d{1,2}|\d{8}|\d{1,2}([ -])[A-Z][a-z]{2,8}\5\d{4}"
              r"|[A-Z][a-z]{2,8} \d{1,2},? \d{4})([ T]|\s*$)")
 AGGREGATES_PER_PASS = 120
+# Requests that Spark evaluates without generated code, texts by row id and sketches. With one of
+# them a scan has none at all, which costs more than a second scan once more than RIDERS others are asked for.
+UNGENERATED = ("layout", "about", "edges")
+RIDERS = 40
 SMALL_FILES = 10_000  # files whose offsets may be broadcast
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
@@ -184,15 +188,18 @@ class Table:
 
     def layout(self, c) -> str | None:
         """Date layout of a text column's first date by row id; None for ISO dates and others."""
-        return self.once("layouts", self._layouts).get(c)
-
-    def layout_requests(self) -> dict:
+        if not self.is_string(c):
+            return None
+        key = ("layout", c)
+        expected = key in self._known or key in self._wanted
+        first = self.aggregate(self.layout_requests([c] if expected else None))[key]
+        return None if first is None else date_layout(first)
+
+    def layout_requests(self, columns=None) -> dict:
+        """First date of each of the text columns, all by default."""
         at = ref(self.row_id)
-        return {("layout", c): F.min_by(ref(c), F.when(ref(c).rlike(DATE_LIKE), at)) for c in self.string_columns}
-
-    def _layouts(self):
-        first = self.aggregate(self.layout_requests())
-        return {c: date_layout(v) for (_, c), v in first.items() if v is not None}
+        return {("layout", c): F.min_by(ref(c), F.when(ref(c).rlike(DATE_LIKE), at))
+                for c in (self.string_columns if columns is None else columns)}
 
     def text(self, c) -> Column:
         """The column as text; -0.0 is 0.0."""
@@ -212,15 +219,18 @@ class Table:
 
     def aggregate(self, named: dict) -> dict:
         """Values of named global aggregates over the table. Those not known yet are evaluated
-        together with all that were declared, in as few scans as code size allows."""
+        together with all that were declared, in as few scans as code size and generated code allow."""
         missing = {key: e for key, e in named.items() if key not in self._known}
         if missing:
             items = list((self._wanted | missing).items())
             self._wanted = {}
-            for start in range(0, len(items), AGGREGATES_PER_PASS):
-                part = items[start:start + AGGREGATES_PER_PASS]
-                row = self.df.agg(*[e.alias(f"a{i}") for i, (_, e) in enumerate(part)]).first()
-                self._known.update({key: row[i] for i, (key, _) in enumerate(part)})
+            slow = [item for item in items if item[0][0] in UNGENERATED]
+            fast = [item for item in items if item[0][0] not in UNGENERATED]
+            for group in (fast, slow) if len(fast) > RIDERS else (items,):
+                for start in range(0, len(group), AGGREGATES_PER_PASS):
+                    part = group[start:start + AGGREGATES_PER_PASS]
+                    row = self.df.agg(*[e.alias(f"a{i}") for i, (_, e) in enumerate(part)]).first()
+                    self._known.update({key: row[i] for i, (key, _) in enumerate(part)})
         return {key: self._known[key] for key in named}
 
     def facts(self) -> dict:

@@ -278,3 +278,59 @@ def test_distinct_whole_numbers(table):
     t = table("ends bigint, far bigint, near int, tiny tinyint, none int", rows)
     want = {c: len({r[i] for r in rows} - {None}) for i, c in enumerate(t.columns)}
     assert distinct_counts(t, t.columns) == want
+
+
+def test_first_dates_leave_the_facts_in_generated_code(spark):
+    """A text by row id takes generated code away from its scan: beside many facts it has one of its own."""
+    df = spark.range(300).select(F.col("id").alias("row_id"), *[(F.col("id") % (i + 2)).alias(f"n{i}") for i in range(10)],
+                                 F.lit("01/12/2024").alias("ship_date"), F.lit("x").alias("word"))
+    t = Table(df, "t", "row_id")
+    plans = []
+
+    class Spied:
+        def agg(self, *named):
+            made = t_df.agg(*named)
+            plans.append(made._jdf.queryExecution().executedPlan().toString())
+            return made
+
+    t_df, t.df = t.df, Spied()
+    insights_requests = quality.check_requests(t) | insights.pair_requests(t)
+    assert not any(key == ("layout", "word") for key in insights_requests)  # its name is no date's
+    t.declare(insights_requests)
+    t.facts()
+    assert len(plans) == 2 and "SortAggregate" not in plans[0] and "SortAggregate" in plans[1]
+    assert t.layout("ship_date") == "M/d/yyyy" and len(plans) == 2
+    assert t.layout("word") is None and len(plans) == 3
+
+
+def test_quantiles_take_two_scans(spark, tmp_path):
+    """One for the sketches, one that counts and keeps values, also where intervals are not empty."""
+    n = 250_000
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({"a": rng.normal(size=n), "b": rng.exponential(size=n), "c": rng.integers(0, 9, n).astype(float)})
+    spark.createDataFrame(data).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    scans = []
+
+    class Counted:
+        sparkSession = spark
+
+        def agg(self, *named):
+            scans.append("agg")
+            return df.agg(*named)
+
+        def select(self, *columns):
+            scans.append("select")
+            return df.select(*columns)
+
+    got = exact_quantiles(Counted(), {c: n for c in data}, [0.25, 0.5, 0.75])
+    for c in data:
+        assert got[c] == data[c].quantile([0.25, 0.5, 0.75]).to_list(), c
+    assert scans == ["agg", "select"]
+
+
+def test_large_columns_get_larger_sketches():
+    from tabassay.functions.quantiles import LARGEST_SKETCH, SKETCH_SIZE, SORT_LIMIT, _fitting_size, _rank_slack
+    assert _fitting_size(10_000) == SKETCH_SIZE and _fitting_size(10 ** 10) == LARGEST_SKETCH
+    for n in (1_000_000, 9_000_000, 54_000_000):  # so that the values around a rank are kept in the second scan
+        assert 2 * _rank_slack(_fitting_size(n)) * n < SORT_LIMIT
