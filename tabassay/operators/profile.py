@@ -118,6 +118,7 @@ def _categorical_facts(table):
                 {"value": r["value"], "count": r["n"], "pct": share(r["n"], table.count(r["column"]))})
         else:
             out[r["column"]]["unique_count"] = r["n"]
+    table.once("distinct", dict).update({c: facts["unique_count"] for c, facts in out.items()})
     return out
 
 

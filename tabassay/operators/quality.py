@@ -237,24 +237,34 @@ def _spelling_facts(table):
     columns = [c for c in table.string_columns if table.count(c)]
     if not columns:
         return {}
+    spelled = _spelled(table, columns)
+    form = F.xxhash64("trimmed")  # of spellings that are equal but for case
+    folded = spelled.groupBy("column", "folded").agg(
+        F.count(F.lit(1)).alias("n"), F.min(form).alias("first"), F.max(form).alias("last"), F.bool_or("padded").alias("padded"))
+    rows = folded.groupBy("column").agg(
+        F.bool_or("padded").alias("padded"), (F.max("n") > 1).alias("repeated"), (F.min("n") == 1).alias("single"),
+        F.bool_or(F.col("first") != F.col("last")).alias("strict")).collect()
+    # A spelling that fills one row is alone in its group, or one of several there: only then spellings are counted.
+    open_columns = [r["column"] for r in rows if r["strict"] and not r["single"]]
+    rare = _rare_spellings(table, open_columns) if open_columns else set()
+    got = {r["column"]: (r["padded"], r["repeated"] and (r["single"] or r["column"] in rare), r["strict"]) for r in rows}
+    return {c: got[c] for c in columns}
+
+
+def _spelled(table, columns):
+    """(column, trimmed, folded, padded) of every value; long folded texts are digests."""
     pairs = (table.df.select(*[ref(c) for c in columns])
              .unpivot([], [ref(c) for c in columns], "column", "value").where("value IS NOT NULL"))
     trimmed = F.btrim("value", F.lit(WHITESPACE))
-    # Long texts travel as digests; both digests are of the full text.
-    spelled = pairs.select(
-        "column", _digest(trimmed).alias("spelling"), _digest(F.lower(trimmed)).alias("folded"),
-        (F.col("value") != trimmed).alias("padded"))
-    spellings = spelled.groupBy("column", "folded", "spelling").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or("padded").alias("padded"))
-    folded = spellings.groupBy("column", "folded").agg(
-        F.sum("n").alias("n"), F.min("n").alias("rarest"), F.count(F.lit(1)).alias("forms"),
-        F.bool_or("padded").alias("padded"))
-    rows = folded.groupBy("column").agg(
-        F.bool_or("padded").alias("padded"),
-        ((F.max("n") > 1) & (F.min("rarest") == 1)).alias("casing"),
-        (F.max("forms") > 1).alias("strict")).collect()
-    got = {r["column"]: (r["padded"], r["casing"], r["strict"]) for r in rows}
-    return {c: got[c] for c in columns}
+    return pairs.select("column", trimmed.alias("trimmed"), _digest(F.lower(trimmed)).alias("folded"),
+                        (F.col("value") != trimmed).alias("padded"))
+
+
+def _rare_spellings(table, columns):
+    """Those of the columns in which some trimmed spelling fills exactly one row."""
+    spellings = (_spelled(table, columns).groupBy("column", _digest(F.col("trimmed")).alias("spelling"))
+                 .agg(F.count(F.lit(1)).alias("n")))
+    return {r["column"] for r in spellings.groupBy("column").agg((F.min("n") == 1).alias("rare")).collect() if r["rare"]}
 
 
 def _digest(x):

@@ -334,3 +334,30 @@ def test_large_columns_get_larger_sketches():
     assert _fitting_size(10_000) == SKETCH_SIZE and _fitting_size(10 ** 10) == LARGEST_SKETCH
     for n in (1_000_000, 9_000_000, 54_000_000):  # so that the values around a rank are kept in the second scan
         assert 2 * _rank_slack(_fitting_size(n)) * n < SORT_LIMIT
+
+
+def test_spellings_from_one_grouping(table):
+    """Only a column whose groups leave it open counts its spellings; the marks are those of counting all."""
+    rows = [("Ab", "AB", "x", "p "), ("Ab", "AB", "y", "p"), ("ab", "ab", "z", "q"), ("c", "ab", "Z", "q"), ("c", "d", "w", None), (" c", "d", "v", None)]
+    t = table("rare string, even string, unique string, padded string", rows)
+    asked = []
+    real = quality._rare_spellings
+    quality._rare_spellings = lambda t, columns: asked.append(sorted(columns)) or real(t, columns)
+    try:
+        assert quality.spelling_facts(t) == {"rare": (True, True, True), "even": (False, False, True),
+                                             "unique": (False, True, True), "padded": (True, False, False)}
+    finally:
+        quality._rare_spellings = real
+    assert asked == [["even", "rare"]]
+
+
+def test_value_counts_serve_distinct_counts(spark, table):
+    from tabassay.functions.values import distinct_counts
+    from tabassay.operators.profile import categorical_facts
+    t = table("word string, other string, gap string", [(f"w{i % 7}", "same", None) for i in range(60)])
+    categorical_facts(t)
+    sc = spark.sparkContext
+    sc.setJobGroup("distinct", "distinct")
+    assert distinct_counts(t, ["word", "other", "gap"]) == {"word": 7, "other": 1, "gap": 0}
+    assert not sc.statusTracker().getJobIdsForGroup("distinct")
+    sc.setJobGroup("other", "other")
