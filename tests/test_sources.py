@@ -172,3 +172,14 @@ def test_csv_rows_are_copied_once_and_not_shuffled(spark, tmp_path, monkeypatch)
             spark.conf.unset(k)
     assert [r["row_id"] for r in rows] == list(range(1000))
     assert sorted((r["id"], r["word"], r["half"]) for r in rows) == [(i, f"t{i}", None if i % 7 == 0 else i / 2) for i in range(1000)]
+
+
+def test_types_of_csv_take_one_copy(spark, monkeypatch):
+    import query_registry
+    from tabassay.sources import csv as reader, table
+    made = []
+    real = table._stage
+    for module in (table, reader):
+        monkeypatch.setattr(module, "_stage", lambda df, label: made.append(label) or real(df, label))
+    assert query_registry.queries()["read_csv_types"](spark, "/root/testdata/sf0.001").count() == 15
+    assert made == ["rows"]
